@@ -64,10 +64,13 @@ class UnitTokenizer:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         graphic, space = _GRAPHIC[data], _SPACE[data]
+        ahead = graphic[1:].copy()
+        edges = offsets[(offsets > 0) & (offsets < len(data))]
+        ahead[edges - 1] = False
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] |= space[1:] & graphic[:-1]
-        cut[:-2] |= (data[:-1] == 0x20) & graphic[1:]
-        last_break = _BREAK[data[:-1]] & graphic[1:]
+        cut[:-2] |= (data[:-1] == 0x20) & ahead
+        last_break = _BREAK[data[:-1]] & ahead
         cut[:-2] |= last_break
         cut[1:-1] |= last_break
         cut[offsets] = True

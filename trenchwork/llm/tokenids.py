@@ -64,7 +64,8 @@ class UnitTokenizer:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         graphic, space = _GRAPHIC[data], _SPACE[data]
-        ahead = graphic[1:].copy()
+        # A special token may follow "<", and ends the text before it for the pattern.
+        ahead = graphic[1:] & (data[1:] != 0x3C)
         edges = offsets[(offsets > 0) & (offsets < len(data))]
         ahead[edges - 1] = False
         cut = np.zeros(len(data) + 1, bool)

@@ -1,0 +1,29 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import join_small, materialize
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """node and label (the smallest node reachable) for every node of ``links`` (a, b).
+
+    Labels spread along links and jump along labels until none changes; all of it is joins and
+    aggregations, and every round is a written table.
+    """
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-links")
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), f"{name}-0")
+    turn = 0
+    while True:
+        turn += 1
+        near = join_small(both, labels.select(F.col("node").alias("b"), F.col("label").alias("_near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_near").alias("_near"))
+        spread = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), (F.col("_near") < F.col("label")).alias("changed"))
+        spread = materialize(spread, f"{name}-spread-{turn}")
+        jumped = join_small(spread, spread.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left")
+        jumped = jumped.select("node", F.coalesce("_far", "label").alias("label"), (F.col("changed") | (F.col("_far") < F.col("label"))).alias("changed"))
+        labels = materialize(jumped, f"{name}-{turn}")
+        if not labels.where("changed").limit(1).count():
+            return labels.select("node", "label")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, mixing, quality, tokenids, urls
+from . import decontaminate, jaccard, langid, mixing, quality, suffixes, tokenids, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_read(spark, sf_dir, "documents"), least_words=50, most_repeated=50)
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_tokenids": op6_tokenids,
+    "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,
     "op10_jaccard": op10_jaccard,
 }

@@ -40,23 +40,43 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BREAK = _SPACE.copy()
 _BREAK[0x20] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_POINT = np.zeros(256, bool)
+_POINT[[ord(c) for c in ",.;:!?"]] = True
 
 
 class UnitTokenizer:
     """Encodes texts by their distinct units, each with the tokenizers library.
 
     A byte-level BPE with the usual pre-tokenizing pattern never joins characters across the
-    start of white space after a visible ASCII character, before the last space ahead of one, or
-    on either side of another white space character ahead of one; texts are cut only there. The ids of a unit
+    start of white space after a visible ASCII character, before the last space ahead of one, on
+    either side of another white space character ahead of one, or between an ASCII letter and a
+    point or comma; texts are cut only there. The ids of a unit
     are kept for the next texts, up to ``most`` units at a time.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 2_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[int, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known units: sorted hashes, and the place and number of each one's ids in one array."""
+        self.keys, self.base, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        base = np.cumsum(sizes) - sizes + len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.base, self.size = all_keys[order], np.concatenate([self.base, base])[order], np.concatenate([self.size, sizes])[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, ids of each row)."""
@@ -74,25 +94,22 @@ class UnitTokenizer:
         last_break = _BREAK[data[:-1]] & ahead
         cut[:-2] |= last_break
         cut[1:-1] |= last_break
+        cut[1:-1] |= _LETTER[data[:-1]] & _POINT[data[1:]]
         cut[offsets] = True
         cut[len(data)] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         unique, first, inverse = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.most:
-            self.known.clear()
-        keys = unique.tolist()
-        known = self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            texts = [data[start[first[i]] : end[first[i]]].tobytes().decode("utf-8", "replace") for i in part]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[keys[i]] = e.ids
-        lists = [known[k] for k in keys]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        base = np.cumsum(sizes) - sizes
+        if len(self.keys) + len(unique) > self.most:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            a, b = start[first[new]].tolist(), end[first[new]].tolist()
+            raw = data.tobytes()
+            self._learn(unique[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a, b)])
+            at = np.searchsorted(self.keys, unique)
+        ids, base, sizes = self.ids, self.base[at], self.size[at]
         each = sizes[inverse]
         total = np.cumsum(each)
         out = ids[np.arange(total[-1]) - np.repeat(total - each - base[inverse], each)]

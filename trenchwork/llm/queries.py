@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, mixing, quality, suffixes, tokenids, urls
+from . import decontaminate, jaccard, langid, mixing, ngramlm, quality, suffixes, tokenids, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_read(spark, sf_dir, "documents"), least_words=50, most_repeated=50)
 
 
+def op9_ngramlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.scored(_read(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tokenids": op6_tokenids,
     "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,
+    "op9_ngramlm": op9_ngramlm,
     "op10_jaccard": op10_jaccard,
 }
 

@@ -1,9 +1,10 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document is the set of its distinct word n-grams; equal sets are one class. Under a global
-order of tokens (common ones, by a counting sketch over all documents, come last) two sets with
-a Jaccard similarity of ``percent`` share a token among the first ``n - ceil(percent * n) + 1``
-of each. Classes that share such a token are partitioned into groups by their least shared token;
+A document is the set of its distinct word n-grams; equal sets are one class. A bitmap of the
+tokens that stand in two documents or more bounds a set's overlap with all others together; sets
+that could not reach the threshold are settled by it. Under a global order of tokens (common ones,
+by a counting sketch over all documents, come last) two sets of similarity ``percent`` share one
+of the first ``s - ceil(percent * n) + 1`` of the s shared tokens of each. Classes that share such a token are partitioned into groups by their least shared token;
 the token-group matrix holds the union of each group's leading tokens. A class opens a group only
 if the overlap with that union, and all of its other tokens besides, could reach the threshold
 and the sizes allow it.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
+from .repeats import bits_for, repeated, stands_in
 from .store import join_small, materialize
 from .text import NOT_SPACE, Words, mix64, pieces, words_of
 
@@ -120,61 +122,86 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _leading(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
-    """(token, key, n) for the leading tokens of each set; a task emits equal sets once."""
+def _tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        base = 0
+        for batch, row, gram, *_ in _sets(batches, k):
+            yield gram, row + base
+            base += batch.num_rows
+
+    return run
+
+
+def _shared_sets(batches: Iterator[pa.RecordBatch], k: int, percent: int, bitmap: np.ndarray):
+    """Of each set that could reach the threshold with what is shared at all: its shared tokens.
+
+    Yields (rows, n of each, keys of each, row of each token as a place in ``rows``, tokens, shared
+    tokens of each). A task yields equal sets once.
+    """
+    seen: set[tuple[int, int]] = set()
+    for _, row, gram, sizes, key, key2 in _sets(batches, k):
+        common = stands_in(bitmap, gram)
+        shared = np.bincount(row[common], minlength=len(sizes))
+        fits = (sizes > 0) & (shared >= least_overlap(sizes, percent))
+        for i in np.flatnonzero(fits).tolist():
+            value = (int(key[i]), int(key2[i]))
+            fits[i] = value not in seen
+            seen.add(value)
+        if len(seen) > 500_000:
+            seen.clear()
+        rows = np.flatnonzero(fits)
+        keep = common & fits[row]
+        place = np.cumsum(fits) - 1
+        yield rows, sizes[rows], key[rows], key2[rows], place[row[keep]], gram[keep], shared[rows]
+
+
+def _leading(docs: DataFrame, k: int, percent: int, common, bitmap) -> DataFrame:
+    """(token, key, n, lead) for the leading shared tokens of each set that could reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, row, gram, sizes, key, _ in _sets(batches, k):
-            fresh = np.zeros(len(sizes), bool)
-            for i in np.flatnonzero(sizes).tolist():
-                if (value := int(key[i])) not in seen:
-                    seen.add(value)
-                    fresh[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
+        for rows, n, key, _, of, gram, shared in _shared_sets(batches, k, percent, bitmap.value):
             last = common.value[(gram & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            order = np.lexsort((gram, last, row))
-            ends = np.cumsum(sizes)
-            within = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
-            lead = (within < np.repeat(sizes - least_overlap(sizes, percent) + 1, sizes)) & np.repeat(fresh, sizes)
-            at = order[lead]
-            yield pa.record_batch([pa.array(gram[at].view(np.int64)), pa.array(key[row[at]]), pa.array(sizes[row[at]].astype(np.int32))], ["token", "key", "n"])
+            order = np.lexsort((gram, last, of))
+            lead = shared - least_overlap(n, percent) + 1
+            within = np.arange(len(of)) - np.repeat(np.cumsum(shared) - shared, shared)
+            at = order[within < np.repeat(lead, shared)]
+            row = of[at]
+            yield pa.record_batch([pa.array(gram[at].view(np.int64)), pa.array(key[row]), pa.array(n[row].astype(np.int32)), pa.array(lead[row].astype(np.int32))], ["token", "key", "n", "lead"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, key long, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, key long, n int, lead int")
 
 
-def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, k: int, percent: int, bitmap) -> DataFrame:
+    """(key, key2, n, tokens): size and shared tokens of each set that could reach the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, gram, sizes, key, key2 in _sets(batches, k):
-            some = sizes > 0
-            offsets = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
-            yield pa.record_batch([pa.array(key[some]), pa.array(key2[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram.view(np.int64)))], ["key", "key2", "tokens"])
+        for _, n, key, key2, _, gram, shared in _shared_sets(batches, k, percent, bitmap.value):
+            offsets = np.concatenate([[0], np.cumsum(shared)]).astype(np.int32)
+            yield pa.record_batch([pa.array(key), pa.array(key2), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram.view(np.int64)))], ["key", "key2", "size", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, key2 long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, key2 long, size int, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"), F.col("size").alias("_m"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"), F.col("size").alias("_n"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.withColumn("_i", common).where(100 * F.col("_i") >= percent * (F.size("_x") + F.size("_y") - F.col("_i"))).select("a", "b")
+    return both.withColumn("_i", common).where(100 * F.col("_i") >= percent * (F.col("_m") + F.col("_n") - F.col("_i"))).select("a", "b")
 
 
 def _group_links(lists: DataFrame, sets: DataFrame, percent: int, first: int = 1) -> DataFrame:
-    """Verified links (a, b) among the classes of ``lists`` (token, node, n) that give all their components."""
+    """Verified links (a, b) among the classes of ``lists`` (token, node, n, lead) that give all their components."""
     spark = lists.sparkSession
     own = Window.partitionBy("group").orderBy(F.desc("typical"), "node")
-    needed = F.floor((F.col("n") * percent + 99) / 100)
-    lead = F.col("n") - needed + 1
-    members = lists.groupBy("node").agg(F.min("token").alias("group"), F.first("n").alias("n"), F.count("*").alias("shared"))
-    members = materialize(members.withColumn("typical", F.col("shared") / lead).select("node", "group", "n", F.row_number().over(own).alias("rank")), "jaccard-members")
+    members = lists.groupBy("node").agg(F.min("token").alias("group"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.count("*").alias("shared"))
+    members = materialize(members.withColumn("typical", F.col("shared") / F.col("lead")).select("node", "group", "n", F.row_number().over(own).alias("rank")), "jaccard-members")
     matrix = join_small(lists, members.select("node", "group"), "node").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     overlaps = lists.join(matrix, "token").groupBy("node", "n", "group").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.max("most").alias("most"))
     fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
-    opened = materialize(overlaps.where(fits & (F.col("overlap") + F.col("n") - lead >= needed)).select("node", "n", "group"), "jaccard-opened")
+    # Besides the overlap of the leading tokens, at most needed - 1 tokens could agree.
+    opened = materialize(overlaps.where(fits & (F.col("overlap") >= 1)).select("node", "n", "group"), "jaccard-opened")
     links, done, take, turn = None, 0, first, 0
     labels = spark.createDataFrame([], "node long, label long")
     while True:
@@ -204,14 +231,16 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     rows = table.where("row is not null").select("row", "doc_id", "n", "key", "key2")
     classes = materialize(rows.where("n > 0").groupBy("key", "key2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "jaccard-classes")
     common = spark.sparkContext.broadcast(common_counters(table))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bitmap = spark.sparkContext.broadcast(repeated(docs.select("doc_id", "text"), _tokens(k), bits_for(total)))
     of_token = Window.partitionBy("token")
-    leading = _leading(docs, k, percent, common).repartition("token").dropDuplicates(["token", "key"])
-    shared = leading.withColumn("_low", F.min("key").over(of_token)).withColumn("_high", F.max("key").over(of_token)).where("_low <> _high").select("token", "key", "n")
+    leading = _leading(docs, k, percent, common, bitmap).repartition("token").dropDuplicates(["token", "key"])
+    shared = leading.withColumn("_low", F.min("key").over(of_token)).withColumn("_high", F.max("key").over(of_token)).where("_low <> _high").select("token", "key", "n", "lead")
     shared = materialize(shared, "jaccard-shared")
     active = materialize(shared.select("key").distinct().join(classes, "key"), "jaccard-active")
-    sets = join_small(_whole_sets(docs, k), active.select("key", "key2", "node"), ["key", "key2"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    sets = join_small(_whole_sets(docs, k, percent, bitmap), active.select("key", "key2", "node"), ["key", "key2"]).groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
     sets = materialize(sets, "jaccard-sets")
-    lists = materialize(join_small(shared, active.select("key", "node"), "key").select("token", "node", "n"), "jaccard-lists")
+    lists = materialize(join_small(shared, active.select("key", "node"), "key").select("token", "node", "n", "lead"), "jaccard-lists")
     labels = components(_group_links(lists, sets, percent), "jaccard-components")
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))

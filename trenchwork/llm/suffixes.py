@@ -11,8 +11,8 @@ Sampled suffixes meet in the partition of their name (the gram); the suffixes th
 LENGTH - K bytes before are keyed by their LENGTH-byte prefix, sorted, and adjacent ones compared.
 
 Exact copies are settled first: only one copy goes on. Grams that stand in two documents or more
-are found by counts over all documents and sent to the workers as a bitmap of at most
-``MOST_BITS`` bits; its false positives cost rows, not correctness.
+are found by counts over all documents and sent to the workers as a bitmap of
+bounded size; its false positives cost rows, not correctness.
 
 Defined results: a null text is empty; texts under LENGTH bytes keep every byte; rows with equal
 doc_ids do not remove each other's bytes; null doc_ids count as larger than all others. doc_id
@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .repeats import bits_for, repeated, stands_in
 from .store import join_small, materialize
 from .text import _POWERS, flat, mix64, pieces
 
 LENGTH, K = 50, 24
 AROUND = LENGTH - K
 WIDTH = LENGTH + AROUND
-MOST_BITS = 1 << 29
-SEGMENTS = 256
 NO_ID = (1 << 63) - 1
 
 
@@ -65,93 +64,19 @@ def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place, h[place]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted 40-bit values as planes of the bytes of their gaps; the high planes are mostly zero."""
-    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return gaps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
-    gaps = np.zeros((planes.shape[1], 8), np.uint8)
-    gaps[:, :5] = planes.T
-    return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
-
-
-def _gram_lists(docs: DataFrame) -> DataFrame:
-    """(segment, once, more): the 40-bit grams that a task saw in one document and in several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, base = [], 0, 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            value, row = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            order = np.lexsort((row, value))
-            value, row = value[order], row[order]
-            new = np.concatenate([[True], value[1:] != value[:-1]])
-            first = np.flatnonzero(new)
-            several = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
-            distinct = value[first]
-            segment = (distinct >> np.uint64(32)).astype(np.int64)
-            bounds = np.searchsorted(segment, np.arange(SEGMENTS + 1))
-            rows = [(i, distinct[a:b], several[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([_pack(r[1][~r[2]]) for r in rows], pa.binary()), pa.array([_pack(r[1][r[2]]) for r in rows], pa.binary())], ["segment", "once", "more"])
-
-        for batch in pieces(batches, "text", 1 << 20):
-            data, offsets = flat(batch.column("text"))
-            place, gram = sampled(data, offsets)
-            row = np.searchsorted(offsets, place, "right") - 1 + base
-            base += batch.num_rows
-            held.append((gram >> np.uint64(24), row.astype(np.int64)))
-            size += len(place)
-            if size > 4_000_000:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
-
-    return docs.select("text").mapInArrow(run, "segment int, once binary, more binary")
-
-
-def repeated_grams(docs: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the grams that stand in two documents or more."""
-    each = bits // SEGMENTS
-    shift = 32 - (each.bit_length() - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        found: dict[int, np.ndarray] = {}
-
-        for batch in batches:
-            for s, once, more in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "more"))):
-                new, old = _unpack(once), seen.get(s, np.zeros(0, np.uint64))
-                both = np.intersect1d(old, new, assume_unique=True)
-                more = np.concatenate([both, _unpack(more)])
-                seen[s] = np.union1d(old, np.concatenate([new, more]))
-                late = np.intersect1d(old, more, assume_unique=False)
-                mask = found.setdefault(s, np.zeros(each, bool))
-                for part in (more, late):
-                    mask[((part & np.uint64(0xFFFFFFFF)) >> np.uint64(shift)).astype(np.int64)] = True
-        for s, mask in found.items():
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(mask).tobytes()])], ["segment", "bits"])
-
-    parts = _gram_lists(docs).repartition(SEGMENTS, "segment").mapInArrow(run, "segment int, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    # At most MOST_BITS / 8 bytes reach the driver, one segment at a time.
-    for r in materialize(parts, "repeated-grams").toLocalIterator():
-        out[r["segment"] * each // 8 : (r["segment"] + 1) * each // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _has(bitmap: np.ndarray, gram: np.ndarray, bits: int) -> np.ndarray:
-    at = (gram >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    base = 0
+    for batch in pieces(batches, "text", 1 << 20):
+        data, offsets = flat(batch.column("text"))
+        place, gram = sampled(data, offsets)
+        yield gram, np.searchsorted(offsets, place, "right") - 1 + base
+        base += batch.num_rows
 
 
 _PLACE = np.dtype([("id", "<i8"), ("rid", "<i8"), ("at", "<i4")])
 
 
-def _contexts(docs: DataFrame, bitmap, bits: int) -> DataFrame:
+def _contexts(docs: DataFrame, bitmap) -> DataFrame:
     """(name, context, left, right, places): the bytes around repeated grams; a task puts equal ones together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +106,7 @@ def _contexts(docs: DataFrame, bitmap, bits: int) -> DataFrame:
         for batch in pieces(batches, "text", 1 << 20):
             data, offsets = flat(batch.column("text"))
             place, gram = sampled(data, offsets)
-            some = _has(bitmap.value, gram, bits)
+            some = stands_in(bitmap.value, gram)
             place, gram = place[some], gram[some]
             if not len(place):
                 continue
@@ -300,13 +225,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     whole = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text.alias("text"), F.md5(text.cast("binary")).alias("_md5"), F.xxhash64("doc_id", text).alias("rid"))
     sizes = materialize(whole.select("_id", "_md5", F.octet_length("text").cast("long").alias("n")), "dedup-sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(1 << 22, 1 << (max(1, total // 4) - 1).bit_length()))
     groups = sizes.where(F.col("n") >= LENGTH).groupBy("_md5").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     later = materialize(join_small(sizes, materialize(groups, "dedup-copies"), "_md5").where("_id > _first").select("_id", "_md5").distinct(), "dedup-later")
     copies = join_small(whole, later, ["_id", "_md5"], "left_semi")
     single = join_small(whole, later, ["_id", "_md5"], "left_anti")
-    bitmap = spark.sparkContext.broadcast(repeated_grams(single, bits))
-    marks = _marked(_contexts(single, bitmap, bits)).groupBy("_id", "rid").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    bitmap = spark.sparkContext.broadcast(repeated(single.select("text"), _grams, bits_for(total)))
+    marks = _marked(_contexts(single, bitmap)).groupBy("_id", "rid").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
     marks = materialize(marks, "dedup-marks")
     marked = marks.select("_id", "rid")
     touched = join_small(single, marked, ["_id", "rid"], "left_semi").join(marks, ["_id", "rid"])

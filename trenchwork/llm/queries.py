@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, mixing, ngramlm, quality, suffixes, tokenids, urls
+from . import decontaminate, jaccard, langid, mixing, ngramlm, passages, quality, suffixes, tokenids, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(_read(spark, sf_dir, "documents"))
+
+
 def op6_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_passages": op5_passages,
     "op6_tokenids": op6_tokenids,
     "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,

@@ -145,27 +145,47 @@ def training_sample(docs: DataFrame, rows_per_language: int) -> tuple[list[str],
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
+def predict(net: ByteNet | None, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    pred, score = np.full(len(known), "und", object), np.zeros(len(known))
+    if net is not None and known.any():
+        x, row, length = windows_of(*flat(pc.utf8_lower(text)))
+        total = np.zeros((len(known), len(net.labels)))
+        for at in range(0, len(x), 256):
+            of = slice(at, at + 256)
+            np.add.at(total, row[of], net.probabilities(x[of]) * length[of, None])
+        mean = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
+        best = mean.argmax(axis=1)
+        pred[known] = np.array(net.labels, object)[best[known]]
+        score[known] = np.minimum(1.0, mean[np.arange(len(best)), best][known])
+    return pred, score
+
+
+def _trained(docs: DataFrame, rows_per_language: int) -> ByteNet | None:
+    texts, labels = training_sample(docs, rows_per_language)
+    return train(texts, labels) if texts else None
+
+
 def identify(docs: DataFrame, rows_per_language: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
-    texts, labels = training_sample(docs, rows_per_language)
-    net = train(texts, labels) if texts else None
-    kind = dict(docs.dtypes)["doc_id"]
+    net, kind = _trained(docs, rows_per_language), dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            text = batch.column("text")
-            known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            pred, score = np.full(len(known), "und", object), np.zeros(len(known))
-            if net is not None and known.any():
-                x, row, length = windows_of(*flat(pc.utf8_lower(text)))
-                total = np.zeros((len(known), len(net.labels)))
-                for at in range(0, len(x), 256):
-                    of = slice(at, at + 256)
-                    np.add.at(total, row[of], net.probabilities(x[of]) * length[of, None])
-                mean = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
-                best = mean.argmax(axis=1)
-                pred[known] = np.array(net.labels, object)[best[known]]
-                score[known] = np.minimum(1.0, mean[np.arange(len(best)), best][known])
+            pred, score = predict(net, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least_score: float, rows_per_language: int = 400) -> DataFrame:
+    """The documents whose language is known with at least this score, all their columns as they are."""
+    net = _trained(docs, rows_per_language)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            pred, score = predict(net, batch.column("text"))
+            yield batch.filter(pa.array((pred != "und") & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -182,12 +182,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     takes = (
         pieces.where("word_to > word_from")
         .groupBy("doc_id", "text_key", "source_no", "start", "size", "epoch")
-        .agg(F.min("word_from").alias("_from"), F.max("word_to").alias("_to"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "size", "epoch", "_from", "_to")
+        .agg(F.min("word_from").alias("_mix_from"), F.max("word_to").alias("_mix_to"))
+        .select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), F.col("size").alias("_mix_size"), "_mix_from", "_mix_to")
     )
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_from") + 1, F.col("_to") - F.col("_from"))
-    text = F.when(F.col("_to") - F.col("_from") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
+    taken = F.col("_mix_to") - F.col("_mix_from")
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_mix_from") + 1, taken)
+    text = F.when(taken == F.col("_mix_size"), F.col("text")).otherwise(F.array_join(words, " "))
     own = docs.dropDuplicates(["doc_id", "text"])
-    out = own.join(takes, own["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    out = own.join(takes, own["doc_id"].eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_key")))
     columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import join_small, materialize
+
 
 def ancestors(tree: DataFrame, most_levels: int = 64) -> DataFrame:
     """(node, ancestor, hops, metres) of a forest (node, parent, length), every node its own ancestor.
@@ -43,17 +45,71 @@ def monotone_dn(tree: DataFrame, most_levels: int = 64) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(node, metres, source): the shortest way from any source along at most ``rounds`` edges (a, b, metres)
-    that can be gone both ways; the smallest source of equals. Each round joins the frontier only."""
+    """(node, metres, source, via): the shortest way from any source along at most ``rounds`` edges
+    (a, b, metres) that can be gone both ways, and the node before on it; the smallest source, then node
+    before, of equals. Sources (node) may carry a ``label`` to be named by. Each round joins the frontier only."""
     both = edges.select("a", "b", "metres").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres"))
-    best = sources.select("node", F.lit(0.0).alias("metres"), F.col("node").alias("source"))
+    label = F.col("label") if "label" in sources.columns else F.col("node")
+    best = sources.select("node", F.lit(0.0).alias("metres"), label.alias("source"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("via"))
     frontier = best
     for _ in range(rounds):
         step = frontier.select(F.col("node").alias("a"), F.col("metres").alias("_m"), "source").join(both, "a")
-        offers = step.select(F.col("b").alias("node"), (F.col("_m") + F.col("metres")).alias("metres"), "source")
-        offers = offers.groupBy("node").agg(F.min(F.struct("metres", "source")).alias("n"))
-        old = best.select("node", F.struct("metres", "source").alias("o"))
+        offers = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("_m") + F.col("metres")).alias("metres"), "source", F.col("a").alias("via"))).alias("n"))
+        old = best.select("node", F.struct("metres", "source", "via").alias("o"))
         merged = old.join(offers, "node", "full").select("node", F.least("o", "n").alias("x"), (F.col("o").isNull() | (F.col("n") < F.col("o"))).alias("fresh"))
-        best = merged.select("node", F.col("x.metres").alias("metres"), F.col("x.source").alias("source"), "fresh")
+        best = merged.select("node", F.col("x.metres").alias("metres"), F.col("x.source").alias("source"), F.col("x.via").alias("via"), "fresh")
         frontier, best = best.where("fresh").drop("fresh"), best.drop("fresh")
     return best
+
+
+def settled_paths(edges: DataFrame, sources: DataFrame, at_once: int = 4) -> DataFrame:
+    """As ``shortest_paths`` without a bound: rounds go on until no way gets shorter."""
+    held = materialize(shortest_paths(edges, sources, at_once), "paths")
+    while True:
+        again = held.select("node", F.struct("metres", "source", "via").alias("o"))
+        both = edges.select("a", "b", "metres").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres"))
+        step = held.select(F.col("node").alias("a"), F.col("metres").alias("_m"), "source").join(both, "a")
+        offers = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("_m") + F.col("metres")).alias("metres"), "source", F.col("a").alias("via"))).alias("n"))
+        merged = again.join(offers, "node", "full").withColumn("fresh", F.col("o").isNull() | (F.col("n") < F.col("o"))).withColumn("x", F.least("o", "n"))
+        out = materialize(merged.select("node", "x.metres", "x.source", "x.via", "fresh"), "paths")
+        held = out.drop("fresh")
+        if not out.where("fresh").limit(1).count():
+            return held
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """node and label (the smallest node reachable) for every node of ``links`` (a, b).
+
+    Labels spread along links and jump along labels until none changes; every round is a written table.
+    """
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-links")
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), f"{name}-0")
+    turn = 0
+    while True:
+        turn += 1
+        near = join_small(both, labels.select(F.col("node").alias("b"), F.col("label").alias("_near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_near").alias("_near"))
+        spread = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), (F.col("_near") < F.col("label")).alias("changed"))
+        spread = materialize(spread, f"{name}-spread-{turn}")
+        jumped = join_small(spread, spread.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left")
+        jumped = jumped.select("node", F.coalesce("_far", "label").alias("label"), (F.col("changed") | (F.col("_far") < F.col("label"))).alias("changed"))
+        labels = materialize(jumped, f"{name}-{turn}")
+        if not labels.where("changed").limit(1).count():
+            return labels.select("node", "label")
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The edges (a, b, metres) of a minimum spanning forest: each round every component takes its
+    least edge out, and components that so meet become one."""
+    held = materialize(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("metres").alias("metres")), "forest-edges")
+    taken = None
+    open_ = held.select("a", "b", "metres", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    while True:
+        choice = F.struct("metres", "a", "b")
+        least = open_.select(F.col("ca").alias("c"), choice.alias("e")).unionByName(open_.select(F.col("cb").alias("c"), choice.alias("e"))).groupBy("c").agg(F.min("e").alias("e"))
+        new = materialize(least.select("e.a", "e.b", "e.metres").distinct(), "forest-taken")
+        if not new.limit(1).count():
+            return taken if taken is not None else held.limit(0)
+        taken = new if taken is None else taken.unionByName(new)
+        label = components(taken, "forest-labels")
+        open_ = open_.join(label.select(F.col("node").alias("a"), F.col("label").alias("_ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("_cb")), "b", "left")
+        open_ = materialize(open_.select("a", "b", "metres", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb")).where("ca <> cb"), "forest-open")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import crs
 from ..functions import geometry as g
 from ..functions import rules as r
-from ..operators import costing, depth, intervals, network, spatial
+from ..operators import costing, depth, intervals, network, routes, spatial
 from ..sources import geojson
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,7 +323,8 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, customers = F.col("c_custkey"), table(spark, sf_dir, "customer")
     halves = customers.where("c_custkey > 0").select(k.alias("a"), F.floor(k / 2).alias("b"), (k % 30 + 1).cast("double").alias("metres"))
     sevens = customers.where("c_custkey >= 7").select(k.alias("a"), (k - 7).alias("b"), (k % 11 + 3).cast("double").alias("metres"))
-    return network.shortest_paths(halves.unionByName(sevens), customers.where("c_custkey % 97 = 0").select(k.alias("node")), 5)
+    found = network.shortest_paths(halves.unionByName(sevens), customers.where("c_custkey % 97 = 0").select(k.alias("node")), 5)
+    return found.select("node", "metres", "source")
 
 
 _PLANS = "SELECT o_custkey % 400 AS run, ['mincost', 'mintaps', 'minrecon', 'finale'][(o_orderkey % 4 + 1)::INTEGER] AS code, floor(min(o_totalprice) * 1000) AS cost, (count(*) % 4)::BIGINT AS taps, floor(max(o_totalprice) / 100) AS length, (max(o_orderkey) % 3)::BIGINT AS unconnected FROM orders GROUP BY ALL"
@@ -421,3 +422,21 @@ def feature_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.kind_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "kind"))
+
+
+@query(None)
+def route_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers joined to nations' places past square obstacles: pipes with flow, diameter and cost."""
+    at = lambda k, a, b: ((k * a % 1000).cast("double").alias("x"), (k * b % 1000).cast("double").alias("y"))
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    roots = nation.select((F.col("n_nationkey") + 1).cast("long").alias("id"), *at(F.col("n_nationkey"), 211, 383))
+    consumers = supplier.select((F.col("s_suppkey") + 1_000).alias("id"), *at(F.col("s_suppkey"), 37, 91))
+    mx, my = (F.col("n_nationkey") * 457 % 1000).cast("double"), (F.col("n_nationkey") * 619 % 1000).cast("double")
+    corner = lambda dx, dy: F.struct((mx + dx).alias("x"), (my + dy).alias("y"))
+    blocks = nation.select(F.col("n_nationkey").alias("polygon"), F.array(corner(0, 0), corner(30, 0), corner(30, 30), corner(0, 30), corner(0, 0)).alias("ring"))
+    shell = routes.corners(blocks, 2.0)
+    corner_id = F.lit(1 << 40) + F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40))
+    points = roots.unionByName(consumers).unionByName(shell.select(corner_id.alias("id"), "x", "y").distinct())
+    tree = routes.steiner_forest(routes.legs(points, blocks, 120.0), consumers.select(F.col("id").alias("node")), roots.select(F.col("id").alias("node")))
+    demand = supplier.select((F.col("s_suppkey") + 1_000).alias("node"), (F.col("s_suppkey") % 40 / 2.0).alias("flow"))
+    return routes.sized(tree, demand)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trenchwork.llm import decontaminate, jaccard, langid, mixing, tokenids
-from trenchwork.llm.store import join_small, materialize
+from trenchwork.store import join_small, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

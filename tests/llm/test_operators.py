@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trenchwork.llm import decontaminate, graph, jaccard, langid, mixing, ngramlm, passages, quality, suffixes, tokenids, urls
+from trenchwork.llm import decontaminate, jaccard, langid, mixing, ngramlm, passages, quality, suffixes, tokenids, urls
+from trenchwork.operators.network import components
 
 from . import data
 
@@ -304,9 +305,9 @@ def test_language_model(docs, none, monkeypatch, most_words):
 
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 55)], "a long, b long")
-    got = {r["node"]: r["label"] for r in graph.components(links).collect()}
+    got = {r["node"]: r["label"] for r in components(links).collect()}
     assert got == {i: 0 for i in range(21)} | {50: 50, 55: 50, 60: 50}
-    assert graph.components(links.limit(0)).count() == 0
+    assert components(links.limit(0)).count() == 0
 
 
 def test_pipeline(spark, docs, tmp_path):

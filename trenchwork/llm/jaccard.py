@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import components
+from ..operators.network import components
 from .repeats import bits_for, repeated, stands_in
-from .store import join_small, materialize
+from ..store import join_small, materialize
 from .text import NOT_SPACE, Words, mix64, pieces, words_of
 
 #: Counters of the sketch that finds common tokens; its parts of SPAN counters are summed apart.

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .huffman import Code, canonical, code_lengths, decode, encode
-from .store import new_path
+from ..store import new_path
 from .text import byte_hashes, flat, pieces
 
 _GRAPHIC = np.zeros(256, bool)

@@ -133,4 +133,21 @@ reach(node, root) AS (
   SELECT doc_id, doc_id FROM doc UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node)
 SELECT doc.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, (SELECT min(root) FROM reach WHERE node = doc.doc_id)::BIGINT AS component_id
 FROM doc LEFT JOIN sizes USING (doc_id)""",
+    "op7_suffixes": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (
+  SELECT doc_id, i, substr(hx, 2 * i - 1, 100) AS s
+  FROM (SELECT doc_id, hx, unnest(range(1, length(hx) // 2 - 48)) AS i FROM d WHERE length(hx) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS brk FROM r),
+q AS (SELECT doc_id, i, sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS b FROM q GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS p FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(substr(hx, 2 * p + 1, 2 * (a - p - 1)), '' ORDER BY run) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a + 1) AS n_removed
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head || substr(hx, 2 * last + 1), hx))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }

@@ -46,7 +46,7 @@ def _lists(docs: DataFrame, hashes: Hashes) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             value, row = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            order = np.argsort(value, kind="stable")
+            order = np.argsort(value)
             value, row = value[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             several = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)

@@ -58,7 +58,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source", "word_chars", "n_symbols",
         F.size(w).cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(w) > 3, F.array_sort(windows)).alias("windows"),
+        F.when(F.size(w) > 3, F.sort_array(windows)).alias("windows"),
     )
     s = F.col("windows")
     pairs = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trenchwork.llm import decontaminate, jaccard, langid, mixing, tokenids
@@ -20,20 +20,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, least_score=0.3)
 
 
+def row_key() -> Column:
+    """Tells documents apart whose doc_id is null or repeated; rows of equal id and text share a verdict."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of five-word Jaccard similarity 0.8 or more: that with the smallest doc_id."""
-    groups = jaccard.similar_components(docs, k=5, percent=80)
-    first = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    kept = join_small(docs, first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    """Keep one document of each group of five-word Jaccard similarity 0.8 or more: that with the smallest doc_id, null last."""
+    keyed = docs.withColumn("_key", row_key())
+    groups = jaccard.similar_components(keyed.withColumn("doc_id", F.col("_key")), k=5, percent=80)
+    named = groups.select(F.col("doc_id").alias("_key"), "component_id").join(keyed.select("_key", "doc_id"), "_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("least")
+    first = materialize(named.groupBy("component_id").agg(least).select("least._key"), "kept-keys")
+    kept = join_small(keyed, first, "_key", "left_semi")
+    again = keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "text"]) if again else kept).drop("_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
-    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialize(judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated-ids")
-    return join_small(docs, hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+    keyed = docs.withColumn("_key", row_key())
+    judged = decontaminate.contamination(keyed.withColumn("doc_id", F.col("_key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = materialize(judged.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated-keys")
+    return join_small(keyed, hit, "_key", "left_anti").drop("_key")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

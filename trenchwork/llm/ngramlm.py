@@ -236,6 +236,7 @@ def scored(docs: DataFrame, folds: int = 7, fold: int = 2, share: float = 0.7) -
             n_known = np.bincount(row[sure], count[sure] > 0, rows).astype(np.int64)
             # The model: quantised counts by probing the filter.
             single = typical_count(filter_.look_up(unique))
+            single[unique == START] = single[unique == END]  # every text has one start and one end
             pair = typical_count(filter_.look_up(pair_key(before, token)))
             alone = (single[of_token] + 1) / denominator
             given = np.minimum(1.0, pair / np.maximum(single[of_before], np.maximum(pair, 1.0)))

@@ -312,6 +312,14 @@ def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.join(network.monotone_dn(tree, 32), "node").select("node", F.col("total").alias("total_flow"), "nodes", "dn")
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b, metres) between customers, and every 97th as a source."""
+    k, customers = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    halves = customers.where("c_custkey > 0").select(k.alias("a"), F.floor(k / 2).alias("b"), (k % 30 + 1).cast("double").alias("metres"))
+    sevens = customers.where("c_custkey >= 7").select(k.alias("a"), (k - 7).alias("b"), (k % 11 + 3).cast("double").alias("metres"))
+    return halves.unionByName(sevens), customers.where("c_custkey % 97 = 0").select(k.alias("node"))
+
+
 @query(
     "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 2 AS b, (c_custkey % 30 + 1)::DOUBLE AS m FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey - 7, (c_custkey % 11 + 3)::DOUBLE FROM customer WHERE c_custkey >= 7), "
     "b AS (SELECT a, b, m FROM e UNION ALL SELECT b, a, m FROM e), "
@@ -320,11 +328,14 @@ def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of many sources along at most five edges."""
-    k, customers = F.col("c_custkey"), table(spark, sf_dir, "customer")
-    halves = customers.where("c_custkey > 0").select(k.alias("a"), F.floor(k / 2).alias("b"), (k % 30 + 1).cast("double").alias("metres"))
-    sevens = customers.where("c_custkey >= 7").select(k.alias("a"), (k - 7).alias("b"), (k % 11 + 3).cast("double").alias("metres"))
-    found = network.shortest_paths(halves.unionByName(sevens), customers.where("c_custkey % 97 = 0").select(k.alias("node")), 5)
-    return found.select("node", "metres", "source")
+    edges, sources = _graph(spark, sf_dir)
+    return network.shortest_paths(edges, sources, 5).select("node", "metres", "source")
+
+
+@query(None)
+def nearest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of many sources along any number of edges; without SQL, which would list all walks."""
+    return network.settled_paths(*_graph(spark, sf_dir)).select("node", "metres", "source")
 
 
 _PLANS = "SELECT o_custkey % 400 AS run, ['mincost', 'mintaps', 'minrecon', 'finale'][(o_orderkey % 4 + 1)::INTEGER] AS code, floor(min(o_totalprice) * 1000) AS cost, (count(*) % 4)::BIGINT AS taps, floor(max(o_totalprice) / 100) AS length, (max(o_orderkey) % 3)::BIGINT AS unconnected FROM orders GROUP BY ALL"

@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from ..store import join_small, materialize
 
 
-def ancestors(tree: DataFrame, most_levels: int = 64) -> DataFrame:
+def ancestors(tree: DataFrame, most_levels: int | None = 64) -> DataFrame:
     """(node, ancestor, hops, metres) of a forest (node, parent, length), every node its own ancestor.
 
-    Paths double each round, so a tree of depth d takes about log2(d) joins.
+    Paths double each round, so a tree of depth d takes about log2(d) joins. Without ``most_levels``
+    rounds go on until no node has a jump left, and each is a written table.
     """
     own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"), F.lit(0.0).alias("metres"))
     jump = tree.where("parent is not null").select("node", F.col("parent").alias("to"), F.lit(1).alias("step"), F.col("length").cast("double").alias("way"))
     found, covered = own, 1
-    while covered < most_levels:
+    while covered < most_levels if most_levels is not None else jump.limit(1).count():
         ahead = found.alias("f").join(jump.alias("j"), F.col("f.ancestor") == F.col("j.node"))
         found = found.unionByName(ahead.select("f.node", F.col("j.to").alias("ancestor"), (F.col("f.hops") + F.col("j.step")).alias("hops"), (F.col("f.metres") + F.col("j.way")).alias("metres")))
         after = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("step").alias("_step"), F.col("way").alias("_way"))
         jump = jump.join(after, "to").select("node", F.col("_to").alias("to"), (F.col("step") + F.col("_step")).alias("step"), (F.col("way") + F.col("_way")).alias("way"))
         covered *= 2
+        if most_levels is None:
+            found, jump = materialize(found, "walks"), materialize(jump, "jumps")
     return found
 
 
@@ -32,7 +35,7 @@ def to_source(tree: DataFrame, most_levels: int = 64) -> DataFrame:
     return walks.join(roots, walks["ancestor"] == roots["source"]).select("node", "source", "hops", "metres")
 
 
-def subtree_sums(tree: DataFrame, value: str, most_levels: int = 64) -> DataFrame:
+def subtree_sums(tree: DataFrame, value: str, most_levels: int | None = 64) -> DataFrame:
     """(node, total, nodes): the sum of ``value`` over each node's subtree."""
     walks = ancestors(tree.select("node", "parent", "length"), most_levels).select("node", "ancestor")
     return walks.join(tree.select("node", value), "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum(value).alias("total"), F.count("*").alias("nodes"))

@@ -80,7 +80,7 @@ def steiner_forest(edges: DataFrame, terminals: DataFrame, roots: DataFrame) ->
     return whole.select("node", F.col("via").alias("parent"), (F.col("metres") - F.coalesce("_m", F.lit(0.0))).alias("length"))
 
 
-def sized(tree: DataFrame, demand: DataFrame, rules: r.Rules = r.DEFAULT, levels: int = 64) -> DataFrame:
+def sized(tree: DataFrame, demand: DataFrame, rules: r.Rules = r.DEFAULT, levels: int | None = None) -> DataFrame:
     """(node, parent, length, flow, dn, cost) of the pipes that carry any of the demand (node, flow).
     The diameter follows the flow gathered below, so it never falls towards the source."""
     flows = tree.join(demand, "node", "left").select("node", "parent", "length", F.coalesce("flow", F.lit(0.0)).alias("flow"))

@@ -2,17 +2,19 @@
 
 A document is the set of its distinct word n-grams; equal sets are one class. A bitmap of the
 tokens that stand in two documents or more bounds a set's overlap with all others together; sets
-that could not reach the threshold are settled by it. Under a global order of tokens (common ones,
-by a counting sketch over all documents, come last) two sets of similarity ``percent`` share one
-of the first ``s - ceil(percent * n) + 1`` of the s shared tokens of each. Classes that share such a token are partitioned into groups by their least shared token;
-the token-group matrix holds the union of each group's leading tokens. A class opens a group only
-if the overlap with that union, and all of its other tokens besides, could reach the threshold
-and the sizes allow it.
-
-Within the opened groups, classes are compared with a few members at a time, the most typical
-first. A class is not compared with a member that is already known to be in its component, and a
-group whose members are all in one component is done; otherwise every member has its turn, so no
-link that could join two components is passed over, and copies are never expanded into pairs.
+that could not reach the threshold are settled by it. Tokens are ordered by their frequency among
+the remaining sets (a counting sketch over all of them), rare ones first, so two sets of similarity
+``percent`` share one of the first ``s - ceil(percent * n / 100) + 1`` of the s shared tokens of each.
+
+Similar sets are partitioned into groups first: each class is compared with one other, which
+most of its leading tokens name, and those that reach the threshold form a group around that centre.
+The token-group matrix then has a row for each leading token and group: the union of the members'
+leading tokens, with the least and the most size among those that hold it and the most tokens that may
+follow it in one of them. What follows the first common token, in the query and in the group, bounds
+their overlap; only groups of another component that could hold enough are opened. An opened group's
+centre is compared first; members only where their overlaps with it, the query's, and what both have
+beside it could still reach what is needed. So no link that could join two components is passed over, and
+neither copies nor members of one component are ever expanded into pairs.
 
 Defined results: a null or wordless text has an empty set and is its own component; a text of
 fewer than ``k`` words is its whole sequence; rows with equal doc_ids are separate documents, and
@@ -26,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.network import components
 from .repeats import bits_for, repeated, stands_in
 from ..store import join_small, materialize
 from .text import NOT_SPACE, Words, mix64, pieces, words_of
 
-#: Counters of the sketch that finds common tokens; its parts of SPAN counters are summed apart.
-COUNTERS, SPAN = 1 << 21, 1 << 15
+#: Counters of the sketch of token frequencies; its parts of SPAN counters are summed apart.
+COUNTERS, SPAN = 1 << 22, 1 << 15
+#: Bits of a set's number within its task, and of the whole number.
+ID_BITS, NODE_BITS = 30, 52
 
 
 def _order(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -85,47 +89,47 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """A row (row, doc_id, n, key, key2) for each document, and (part, counts) rows of the sketch."""
+    """doc_id, set size and the two keys of the set of each document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "n", "key", "key2", "part", "counts"]
-        base, id_type = TaskContext.get().partitionId() << 33, pa.null()
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch, _, gram, sizes, key, key2 in _sets(batches, k):
-            n, id_type = batch.num_rows, batch.column("doc_id").type
-            np.add(counts, np.bincount((gram & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), out=counts)
-            yield pa.record_batch([pa.array(base + np.arange(n)), batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(key), pa.array(key2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            base += n
-        small = np.minimum(counts, 65535).astype(np.uint16)
-        parts = [i for i in range(COUNTERS // SPAN) if small[i * SPAN : (i + 1) * SPAN].any()]
-        for i in parts:
-            none = [pa.nulls(1, t) for t in (pa.int64(), id_type, pa.int64(), pa.int64(), pa.int64())]
-            yield pa.record_batch([*none, pa.array([i], pa.int32()), pa.array([small[i * SPAN : (i + 1) * SPAN].tobytes()], pa.binary())], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n long, key long, key2 long, part int, counts binary")
-
-
-def common_counters(profile: DataFrame) -> np.ndarray:
-    """Which counters hold a token far more frequent than the counters' mean load."""
+        for batch, _, _, sizes, key, key2 in _sets(batches, k):
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(key), pa.array(key2)], ["doc_id", "n", "key", "key2"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key long, key2 long")
+
+
+def frequency_levels(held: DataFrame) -> np.ndarray:
+    """For each counter a level that grows with the number of sets holding its tokens."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            tokens = batch.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            np.add.at(counts, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        for i in range(COUNTERS // SPAN):
+            part = counts[i * SPAN : (i + 1) * SPAN]
+            if part.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                sums.setdefault(part, np.zeros(SPAN, np.int64))[:] += np.frombuffer(counts.as_buffer(), np.uint16)
-        for part, counts in sums.items():
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([counts.astype(np.uint32).tobytes()])], ["part", "counts"])
+                sums.setdefault(part, np.zeros(SPAN, np.int64))[:] += np.frombuffer(counts.as_buffer(), np.uint32)
+        for part, total in sums.items():
+            level = np.floor(4 * np.log2(total + 1.0)).astype(np.uint8)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([level.tobytes()])], ["part", "levels"])
 
-    total = np.zeros(COUNTERS, np.int64)
-    # COUNTERS / SPAN rows of bounded size reach the driver.
-    for r in profile.where("part is not null").select("part", "counts").repartition(COUNTERS // SPAN, "part").mapInArrow(run, "part int, counts binary").toLocalIterator():
-        total[r["part"] * SPAN : (r["part"] + 1) * SPAN] = np.frombuffer(r["counts"], np.uint32)
-    mean = total.mean()
-    return total > mean + 8 * np.sqrt(mean) + 40
+    out = np.zeros(COUNTERS, np.uint8)
+    parts = held.select("tokens").mapInArrow(count, "part int, counts binary").repartition(COUNTERS // SPAN, "part")
+    # COUNTERS bytes reach the driver.
+    for r in parts.mapInArrow(add, "part int, levels binary").toLocalIterator():
+        out[r["part"] * SPAN : (r["part"] + 1) * SPAN] = np.frombuffer(r["levels"], np.uint8)
+    return out
 
 
-def least_overlap(n, percent: int):
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """The overlap that a set of size n needs with any partner: ceil(percent * n / 100)."""
     return (percent * n + 99) // 100
 
@@ -140,114 +144,147 @@ def _tokens(k: int):
     return run
 
 
-def _shared_sets(batches: Iterator[pa.RecordBatch], k: int, percent: int, bitmap: np.ndarray):
-    """Of each set that could reach the threshold with what is shared at all: its shared tokens.
+def _shared_sets(docs: DataFrame, k: int, percent: int, bitmap) -> DataFrame:
+    """(id, key, key2, n, tokens): the shared tokens of each set that could reach the threshold with
+    another set by what is shared at all. A task gives equal sets once."""
 
-    Yields (n of each, keys of each, set of each token, tokens, shared tokens of each). A task yields
-    equal sets once.
-    """
-    seen: set[tuple[int, int]] = set()
-    for _, row, gram, sizes, key, key2 in _sets(batches, k):
-        common = stands_in(bitmap, gram)
-        shared = np.bincount(row[common], minlength=len(sizes))
-        fits = (sizes > 0) & (shared >= least_overlap(sizes, percent))
-        for i in np.flatnonzero(fits).tolist():
-            value = (int(key[i]), int(key2[i]))
-            fits[i] = value not in seen
-            seen.add(value)
-        if len(seen) > 500_000:
-            seen.clear()
-        rows = np.flatnonzero(fits)
-        keep = common & fits[row]
-        place = np.cumsum(fits) - 1
-        yield sizes[rows], key[rows], key2[rows], place[row[keep]], gram[keep], shared[rows]
-
-
-def _shared_tokens(docs: DataFrame, k: int, percent: int, common, bitmap) -> DataFrame:
-    """(key, key2, n, leading, rest): size and shared tokens of each set that could reach the threshold."""
-
-    def lists(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        base = TaskContext.get().partitionId() << ID_BITS
+        for _, row, gram, sizes, key, key2 in _sets(batches, k):
+            common = stands_in(bitmap.value, gram)
+            shared = np.bincount(row[common], minlength=len(sizes))
+            # A different set has at best one token more.
+            fits = (100 * sizes >= percent * (sizes + 1)) & (shared >= least_overlap(sizes, percent))
+            for i in np.flatnonzero(fits).tolist():
+                value = (int(key[i]), int(key2[i]))
+                fits[i] = value not in seen
+                seen.add(value)
+            if len(seen) > 200_000:
+                seen.clear()
+            rows = np.flatnonzero(fits)
+            if len(rows):
+                offsets = np.concatenate([[0], np.cumsum(shared[rows])]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram[common & fits[row]].view(np.int64)))
+                yield pa.record_batch([pa.array(base + np.arange(len(rows))), pa.array(key[rows]), pa.array(key2[rows]), pa.array(sizes[rows].astype(np.int64)), tokens], ["id", "key", "key2", "n", "tokens"])
+                base += len(rows)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, key long, key2 long, n long, tokens array<long>")
+
+
+def _leading(held: DataFrame, percent: int, levels) -> DataFrame:
+    """(node, n, shared, leading): the leading tokens of each set, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, key, key2, of, gram, shared in _shared_sets(batches, k, percent, bitmap.value):
-            last = common.value[(gram & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            # The tokens of a set are in ascending order already.
-            gram = gram[np.argsort(2 * of + last, kind="stable")]
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            column = batch.column("tokens")
+            shared = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(n)), shared)
+            tokens = column.flatten().to_numpy(zero_copy_only=False)
+            # The tokens of a set are in one order (of their hashes) already.
+            level = levels.value[(tokens.view(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            tokens = tokens[np.argsort(of * 256 + level, kind="stable")]
             lead = shared - least_overlap(n, percent) + 1
             within = np.arange(len(of)) - np.repeat(np.cumsum(shared) - shared, shared)
-            leads = within < np.repeat(lead, shared)
-            yield pa.record_batch([pa.array(key), pa.array(key2), pa.array(n.astype(np.int32)), lists(gram[leads], lead), lists(gram[~leads], shared - lead)], ["key", "key2", "n", "leading", "rest"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, key2 long, n int, leading array<long>, rest array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"), F.col("size").alias("_m"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"), F.col("size").alias("_n"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("_x", "_y"))
-    return both.withColumn("_i", common).where(100 * F.col("_i") >= percent * (F.col("_m") + F.col("_n") - F.col("_i"))).select("a", "b")
-
-
-def _group_links(lists: DataFrame, sets: DataFrame, percent: int, first: int = 1) -> DataFrame:
-    """Verified links (a, b) among the classes of ``lists`` (token, node, n, lead) that give all their components."""
-    spark = lists.sparkSession
-    own = Window.partitionBy("group").orderBy(F.desc("typical"), "node")
-    members = lists.groupBy("node").agg(F.min("token").alias("group"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.count("*").alias("shared"))
-    members = materialize(members.withColumn("typical", F.col("shared") / F.col("lead")).select("node", "group", "n", F.row_number().over(own).alias("rank")), "jaccard-members")
-    matrix = join_small(lists, members.select("node", "group"), "node").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    overlaps = lists.join(matrix, "token").groupBy("node", "n", "group").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.max("most").alias("most"))
-    fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
-    # Besides the overlap of the leading tokens, at most needed - 1 tokens could agree.
-    opened = materialize(overlaps.where(fits & (F.col("overlap") >= 1)).select("node", "n", "group"), "jaccard-opened")
-    links, done, take, turn = None, 0, first, 0
-    labels = spark.createDataFrame([], "node long, label long")
-    while True:
-        turn += 1
-        label = lambda df, node, out: join_small(df, labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))  # noqa: B023, E731
-        left = label(members.where(F.col("rank") > done), "node", "label")
-        # A class leaves a group when all members still to come are in its component.
-        rest = materialize(left.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high")), f"jaccard-rest-{turn}")
-        now = label(opened, "node", "own")
-        opened = materialize(join_small(now, rest, "group").where((F.col("_low") != F.col("own")) | (F.col("_high") != F.col("own"))).select("node", "n", "group"), f"jaccard-opened-{turn}")
-        if not opened.limit(1).count():
-            return links if links is not None else spark.createDataFrame([], "a long, b long")
-        leaders = left.where(F.col("rank") <= done + take).select("group", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("label").alias("leader_label"))
-        tries = opened.join(leaders, "group") if turn > 1 else join_small(opened, materialize(leaders, f"jaccard-leaders-{turn}"), "group")
-        tries = label(tries, "node", "own").where((F.col("own") != F.col("leader_label")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
-        pairs = tries.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = materialize(_verified(pairs, sets, percent), f"jaccard-links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, f"jaccard-labels-{turn}")
-        done, take = done + take, take * 4
+            offsets = np.concatenate([[0], np.cumsum(lead)]).astype(np.int32)
+            leading = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[within < np.repeat(lead, shared)]))
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(shared), leading], ["node", "n", "shared", "leading"])
+
+    return held.select("id", "n", "tokens").mapInArrow(run, "node long, n long, shared long, leading array<long>")
+
+
+def _compared(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with the sizes, numbers of shared tokens and overlap of their sets, and whether they are linked."""
+    left = join_small(held.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("_x")), pairs, "a")
+    some = pairs.select("b").distinct()
+    right = join_small(held.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("_y")), some, "b", "left_semi")
+    both = left.join(right, "b").withColumns({"common": F.size(F.array_intersect("_x", "_y")).cast("long"), "s_a": F.size("_x").cast("long"), "s_b": F.size("_y").cast("long")}).drop("_x", "_y")
+    return both.withColumn("linked", 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
+
+
+def needed(a: Column, b: Column, percent: int) -> Column:
+    """The overlap that sets of sizes a and b need: ceil(percent * (a + b) / (100 + percent))."""
+    return F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
+
+
+def _labelled(df: DataFrame, labels: DataFrame | None, node: str, out: str) -> DataFrame:
+    """``df`` with the component that ``node`` is known to be in as ``out``; by itself, the node's own number."""
+    if labels is None:
+        return df.withColumn(out, F.col(node))
+    named = labels.select(F.col("node").alias(node), F.col("label").alias(out))
+    return join_small(df, named, node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def _components(postings: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the sets that are linked with another one.
+
+    ``postings`` has (token, pos, node, n, shared, leader), for tokens of two sets or more.
+    """
+    votes = postings.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    choice = votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
+    stars = materialize(_compared(materialize(choice, "jaccard-choices"), held, percent).where("linked"), "jaccard-stars")
+    labels = components(stars.select("a", "b"), "jaccard-labels")
+    # A centre is a group of its own; what is linked with it, and no centre itself, is in its group.
+    centres = stars.select(F.col("b").alias("a")).distinct()
+    members = join_small(stars, centres, "a", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("group"), F.col("n_a").alias("m"), F.col("common").alias("inside"), (F.col("s_a") - F.col("common")).alias("beside"))
+    members = materialize(members, "jaccard-members")
+    placed = join_small(_labelled(postings.drop("leader"), labels, "node", "label"), members.select("node", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    placed = materialize(placed, "jaccard-placed")
+    several = placed.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
+    mixed = materialize(placed.join(several, "token"), "jaccard-mixed")
+    follow = F.col("shared") - F.col("pos")
+    # The matrix: which groups hold a token, in sets of what sizes, and how many tokens of a member may follow.
+    matrix = mixed.groupBy("token", "group").agg(F.min("label").alias("of"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(follow).alias("room"))
+    queries = mixed.select("token", "node", "n", "label", follow.alias("follow"))
+    size = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    fits = (F.col("label") != F.col("of")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    bound = F.least("follow", "room") >= needed(F.col("n"), size, percent)
+    opened = materialize(queries.join(matrix, "token").where(fits & bound).select("node", "group").distinct(), "jaccard-opened")
+    tests = materialize(opened.select(F.least("node", "group").alias("a"), F.greatest("node", "group").alias("b")).distinct(), "jaccard-tests")
+    tested = materialize(_compared(tests, held, percent), "jaccard-tested")
+    links = stars.select("a", "b").unionByName(tested.where("linked").select("a", "b"))
+    labels = components(links, "jaccard-relabelled")
+    # Of groups whose centre is not linked: members that could agree with the query beside the centre.
+    missed = tested.where("not linked")
+    either = None
+    for q, c in (("a", "b"), ("b", "a")):
+        side = missed.select(F.col(q).alias("node"), F.col(c).alias("group"), F.col(f"n_{q}").alias("n"), "common", (F.col(f"s_{q}") - F.col("common")).alias("extra"))
+        either = side if either is None else either.unionByName(side)
+    left = _labelled(_labelled(either.join(opened, ["node", "group"], "left_semi"), labels, "node", "own"), labels, "group", "other").where("own <> other").drop("own", "other")
+    sizes = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
+    # What a member and the query have in common lies within the centre or beside it.
+    union = F.least("common", "inside") + F.least("extra", "beside") >= needed(F.col("n"), F.col("m"), percent)
+    pairs = left.join(members.withColumnRenamed("node", "member"), "group").where(sizes & union)
+    pairs = materialize(pairs.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct(), "jaccard-pairs")
+    if not pairs.limit(1).count():
+        return labels
+    links = links.unionByName(_compared(pairs, held, percent).where("linked").select("a", "b"))
+    return components(links, "jaccard-components")
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id for every document."""
     spark = docs.sparkSession
-    table = materialize(_profile(docs, k), "jaccard-profile")
-    rows = table.where("row is not null").select("row", "doc_id", "n", "key", "key2")
-    classes = materialize(rows.where("n > 0").groupBy("key", "key2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "jaccard-classes")
-    common = spark.sparkContext.broadcast(common_counters(table))
+    rows = materialize(_profile(docs, k), "jaccard-profile")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bitmap = spark.sparkContext.broadcast(repeated(docs.select("doc_id", "text"), _tokens(k), bits_for(total)))
-    of_token = Window.partitionBy("token")
-    held = materialize(_shared_tokens(docs, k, percent, common, bitmap), "jaccard-tokens")
-    leading = held.select(F.explode("leading").alias("token"), "key", "n", F.size("leading").alias("lead")).repartition("token").dropDuplicates(["token", "key"])
-    shared = leading.withColumn("_low", F.min("key").over(of_token)).withColumn("_high", F.max("key").over(of_token)).where("_low <> _high").select("token", "key", "n", "lead")
-    shared = materialize(shared, "jaccard-shared")
-    active = materialize(shared.select("key").distinct().join(classes, "key"), "jaccard-active")
-    whole = held.select("key", "key2", F.col("n").alias("size"), F.concat("leading", "rest").alias("tokens"))
-    sets = join_small(whole, active.select("key", "key2", "node"), ["key", "key2"]).groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    sets = materialize(sets, "jaccard-sets")
-    lists = materialize(join_small(shared, active.select("key", "node"), "key").select("token", "node", "n", "lead"), "jaccard-lists")
-    labels = components(_group_links(lists, sets, percent), "jaccard-components")
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = materialize(named.join(least, "label").select("key", "key2", "component_id"), "jaccard-named")
-    some = join_small(rows.where("n > 0"), named, ["key", "key2"])
-    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
-    return some.select(out).unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(out))
+    held = materialize(_shared_sets(docs, k, percent, bitmap), "jaccard-sets")
+    # Equal sets of several tasks are one node.
+    classes = materialize(held.groupBy("key", "key2").agg(F.min("id").alias("node")), "jaccard-classes")
+    once = join_small(held, classes.select(F.col("node").alias("id")), "id", "left_semi")
+    levels = spark.sparkContext.broadcast(frequency_levels(once))
+    leading = materialize(_leading(once, percent, levels).select("node", "n", "shared", F.posexplode("leading").alias("pos", "token")), "jaccard-leading")
+    # Of the sets that hold a token, the one with the greatest part of shared tokens is the most typical: the text that others are copies of.
+    typical = F.shiftleft(F.floor(1000 * F.col("shared") / F.col("n")), NODE_BITS) + F.col("node")
+    tokens = leading.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high"), F.max(typical).alias("best")).where("_low <> _high")
+    tokens = tokens.select("token", F.col("best").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("leader"))
+    postings = materialize(leading.join(tokens, "token"), "jaccard-postings")
+    labels = _components(postings, held, percent)
+    linked = classes.join(labels, "node").select("key", "key2", "label")
+    least = rows.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    named = materialize(least.join(linked, ["key", "key2"], "left").where("copies > 1 or label is not null"), "jaccard-named")
+    of_label = named.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
+    named = join_small(named, of_label, "label", "left").select("key", "key2", F.coalesce("component_id", "least").alias("component_id"))
+    whole = join_small(rows, materialize(named, "jaccard-components"), ["key", "key2"], "left")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

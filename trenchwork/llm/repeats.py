@@ -58,7 +58,7 @@ def _lists(docs: DataFrame, hashes: Hashes) -> DataFrame:
         for value, row in hashes(batches):
             held.append((value >> np.uint64(24), row))
             size += len(value)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from out()
                 held, size = [], 0
         if size:

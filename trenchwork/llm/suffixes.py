@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .repeats import bits_for, repeated, stands_in
 from ..store import join_small, materialize
-from .text import _POWERS, flat, mix64, pieces
+from .text import eight_bytes, flat, mix64, pieces
 
 LENGTH, K = 50, 24
 AROUND = LENGTH - K
 WIDTH = LENGTH + AROUND
 NO_ID = (1 << 63) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,11 +45,10 @@ def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _POWERS.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = mix64((sums[K:] - sums[:-K]) * down[: n - K + 1])
-    del sums
+    word = eight_bytes(data)
+    h = np.full(n - K + 1, np.uint64(K))
+    for i in range(0, K, 8):
+        h = mix64((h ^ word[i : i + n - K + 1]) * _ODD)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width, want = 1, LENGTH - K + 1
     while width * 2 <= want:
@@ -136,9 +136,8 @@ def _compare(name: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.
     gram also starts in a document with a smaller id."""
     first = np.cumsum(counts) - counts
     least = np.minimum.reduceat(places["id"], first)
-    up, down = _POWERS.upto(WIDTH + 1)
-    sums = np.zeros((len(name), WIDTH + 1), np.uint64)
-    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * up[:WIDTH], axis=1, out=sums[:, 1:])
+    # The eight bytes from each column on, for a hash that sorts equal strings together.
+    wide = np.ascontiguousarray(np.pad(context, ((0, 0), (0, 8))))
     of = np.repeat(np.arange(len(name)), counts)
     mask = np.zeros(len(places), np.int64)
     for d in range(AROUND + 1):
@@ -146,13 +145,30 @@ def _compare(name: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.
         if not len(valid):
             continue
         a = AROUND - d
-        key = mix64((sums[valid, a + LENGTH] - sums[valid, a]) * down[a] ^ name[valid])
+        # Equal names have equal grams, so only the bytes before and after them are hashed.
+        key = name[valid]
+        for at in [*range(a, AROUND, 8), *range(AROUND + K, a + LENGTH, 8)]:
+            part = wide[valid, at : at + 8].copy().view("<u8")[:, 0]
+            stop = AROUND if at < AROUND else a + LENGTH
+            if stop - at < 8:
+                part &= np.uint64((1 << 8 * (stop - at)) - 1)
+            key = mix64((key ^ part) * _ODD)
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
-        lows = np.minimum.reduceat(least[valid][order], starts)
+        key = key[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        # The strings themselves decide: neighbours of one hash are compared byte by byte.
+        pair = np.flatnonzero(~fresh)
+        rows = valid[order]
+        differ = (context[rows[pair], a : a + LENGTH] != context[rows[pair - 1], a : a + LENGTH]).any(axis=1)
+        if differ.any():
+            string = np.ascontiguousarray(context[rows, a : a + LENGTH]).view(f"V{LENGTH}")[:, 0]
+            order = np.argsort(string, kind="stable")
+            rows, string = rows[order], string[order]
+            fresh = np.concatenate([[True], string[1:] != string[:-1]])
+        starts = np.flatnonzero(fresh)
+        lows = np.minimum.reduceat(least[rows], starts)
         smallest = np.full(len(name), NO_ID)
-        smallest[valid[order]] = np.repeat(lows, np.diff(np.append(starts, len(order))))
+        smallest[rows] = np.repeat(lows, np.diff(np.append(starts, len(rows))))
         mask |= (places["id"] > smallest[of]).astype(np.int64) << d
     hit = np.flatnonzero(mask)
     return hit, mask[hit]

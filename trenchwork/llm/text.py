@@ -6,6 +6,7 @@ ranges (every byte of a non-ASCII character is a word byte), so words are runs o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+#: Longer runs are hashed one by one.
+LONG = 512
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -37,24 +42,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = pow(int(_BASE), -1, 1 << 64)
-            size = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, _BASE)]), dtype=_U)
-            self.down = np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, _U(inverse))]), dtype=_U)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty. Row i is bytes[offsets[i]:offsets[i+1]]."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,20 +101,42 @@ class Words:
         whole = np.flatnonzero(self.row[:n] == self.row[k - 1 :])
         h = np.zeros(n, _U)
         for j in range(k):
-            h = h * _U(0xD6E8FEB86659FD93) + self.hash[j : j + n]
+            h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93) + self.hash[j : j + n]
         return whole, mix64(h[whole] + _U(k))
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run data[start:end]; equal runs get equal hashes anywhere."""
-    up, down = _POWERS.upto(len(data) + 1)
-    sums = np.empty(len(data) + 1, _U)
-    sums[0] = 0
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] ^ (end - start).astype(_U))
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit word that starts at each byte, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte run data[start:end]; equal runs get equal hashes anywhere.
+
+    Each eight bytes are mixed into the state by a bijection, so no algebra of the text's own
+    pattern makes two runs agree; hashes of different seeds are independent. Runs of over LONG bytes are
+    hashed by BLAKE2.
+    """
+    word = eight_bytes(data)
+    size = end - start
+    out = mix64(size.astype(_U) * _BASE + _U(seed * 0x632BE59BD9B4E019 % (1 << 64)))
+    long = np.flatnonzero(size > LONG)
+    for i in long.tolist():
+        out[i] = _U(int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little"))
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    at, rest = start[left], size[left]
+    while len(left):
+        part = word[at]
+        if (rest < 8).any():
+            part = part & _LOW_BYTES[np.minimum(rest, 8)]
+        out[left] = mix64((out[left] ^ part) * _BASE)
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return out
 
 
 def words_of(column: pa.Array, inside: np.ndarray, lower: bool = False) -> Words:

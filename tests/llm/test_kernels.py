@@ -83,6 +83,36 @@ def test_units_are_cut_where_the_tokenizer_cuts():
         assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
 
 
+def thue_morse(a, b, n):
+    return "".join(a if bin(i).count("1") % 2 else b for i in range(n))
+
+
+def test_structured_texts_have_their_own_hashes():
+    """Words that polynomial hashes modulo 2^64 confuse, and units of the same kind."""
+    for n in (1024, 2048, 200):
+        pair = [thue_morse("a", "b", n), thue_morse("b", "a", n)]
+        w = words_of(pa.array(pair), NOT_SPACE)
+        assert w.hash[0] != w.hash[1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, units = Tokenizer.from_file(path), UnitTokenizer(path)
+    texts = [thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)]
+    ids, counts = units.encode(pa.array(texts))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[: counts[0]].tolist(), ids[counts[0] :].tolist()] == want and want[0] != want[1]
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    from trenchwork.llm import tokenids
+
+    real = tokenids.byte_hashes
+    monkeypatch.setattr(tokenids, "byte_hashes", lambda data, start, end, seed=0: real(data, start, end, seed) % np.uint64(3 if not seed else 1 << 60))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, units = Tokenizer.from_file(path), UnitTokenizer(path)
+    texts = ["some words here", None, "and quite other words, there"]
+    ids, counts = units.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in plain.encode(t or "", add_special_tokens=False).ids] and counts[1] == 0
+
+
 def test_sampled_suffixes_are_a_cover():
     r = random.Random(9)
     shared = "".join(r.choice("abc") for _ in range(50))
@@ -97,17 +127,14 @@ def test_sampled_suffixes_are_a_cover():
 
 def test_filter_counts_are_never_too_low():
     r = np.random.default_rng(4)
-    keys = r.integers(0, 1 << 63, 3000).astype(np.uint64)
-    counts = r.zipf(1.5, 3000).clip(1, 10**6)
-    one = ngramlm.LogFrequencyFilter(1 << 20)
-    each = (1 << 20) // 8 // ngramlm.SEGMENTS
-    for s in range(ngramlm.SEGMENTS):
-        of = (keys >> np.uint64(56)) == s
-        one.data[s * each : (s + 1) * each] = np.frombuffer(one.part_of(keys[of], counts[of]), np.uint8)
+    keys = r.integers(0, 1 << 63, 300_000).astype(np.uint64) * np.uint64(2)
+    counts = r.zipf(1.5, len(keys)).clip(1, 10**6)
+    segment = keys >> np.uint64(56)
+    one = ngramlm.LogFrequencyFilter([ngramlm.LogFrequencyFilter.part_of(keys[segment == s], counts[segment == s]) for s in range(ngramlm.SEGMENTS)])
     got, want = one.look_up(keys), ngramlm.levels(counts)
-    assert (got >= want).all() and (got == want).mean() > 0.97
-    other = r.integers(0, 1 << 63, 3000).astype(np.uint64)
-    assert (one.look_up(other) == 0).mean() > 0.97
+    assert (got >= want).all() and (got == want).mean() > 0.88
+    other = r.integers(0, 1 << 63, 30_000).astype(np.uint64) * np.uint64(2)
+    assert 0.05 < (one.look_up(other) > 0).mean() < 0.11
 
 
 def test_chi_square():
@@ -142,11 +169,48 @@ def test_net_gradients():
 
 
 def test_agreement_of_passages():
-    r = np.random.default_rng(1)
-    x = r.integers(1, 1 << 30, (3, passages.SPAN)).astype(np.uint32)
-    y = x.copy()
-    y[1, 40:50] = 0
-    y[2] = r.integers(1, 1 << 30, passages.SPAN)
-    low, high = np.zeros(3, int), np.full(3, passages.SPAN - 1)
-    ok, first, end = passages.agreement(x, y, low, high)
-    assert ok.tolist() == [True, True, False] and (first[0], end[0]) == (0, passages.SPAN)
+    """Against sets: words changed, put in and left out around the shared token; runs of words that repeat."""
+    r = random.Random(1)
+    cases, wanted = [], []
+    for case in range(300):
+        base = [r.randrange(1 << 30) for _ in range(140)]
+        if case % 5 == 4:
+            base[75:95] = base[55:75]
+        other, at = list(base), 70
+        for _ in range(r.randint(0, 5)):
+            i = r.choice([i for i in range(30, len(other) - 30) if not at - 5 < i < at + 6])
+            kind, n = r.randrange(3), r.randint(1, 4)
+            new = [r.randrange(1 << 30) for _ in range(n)]
+            if kind == 0:
+                other[i] = new[0]
+            elif kind == 1:
+                other[i:i] = new
+                at += n if i <= at else 0
+            elif i + n < at - 5 or i > at:
+                del other[i : i + n]
+                at -= n if i < at else 0
+        token = lambda w: [hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)]
+        x, y = token(base)[70 - passages.SIDE : 71 + passages.SIDE], token(other)[at - passages.SIDE : at + 1 + passages.SIDE]
+        if len(x) < passages.SPAN or len(y) < passages.SPAN or x[passages.SIDE] != y[passages.SIDE]:
+            continue
+        cases.append((x, y))
+    x, y = (np.array(c, np.uint32) for c in zip(*cases))
+    low, high = np.zeros(len(x), int), np.full(len(x), passages.SPAN - 1)
+    ok, ends = passages.agreement(x, y, low, high, low, high)
+    assert 30 < ok.sum() < len(x) - 10
+    near = 0
+    for i in range(len(x)):
+        best = 0.0
+        for a in range(0, passages.SIDE + 1, 3):
+            for b in range(max(passages.SIDE, a + passages.T - 1), passages.SPAN, 3):
+                one = set(x[i, a : b + 1].tolist())
+                for c in range(max(0, a - 8), min(passages.SIDE, a + 8) + 1, 2):
+                    for d in (b - 4, b - 2, b, b + 2, b + 4):
+                        if passages.SIDE <= d < passages.SPAN:
+                            two = set(y[i, c : d + 1].tolist())
+                            best = max(best, len(one & two) / len(one | two))
+        if best >= 0.8:
+            near += 1
+            # A repeated word run may be kept in one place only; such passages are compared in place.
+            assert ok[i] or len(set(x[i].tolist())) < passages.SPAN
+    assert near > 30

@@ -272,7 +272,7 @@ def by_hand(text):
 
 
 def test_quality(docs, none):
-    got = quality.judged(docs, least_rows=8).collect()
+    got = quality.judged(docs, prior_rows=8).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert Counter((r["doc_id"], *(r[c] for c in names)) for r in got) == Counter((d, *by_hand(t)) for d, t in table(docs))
     for r in got:
@@ -289,6 +289,27 @@ def test_quality_rejects_outliers(spark):
     assert kept == set(range(120))
 
 
+def test_quality_finds_the_least_determinant(spark):
+    """Against concentration from many random starts in numpy, with a third of the rows far out along a line."""
+    r = np.random.default_rng(7)
+    x = r.normal(0, 1, (90, 5)) @ np.diag([0.3, 0.4, 0.5, 0.6, 0.7])
+    x[:20] += np.array([4, -3, 5, 2, -4]) + r.normal(0, 0.05, (20, 5))
+    floor, keep = np.diag(np.square(quality.FLOOR)), 68
+    scale = 0.75 / quality.chi2_cdf(quality.chi2_quantile(0.75, 5), 7)
+    best = np.inf
+    for _ in range(300):
+        inside = r.choice(90, 10, False)
+        for _ in range(20):
+            mean, cov = x[inside].mean(axis=0), np.cov(x[inside].T, bias=True) * scale + floor
+            distance = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            inside = np.argsort(distance)[:keep]
+        best = min(best, np.linalg.slogdet(cov)[1])
+    df = spark.createDataFrame([("k", *map(float, row)) for row in x], "key string, x_0 double, x_1 double, x_2 double, x_3 double, x_4 double")
+    got = quality._whitened(quality.robust_estimates(df)).first()
+    assert got["log_det"] == pytest.approx(best, abs=0.15)
+    assert abs(got["m_2"]) < 0.3
+
+
 @pytest.mark.parametrize("most_words", [2_000_000, 3])
 def test_language_model(docs, none, monkeypatch, most_words):
     monkeypatch.setattr(ngramlm, "MOST_WORDS", most_words)

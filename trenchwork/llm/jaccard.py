@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.network import components
-from .repeats import bits_for, repeated, stands_in
+from .repeats import repeated, stands_in
 from ..store import join_small, materialize
 from .text import NOT_SPACE, Words, mix64, pieces, words_of
 
@@ -268,7 +268,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     spark = docs.sparkSession
     rows = materialize(_profile(docs, k), "jaccard-profile")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bitmap = spark.sparkContext.broadcast(repeated(docs.select("doc_id", "text"), _tokens(k), bits_for(total)))
+    bitmap = spark.sparkContext.broadcast(repeated(docs.select("doc_id", "text"), _tokens(k), total))
     held = materialize(_shared_sets(docs, k, percent, bitmap), "jaccard-sets")
     # Equal sets of several tasks are one node.
     classes = materialize(held.groupBy("key", "key2").agg(F.min("id").alias("node")), "jaccard-classes")

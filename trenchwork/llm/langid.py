@@ -4,7 +4,8 @@ A text is lower-cased and cut into windows of ``WINDOW`` bytes; each window goes
 embedding, filters of several widths, a rectifier, max pooling and softmax. A text's prediction
 is the mean over all its windows, weighted by their bytes. The network is trained in numpy on the
 driver from a bounded sample: at most ``rows_per_language`` texts of each language, at most
-``SAMPLE_CHARS`` characters of each, chosen by hash.
+``SAMPLE_CHARS`` characters of each, chosen by hash, of at most ``MOST_LANGUAGES`` languages.
+Of equally probable languages the first in the sample's order, by name, is taken.
 
 Defined results: a null text and a text without letters get ``und`` and score 0; a null label is
 no training row; a null doc_id is never held out and never trained on; with no labelled text at
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 from .text import flat, pieces
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4, 5), 8, 6
-SAMPLE_CHARS = 600
+SAMPLE_CHARS, MOST_LANGUAGES = 600, 256
 WIDEST = max(WIDTHS)
 
 
@@ -130,14 +131,15 @@ def in_fold(doc_id: str, folds: int, fold: int) -> Column:
 
 
 def training_sample(docs: DataFrame, rows_per_language: int) -> tuple[list[str], list[str]]:
-    """Texts and labels of the training folds; equally likely within a language, at most so many of each."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2) & F.col("text").rlike(r"\p{L}"))
-    labelled = labelled.select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    counts = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Texts and labels of the training folds; equally likely within a language, at most so many of each
+    of the MOST_LANGUAGES most frequent ones. Held-out documents are not even counted."""
+    learnt = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2))
+    labelled = learnt.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    counts = {r["lang"]: r["n"] for r in learnt.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, 3.0 * rows_per_language / n)))])
-    near = labelled.where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
+    near = labelled.where(F.col("lang").isin(list(counts))).where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     near = near.select("lang", "h", F.col("text").substr(place, F.lit(SAMPLE_CHARS)).alias("text"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))

@@ -1,14 +1,16 @@
 """Quality rules: text statistics and robust multivariate outliers (DataFrame functions only).
 
 Statistics of each whole text are transformed to a vector; for every language and source a
-minimum-covariance-determinant estimate is fitted by concentration steps: start from medians and
-median absolute deviations, keep the three quarters of the rows with the least Mahalanobis
-distance, take their mean and covariance, and repeat. A document is kept if it passes the fixed
-rules and its distance is not beyond the cutoff.
+minimum-covariance-determinant estimate is fitted. It starts from three deterministic estimates
+(medians with median absolute deviations, the correlation of squashed coordinates, and that of
+spatial signs); each is concentrated twice: keep the three quarters of the rows with the least
+Mahalanobis distance, take their mean and covariance. The start with the least determinant is then
+concentrated until its determinant falls no more. A document is kept if it passes the fixed rules
+and its distance is not beyond the cutoff.
 
 The covariance gets a small variance added in each coordinate, so that a statistic that hardly
-varies in a group does not make tiny deviations outliers. Groups of fewer than ``least_rows``
-rows use the estimate over all rows.
+varies in a group does not make tiny deviations outliers. Every group's estimate is drawn towards that over all
+rows, with the weight of ``prior_rows`` rows, so that small groups have one too.
 
 Defined results: a null or wordless text has zero counts and fails the base rule; null languages
 and sources form groups of their own; repeated rows are judged each; an empty table gives an
@@ -98,74 +100,102 @@ def chi2_quantile(p: float, d: int) -> float:
     return hi
 
 
+MEANS = [f"m_{i}" for i in range(D)]
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+COVARIANCES = [f"c_{i}_{j}" for i, j in PAIRS]
+
+
 def _whitened(stats: DataFrame) -> DataFrame:
-    """From mean m_i and covariance c_i_j to w_i_j, the inverse of the Cholesky factor."""
+    """With w_i_j, the inverse of the Cholesky factor of c_i_j, and the logarithm of the determinant."""
     out = stats
-    for i in range(D):
-        for j in range(i + 1):
-            c = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l_{j}_{j}"))
-    for i in range(D):
-        for j in range(i + 1):
-            if i == j:
-                w = F.lit(1.0) / F.col(f"l_{i}_{i}")
-            else:
-                w = F.lit(0.0)
-                for k in range(j, i):
-                    w = w - F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
-                w = w / F.col(f"l_{i}_{i}")
-            out = out.withColumn(f"w_{i}_{j}", w)
-    return out.select("key", *[f"m_{i}" for i in range(D)], *[f"w_{i}_{j}" for i in range(D) for j in range(i + 1)])
-
-
-def _with_distance(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    for i, j in PAIRS:
+        c = F.col(f"c_{i}_{j}")
+        for k in range(j):
+            c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l_{j}_{j}"))
+    for i, j in PAIRS:
+        if i == j:
+            w = F.lit(1.0) / F.col(f"l_{i}_{i}")
+        else:
+            w = F.lit(0.0)
+            for k in range(j, i):
+                w = w - F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
+            w = w / F.col(f"l_{i}_{i}")
+        out = out.withColumn(f"w_{i}_{j}", w)
+    determinant = sum((2 * F.log(f"l_{i}_{i}") for i in range(D)), F.lit(0.0))
+    return out.select(*stats.columns, determinant.alias("log_det"), *[f"w_{i}_{j}" for i, j in PAIRS])
+
+
+def _with_distance(rows: DataFrame, stats: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     squares = None
     for i in range(D):
         z = sum((F.col(f"w_{i}_{j}") * (F.col(f"x_{j}") - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0))
         squares = z * z if squares is None else squares + z * z
-    return join_small(rows, stats, "key").withColumn("distance", squares).select(*rows.columns, "distance")
+    return join_small(rows, stats, "key").withColumn("distance", squares).select(*rows.columns, *also, "distance")
 
 
-def _first_estimate(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame) -> DataFrame:
+    """(key, start, means, covariances): three estimates that outliers do not carry away."""
     medians = materialize(rows.groupBy("key").agg(*[F.percentile_approx(f"x_{i}", 0.5, 1000).alias(f"m_{i}") for i in range(D)]), "mcd-medians")
-    off = join_small(rows, medians, "key").groupBy("key").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(D)], *[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(D)])
-    return off.select("key", *[f"m_{i}" for i in range(D)], *[(F.pow(F.col(f"d_{i}") * 1.4826, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)])
-
-
-def robust_estimates(rows: DataFrame, steps: int = 3, half: float = 0.75) -> DataFrame:
-    """Mean and whitening of each key of ``rows`` (key, x_0.. x_4), one row for each key."""
+    off = join_small(rows, medians, "key").groupBy("key").agg(*[F.first(m).alias(m) for m in MEANS], *[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(D)])
+    scale = [F.sqrt(F.pow(F.col(f"d_{i}") * 1.4826, 2) + FLOOR[i] ** 2).alias(f"s_{i}") for i in range(D)]
+    scales = materialize(off.select("key", *MEANS, *scale), "mcd-scales")
+    z = [((F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i in range(D)]
+    near = join_small(rows, scales, "key").select("key", *z)
+    norm = F.sqrt(F.greatest(sum((F.pow(f"z_{i}", 2) for i in range(D)), F.lit(0.0)), F.lit(1e-12)))
+    squashed, sign = [F.tanh(f"z_{i}") for i in range(D)], [F.col(f"z_{i}") / norm for i in range(D)]
+    sums = [F.avg(of[i] * of[j]).alias(f"{name}_{i}_{j}") for name, of in (("t", squashed), ("g", sign)) for i, j in PAIRS]
+    both = near.groupBy("key").agg(*sums).join(scales, "key")
+    out = None
+    for start, name in enumerate(("", "t", "g")):
+        # Correlations of the squashed values or signs, with the robust spreads.
+        r = lambda i, j: F.lit(float(i == j)) if not name else F.when(F.lit(i == j), 1.0).otherwise(F.col(f"{name}_{i}_{j}") / F.sqrt((F.col(f"{name}_{i}_{i}") + 0.01) * (F.col(f"{name}_{j}_{j}") + 0.01)))  # noqa: B023, E731
+        one = both.select("key", F.lit(start).alias("start"), *MEANS, *[(r(i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in PAIRS])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def robust_estimates(rows: DataFrame, most_steps: int = 12, half: float = 0.75) -> DataFrame:
+    """Mean and covariance of each key of ``rows`` (key, x_0.. x_4), one row for each key."""
     scale = half / chi2_cdf(chi2_quantile(half, D), D + 2)
-    stats = materialize(_whitened(_first_estimate(rows)), "mcd-start")
-    for step in range(steps):
-        near = _with_distance(rows, stats)
-        limits = materialize(near.groupBy("key").agg(F.percentile_approx("distance", half, 1000).alias("limit")), f"mcd-limits-{step}")
-        inner = join_small(near, limits, "key").where("distance <= limit")
-        moments = inner.groupBy("key").agg(
+    stats = materialize(_whitened(_starts(rows)), "mcd-start")
+    for step in range(most_steps):
+        near = _with_distance(rows, stats, ("start",))
+        limits = materialize(near.groupBy("key", "start").agg(F.percentile_approx("distance", half, 1000).alias("limit")), f"mcd-limits-{step}")
+        inner = join_small(near, limits, ["key", "start"]).where("distance <= limit")
+        moments = inner.groupBy("key", "start").agg(
             *[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(D)],
-            *[(F.covar_pop(f"x_{i}", f"x_{j}") * scale + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)],
+            *[(F.covar_pop(f"x_{i}", f"x_{j}") * scale + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS],
         )
-        stats = materialize(_whitened(moments), f"mcd-step-{step}")
-    return stats
-
-
-def judged(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, least_rows: int = 50, confidence: float = 0.999999) -> DataFrame:
+        before, stats = stats, materialize(_whitened(moments), f"mcd-step-{step}")
+        if step == 1:
+            best = stats.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("best")).select("key", "best.start")
+            stats = materialize(stats.join(best, ["key", "start"]), "mcd-best")
+        elif step > 1:
+            fallen = stats.join(before.select("key", F.col("log_det").alias("was")), "key").where(F.abs(F.col("was") - F.col("log_det")) > 1e-3)
+            if not fallen.limit(1).count():
+                break
+    return stats.select("key", *MEANS, *COVARIANCES)
+
+
+def judged(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, prior_rows: int = 50, confidence: float = 0.999999) -> DataFrame:
     """doc_id, the five counts, base_failed, distance (null where not judged) and kept."""
     n = F.col("n_words")
     base = (n < least_words) | (100 * F.col("n_repeat_words") > most_repeated * n)
     rows = materialize(text_statistics(docs).withColumn("base_failed", base), "text-statistics")
-    own = F.to_json(F.struct("lang", "source"))
-    passed = rows.where("not base_failed")
-    groups = materialize(passed.groupBy(own.alias("own")).agg(F.count("*").alias("rows")), "mcd-groups")
-    vectors = join_small(passed.withColumn("key", own), groups.withColumnRenamed("own", "key"), "key").select(*rows.columns, "key", "rows", *[x.alias(f"x_{i}") for i, x in enumerate(vector())])
-    large, small = vectors.where(F.col("rows") >= least_rows), vectors.where(F.col("rows") < least_rows).withColumn("key", F.lit(""))
-    measured = _with_distance(large, robust_estimates(large))
-    if groups.where(F.col("rows") < least_rows).limit(1).count():
-        everything = robust_estimates(vectors.withColumn("key", F.lit("")))
-        measured = measured.unionByName(_with_distance(small, everything))
+    passed = rows.where("not base_failed").withColumn("key", F.to_json(F.struct("lang", "source"))).select(*rows.columns, "key", *[x.alias(f"x_{i}") for i, x in enumerate(vector())])
+    of_all = F.lit("all")
+    narrow = passed.select("key", *[f"x_{i}" for i in range(D)])
+    # Each row counts in its own group and among all; the JSON of a struct is never "all".
+    estimates = materialize(robust_estimates(narrow.withColumn("key", F.explode(F.array("key", of_all)))), "mcd-estimates")
+    every = estimates.where(F.col("key") == of_all).select(*[F.col(c).alias(f"all_{c}") for c in (*MEANS, *COVARIANCES)])
+    sizes = passed.groupBy("key").agg(F.count("*").alias("rows"))
+    # One row is joined to all.
+    own = estimates.join(sizes, "key").crossJoin(F.broadcast(every.limit(1)))
+    drawn = [((F.col("rows") * F.col(c) + prior_rows * F.col(f"all_{c}")) / (F.col("rows") + prior_rows)).alias(c) for c in (*MEANS, *COVARIANCES)]
+    fitted = materialize(_whitened(own.select("key", *drawn)), "mcd-fitted")
     cutoff = chi2_quantile(confidence, D)
     out = [*rows.columns, "distance"]
-    judged_rows = measured.select(out).unionByName(rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).select(out))
+    judged_rows = _with_distance(passed, fitted).select(out).unionByName(rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).select(out))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return judged_rows.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")

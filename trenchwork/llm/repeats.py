@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..store import materialize
 
-MOST_BITS, SEGMENTS = 1 << 29, 256
+MOST_BITS = 1 << 29
 
 #: From the batches of a task to (hashes, row numbers that tell the task's documents apart).
 Hashes = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -25,6 +25,12 @@ def bits_for(total_bytes: int) -> int:
     return min(MOST_BITS, max(1 << 22, 1 << (max(1, total_bytes // 4) - 1).bit_length()))
 
 
+def segments_for(total_bytes: int) -> int:
+    """Segments for texts of so many bytes: 256 or more, about 32 MB of text each, at most 2^16 (a segment then has
+    at most 2^24 distinct 40-bit hashes)."""
+    return min(1 << 16, max(256, 1 << (max(1, total_bytes >> 25) - 1).bit_length()))
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Sorted 40-bit values as planes of the bytes of their gaps; the high planes are mostly zero."""
     gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
@@ -38,7 +44,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
 
 
-def _lists(docs: DataFrame, hashes: Hashes) -> DataFrame:
+def _lists(docs: DataFrame, hashes: Hashes, segments: int) -> DataFrame:
     """(segment, once, more): the 40-bit hashes that a task saw in one document and in several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +57,7 @@ def _lists(docs: DataFrame, hashes: Hashes) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             several = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
             distinct = value[first]
-            bounds = np.searchsorted((distinct >> np.uint64(32)).astype(np.int64), np.arange(SEGMENTS + 1))
+            bounds = np.searchsorted(distinct >> np.uint64(40 - (segments.bit_length() - 1)), np.arange(segments + 1, dtype=np.uint64))
             rows = [(i, distinct[a:b], several[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([_pack(r[1][~r[2]]) for r in rows], pa.binary()), pa.array([_pack(r[1][r[2]]) for r in rows], pa.binary())], ["segment", "once", "more"])
 
@@ -67,10 +73,12 @@ def _lists(docs: DataFrame, hashes: Hashes) -> DataFrame:
     return docs.mapInArrow(run, "segment int, once binary, more binary")
 
 
-def repeated(docs: DataFrame, hashes: Hashes, bits: int) -> np.ndarray:
-    """The bitmap (packed) of the hashes that stand in two documents or more."""
-    each = bits // SEGMENTS
-    shift = 32 - (each.bit_length() - 1)
+def repeated(docs: DataFrame, hashes: Hashes, total_bytes: int) -> np.ndarray:
+    """The bitmap (packed) of the hashes that stand in two documents or more, for texts of so many bytes."""
+    bits, segments = bits_for(total_bytes), segments_for(total_bytes)
+    each = bits // segments
+    shift = 40 - (bits.bit_length() - 1)
+    within = np.uint64((1 << (40 - (segments.bit_length() - 1))) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[np.ndarray]] = {}
@@ -79,7 +87,7 @@ def repeated(docs: DataFrame, hashes: Hashes, bits: int) -> np.ndarray:
         def merge(s: int) -> None:
             value = np.sort(np.concatenate(seen[s]))
             twice = value[1:][value[1:] == value[:-1]]
-            found.setdefault(s, np.zeros(each, bool))[((twice & np.uint64(0xFFFFFFFF)) >> np.uint64(shift)).astype(np.int64)] = True
+            found.setdefault(s, np.zeros(each, bool))[((twice & within) >> np.uint64(shift)).astype(np.int64)] = True
             seen[s] = [value[np.concatenate([[True], value[1:] != value[:-1]])]] if len(value) else []
 
         for batch in batches:
@@ -93,7 +101,7 @@ def repeated(docs: DataFrame, hashes: Hashes, bits: int) -> np.ndarray:
             merge(s)
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(found[s]).tobytes()])], ["segment", "bits"])
 
-    parts = _lists(docs, hashes).repartition(SEGMENTS, "segment").mapInArrow(run, "segment int, bits binary")
+    parts = _lists(docs, hashes, segments).repartition(segments, "segment").mapInArrow(run, "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     # At most MOST_BITS / 8 bytes reach the driver, one segment at a time.
     for r in materialize(parts, "repeated").toLocalIterator():

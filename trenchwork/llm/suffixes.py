@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import bits_for, repeated, stands_in
+from .repeats import repeated, stands_in
 from ..store import join_small, materialize
 from .text import eight_bytes, flat, mix64, pieces
 
@@ -245,7 +245,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     later = materialize(join_small(sizes, materialize(groups, "dedup-copies"), "_md5").where("_id > _first").select("_id", "_md5").distinct(), "dedup-later")
     copies = join_small(whole, later, ["_id", "_md5"], "left_semi")
     single = join_small(whole, later, ["_id", "_md5"], "left_anti")
-    bitmap = spark.sparkContext.broadcast(repeated(single.select("text"), _grams, bits_for(total)))
+    bitmap = spark.sparkContext.broadcast(repeated(single.select("text"), _grams, total))
     marks = _marked(_contexts(single, bitmap)).groupBy("_id", "rid").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
     marks = materialize(marks, "dedup-marks")
     marked = marks.select("_id", "rid")

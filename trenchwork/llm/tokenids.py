@@ -64,11 +64,11 @@ class UnitTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        """Known units: sorted hashes, and the place and number of each one's ids in one array."""
-        self.keys, self.base, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Known units: two independent hashes, sorted by the first, and the place and number of each one's ids in one array."""
+        self.keys, self.second, self.base, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, second: np.ndarray, texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
@@ -76,6 +76,7 @@ class UnitTokenizer:
         self.ids = np.concatenate([self.ids, ids])
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
+        self.second = np.concatenate([self.second, second])[order]
         self.keys, self.base, self.size = all_keys[order], np.concatenate([self.base, base])[order], np.concatenate([self.size, sizes])[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +101,8 @@ class UnitTokenizer:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         unique, first, inverse = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
+        check = byte_hashes(data, start, end, seed=1)
+        second = check[first]
         if len(self.keys) + len(unique) > self.most:
             self._forget()
         at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
@@ -107,8 +110,13 @@ class UnitTokenizer:
         if len(new):
             a, b = start[first[new]].tolist(), end[first[new]].tolist()
             raw = data.tobytes()
-            self._learn(unique[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a, b)])
+            self._learn(unique[new], second[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a, b)])
             at = np.searchsorted(self.keys, unique)
+        if (self.second[at] != second).any() or (second[inverse] != check).any():
+            # Two units have one hash: these texts go to the tokenizer whole.
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(column.cast(pa.string()).fill_null("").to_pylist(), add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
         ids, base, sizes = self.ids, self.base[at], self.size[at]
         each = sizes[inverse]
         total = np.cumsum(each)

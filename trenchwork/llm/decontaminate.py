@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..store import join_small, materialize
-from .text import ALNUM, Words, mix64, pieces, words_of
+from .text import ALNUM, Words, bounded_batches, mix64, pieces, words_of
 
 #: Bits of the filter that is sent to the workers (1 MB).
 FILTER_BITS = 1 << 23
@@ -115,7 +115,7 @@ def _fingerprints(table: DataFrame, id_column: str, k: int, window: int, lengths
 def contaminated_words(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(texts, hits): one row for each document (row, doc_id, n_words) and the word runs
     [lo, hi) of documents (row) that also stand in an item (item_id)."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     items = materialize(_fingerprints(bench, "item_id", k, window, [], None, True).where("gram is not null"), "bench-fingerprints")
     lengths = [r[0] for r in items.where(f"n_words < {window}").select("length").distinct().collect()]
     filled = np.zeros(FILTER_BITS, bool)

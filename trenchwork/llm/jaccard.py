@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.network import components
 from .repeats import repeated, stands_in
 from ..store import join_small, materialize
-from .text import NOT_SPACE, Words, mix64, pieces, words_of
+from .text import NOT_SPACE, Words, bounded_batches, mix64, pieces, words_of
 
 #: Counters of the sketch of token frequencies; its parts of SPAN counters are summed apart.
 COUNTERS, SPAN = 1 << 22, 1 << 15
@@ -265,7 +265,7 @@ def _components(postings: DataFrame, held: DataFrame, percent: int) -> DataFrame
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id for every document."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     rows = materialize(_profile(docs, k), "jaccard-profile")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bitmap = spark.sparkContext.broadcast(repeated(docs.select("doc_id", "text"), _tokens(k), total))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import flat, pieces
+from .text import bounded_batches, flat, pieces
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4, 5), 8, 6
 SAMPLE_CHARS, MOST_LANGUAGES = 600, 256
@@ -165,6 +165,7 @@ def predict(net: ByteNet | None, text: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _trained(docs: DataFrame, rows_per_language: int) -> ByteNet | None:
+    bounded_batches(docs.sparkSession)
     texts, labels = training_sample(docs, rows_per_language)
     return train(texts, labels) if texts else None
 

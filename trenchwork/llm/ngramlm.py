@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
-from .text import NOT_SPACE, Words, mix64, pieces, words_of
+from .text import NOT_SPACE, Words, bounded_batches, mix64, pieces, words_of
 
 MOST_BITS, SEGMENTS, PROBES, PER_INSERT = 1 << 29, 256, 3, 5
 #: Bits that the filter needs at most for each byte of text, to choose the number of slices before anything is counted.
@@ -231,7 +231,7 @@ def _terms(batch: pa.RecordBatch, filter_: LogFrequencyFilter, part: int, slices
 
 def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    spark, kind = bounded_batches(docs.sparkSession), dict(docs.dtypes)["doc_id"]
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     parted = docs.select("doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), F.coalesce(rest != fold, F.lit(False)).alias("trained"), "text")
     total_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

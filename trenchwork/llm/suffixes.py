@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .repeats import repeated, stands_in
 from ..store import join_small, materialize
-from .text import eight_bytes, flat, mix64, pieces
+from .text import bounded_batches, eight_bytes, flat, mix64, pieces
 
 LENGTH, K = 50, 24
 AROUND = LENGTH - K
@@ -236,7 +236,7 @@ def _digested(docs: DataFrame, kind: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    spark, kind = bounded_batches(docs.sparkSession), dict(docs.dtypes)["doc_id"]
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text.alias("text"), F.md5(text.cast("binary")).alias("_md5"), F.xxhash64("doc_id", text).alias("rid"))
     sizes = materialize(whole.select("_id", "_md5", F.octet_length("text").cast("long").alias("n")), "dedup-sizes")

@@ -6,12 +6,14 @@ ranges (every byte of a non-ASCII character is a word byte), so words are runs o
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -19,6 +21,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 #: Longer runs are hashed one by one.
 LONG = 512
+BATCH_ROWS = 1000
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,8 +57,30 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_ROWS texts: several long batches at once, on both sides
+    of the pipe, would take more memory than all else in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text; a longer text stands alone."""
+    yield from _slices(batches, column, most)
+    _give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .huffman import Code, canonical, code_lengths, decode, encode
 from ..store import new_path
-from .text import byte_hashes, flat, pieces
+from .text import bounded_batches, byte_hashes, flat, pieces
 
 _GRAPHIC = np.zeros(256, bool)
 _GRAPHIC[0x21:0x7F] = True
@@ -56,7 +56,7 @@ class UnitTokenizer:
     are kept for the next texts, up to ``most`` units at a time.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -235,7 +235,7 @@ def _blocks(coded: DataFrame, block_ids: int) -> DataFrame:
 
 def write_token_file(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 0, vocabulary: int = 50_257, block_ids: int = 1 << 18) -> None:
     """Tokenize, code and write ``docs`` under the folder ``to`` (blocks, and the code's lengths)."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     wide = vocabulary > 1 << 16
     held = new_path(spark, "token-ids")
     tokenized(docs, tokenizer_path, end_id, wide).write.option("compression", "zstd").parquet(held)

@@ -35,7 +35,7 @@ def test_legs_go_around(spark):
     legs = routes.legs(spark.createDataFrame(points, "id long, x double, y double"), block, 20.0)
     pairs = {(r["a"], r["b"]) for r in legs.collect()}
     assert (1, 2) not in pairs and (1, 3) in pairs and (1, 4) in pairs
-    far = network.settled_paths(legs, spark.createDataFrame([(1,)], "node long")).where("node = 2").first()["metres"]
+    far = network.shortest_paths(legs, spark.createDataFrame([(1,)], "node long")).where("node = 2").first()["metres"]
     assert abs(far - (2 * 18**0.5 + 4)) < 1e-9
 
 
@@ -62,3 +62,16 @@ def test_steiner_forest(spark):
     pipes = routes.sized(tree, demand).collect()
     assert sum(p["flow"] for p in pipes if p["parent"] in roots) == 25
     assert all(p["dn"] >= 65 and p["cost"] > 0 for p in pipes)
+
+
+def test_rooted_trees(spark):
+    """Trees of any depth are seen from their roots; one without a root is left out."""
+    chain = [(i, i + 1, 1.0) for i in range(200)]
+    star = [(300, 300 + i, 2.0) for i in range(1, 5)] + [(303, 310, 1.0)]
+    ring_free = [(500, 501, 1.0), (501, 502, 1.0)]
+    df = spark.createDataFrame(chain + star + ring_free, "a long, b long, metres double")
+    got = {x["node"]: (x["parent"], x["length"]) for x in network.rooted(df, spark.createDataFrame([(50,), (300,)], "node long")).collect()}
+    assert got[50] == (None, 0) and got[300] == (None, 0) and got[310] == (303, 1) and 501 not in got
+    assert all(got[i] == (i - 1, 1) for i in range(51, 201)) and all(got[i] == (i + 1, 1) for i in range(50))
+    ways = {x["node"]: (x["source"], x["hops"]) for x in network.to_source(network.rooted(df, spark.createDataFrame([(50,)], "node long"))).collect()}
+    assert ways[200] == (50, 150) and ways[0] == (50, 50)

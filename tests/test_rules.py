@@ -18,6 +18,7 @@ def test_dn_for_flow(spark, flow, dn):
 def test_prices(spark):
     assert one(spark, r.price_per_metre(F.lit(100))) == 89748
     assert one(spark, r.price_per_metre(F.lit(90))) == 89748
+    assert (one(spark, r.pipe_price(F.lit(100))), one(spark, r.pipe_price(F.lit(90)))) == (89748, 100_000)
     assert one(spark, r.chamber_price(F.lit(200))) == 3e6
     assert one(spark, r.chamber_price(F.lit(201))) == 5e6
     assert one(spark, r.chamber_price(F.lit(5000))) == 12e6

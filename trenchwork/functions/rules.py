@@ -32,6 +32,8 @@ DIAMETERS = (
     (1200, 15012.8, 9288.0, 3.100, 428074.0),
     (1400, 22501.9, 11276.0, 3.450, 683417.0),
 )
+# Price per metre of a diameter that is not in the table, new and rebuilt.
+UNKNOWN_PIPE, UNKNOWN_REBUILT = 100_000.0, 80_000.0
 # Greatest diameter of the tier, price of a new chamber.
 CHAMBER_TIERS = ((200, 3e6), (500, 5e6), (1000, 8e6), (1400, 12e6))
 # Restriction, action, clearance (m), clearance from a diameter on, cost factor, extension (m), least angle (degrees).
@@ -122,9 +124,15 @@ def _at_least(dn: Column, place: int, rules: Rules) -> Column:
 
 
 def price_per_metre(dn: Column, rules: Rules = DEFAULT) -> Column:
+    """Of the next diameter that is not smaller."""
     return _at_least(dn, 4, rules)
 
 
+def pipe_price(dn: Column, rules: Rules = DEFAULT) -> Column:
+    """For costs: of exactly this diameter, or the price of one that is not in the table."""
+    return _first([(dn == d[0], d[4]) for d in rules.diameters], F.lit(UNKNOWN_PIPE))
+
+
 def greatest_run(dn: Column, rules: Rules = DEFAULT) -> Column:
     return _at_least(dn, 2, rules)
 

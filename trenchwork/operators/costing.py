@@ -12,13 +12,13 @@ MANAGED = ("mincost", "mintaps", "minrecon", "independent")
 
 
 def pipe_cost(length: Column, dn: Column, k_spec: Column, depth_from: Column, depth_to: Column, rules: r.Rules = r.DEFAULT) -> Column:
-    return length * r.price_per_metre(dn, rules) * F.when(k_spec > 0, k_spec).otherwise(1.0) * r.mean_depth_factor(depth_from, depth_to, rules)
+    return length * r.pipe_price(dn, rules) * F.when(k_spec > 0, k_spec).otherwise(1.0) * r.mean_depth_factor(depth_from, depth_to, rules)
 
 
 def roll_up(segments: DataFrame, chambers: DataFrame, tie_ins: DataFrame, unconnected: DataFrame, key: str, rules: r.Rules = r.DEFAULT) -> DataFrame:
     """One row for each plan: pipes, chambers, tie_ins, penalty, total and length. A chamber without a
-    diameter takes the greatest of the segments (from_id, to_id, dn) at it."""
-    pipes = segments.groupBy(key).agg(F.sum(pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to"), rules)).alias("pipes"), F.sum("length").alias("length"))
+    diameter takes the greatest of the segments (from_id, to_id, dn) at it. Pipes are summed in whole hundredths."""
+    pipes = segments.groupBy(key).agg((F.sum(F.floor(pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to"), rules) * 100 + 0.5)) / 100).alias("pipes"), F.sum("length").alias("length"))
     ends = segments.select(key, F.explode(F.array("from_id", "to_id")).alias("id"), F.col("dn").alias("_dn")).groupBy(key, "id").agg(F.max("_dn").alias("_dn"))
     sized = chambers.join(ends, [key, "id"], "left").withColumn("_own", F.coalesce("dn", "_dn", F.lit(50)))
     built = sized.groupBy(key).agg(F.sum(r.chamber_price(F.col("_own"), rules)).alias("chambers"))

@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules as r
 
 
 def choose_depth(bands: DataFrame, key: str, floor: float = 0.7, rules: r.Rules = r.DEFAULT) -> DataFrame:
-    """(key, depth): for the utilities (above_max, below_min) of each crossing, every choice of passing
-    above or below; of those with a depth left the cheapest, then the nearest to the ordinary depth. If
-    none has, below all. The choices of a crossing are its own: 2 ** n of them."""
-    crossing = bands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("above_max", "below_min"))).alias("bands"))
-    masks = crossing.select(key, "bands", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("bands")) - 1).cast("int"))).alias("mask"))
-    chosen = masks.withColumn("sides", F.transform("bands", lambda b, i: F.struct(b.alias("b"), (F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1).alias("below"))))
-    low = F.aggregate("sides", F.lit(floor), lambda s, x: F.when(x["below"], F.greatest(s, x["b"]["below_min"])).otherwise(s))
-    high = F.aggregate("sides", F.lit(1e12), lambda s, x: F.when(x["below"], s).otherwise(F.least(s, x["b"]["above_max"])))
-    open_ = chosen.withColumn("low", low).withColumn("high", high).withColumn("depth", F.greatest("low", F.least("high", F.lit(rules.ordinary_depth))))
-    cost = F.struct(r.rounded(r.depth_factor(F.col("depth"), rules), 9), r.rounded(F.abs(F.col("depth") - rules.ordinary_depth), 9), "mask")
-    best = open_.where(F.col("low") <= F.col("high") + 1e-9).groupBy(key).agg(F.min_by("depth", cost).alias("depth"))
-    deepest = crossing.select(key, F.greatest(F.lit(floor), F.array_max(F.transform("bands", lambda b: b["below_min"]))).alias("deepest"))
+    """(key, depth): for the utilities (above_max, below_min) of each crossing, a depth that passes each above
+    or below: the cheapest, then the nearest to the ordinary depth. If there is none, below all.
+
+    The best depth is the floor, the ordinary depth or an end of a band, so those 2 n + 2 are tried against the n bands.
+    """
+    crossing = bands.groupBy(key).agg(F.collect_list(F.struct("above_max", "below_min")).alias("bands"))
+    ends = F.flatten(F.transform("bands", lambda b: F.array(b["above_max"], b["below_min"])))
+    tried = crossing.select(key, "bands", F.explode(F.array_distinct(F.concat(F.array(F.lit(floor), F.lit(rules.ordinary_depth)), ends))).alias("depth"))
+    passes = F.forall("bands", lambda b: (F.col("depth") <= b["above_max"] + 1e-9) | (F.col("depth") >= b["below_min"] - 1e-9))
+    cost = F.struct(r.rounded(r.depth_factor(F.col("depth"), rules), 9), r.rounded(F.abs(F.col("depth") - rules.ordinary_depth), 9), "depth")
+    best = tried.where((F.col("depth") >= floor) & passes).groupBy(key).agg(F.min_by("depth", cost).alias("depth"))
+    deepest = bands.groupBy(key).agg(F.greatest(F.lit(floor), F.max("below_min")).alias("deepest"))
     return deepest.join(best, key, "left").select(key, F.coalesce("depth", "deepest").alias("depth"))
 
 
 def profile(stations: DataFrame, pins: DataFrame, key: str, rules: r.Rules = r.DEFAULT) -> DataFrame:
     """(key, s, depth) at stations (key, s): the ordinary depth held within the cones of the pins
-    (key, at, low, high), whose sides have the greatest slope; the lower bound wins."""
+    (key, at, low, high), whose sides have the greatest slope; the lower bound wins.
+
+    On either side of a station the cones differ by their height at 0 only, so running extremes of those do.
+    """
     slope = rules.greatest_slope
-    away = slope * F.abs(F.col("s") - F.col("at"))
-    bounds = stations.join(pins, key, "left").groupBy(key, "s").agg(F.max(F.col("low") - away).alias("low"), F.min(F.col("high") + away).alias("high"))
+    both = stations.select(key, F.col("s").alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("station"))
+    both = both.unionByName(pins.select(key, "at", "low", "high", F.lit(False).alias("station")))
+    line = Window.partitionBy(key).orderBy("at")
+    before, after = line.rangeBetween(Window.unboundedPreceding, Window.currentRow), line.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    at, low, high = F.col("at"), F.col("low"), F.col("high")
+    bounds = both.select(
+        key, "at", "station",
+        F.greatest(F.max(low + slope * at).over(before) - slope * at, F.max(low - slope * at).over(after) + slope * at).alias("low"),
+        F.least(F.min(high - slope * at).over(before) + slope * at, F.min(high + slope * at).over(after) - slope * at).alias("high"),
+    )
     ordinary = F.lit(rules.ordinary_depth)
-    return bounds.select(key, "s", F.greatest(F.coalesce("low", ordinary), F.least(F.coalesce("high", ordinary), ordinary)).alias("depth"))
+    return bounds.where("station").select(key, at.alias("s"), F.greatest(F.coalesce("low", ordinary), F.least(F.coalesce("high", ordinary), ordinary)).alias("depth"))

@@ -11,14 +11,13 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     """(key, start, end, k): pieces of the line between neighbouring end points, each with the greatest
     ``k`` of the spans (key, s0, s1, k, zone) that cover it; pieces that touch are joined if their factor
     and their set of zones agree."""
-    cuts = spans.select(key, F.explode(F.array("s0", "s1")).alias("at")).distinct()
-    following = Window.partitionBy(key).orderBy("at")
-    pieces = cuts.withColumn("to", F.lead("at").over(following)).where(F.col("to") - F.col("at") >= 1e-9)
-    middle = (F.col("at") + F.col("to")) / 2
-    covered = (
-        pieces.join(spans, key).where((F.col("s0") <= middle) & (middle <= F.col("s1")))
-        .groupBy(key, "at", "to").agg(F.max("k").alias("k"), F.array_sort(F.collect_set("zone")).alias("zones"))
-    )
+    line = Window.partitionBy(key).orderBy("at")
+    cuts = spans.select(key, F.explode(F.array("s0", "s1")).alias("at")).distinct().select(key, "at", F.lead("at").over(line).alias("to"), F.row_number().over(line).alias("piece"))
+    # A span covers the pieces from the cut at its start to the one before the cut at its end: only those rows are made.
+    starts, ends = cuts.select(key, F.col("at").alias("s0"), F.col("piece").alias("_first")), cuts.select(key, F.col("at").alias("s1"), F.col("piece").alias("_last"))
+    over = spans.join(starts, [key, "s0"]).join(ends, [key, "s1"]).where("_last > _first").select(key, "k", "zone", F.explode(F.sequence("_first", F.col("_last") - 1)).alias("piece"))
+    pieces = cuts.where(F.col("to") - F.col("at") >= 1e-9)
+    covered = over.groupBy(key, "piece").agg(F.max("k").alias("k"), F.array_sort(F.collect_set("zone")).alias("zones")).join(pieces, [key, "piece"])
     order = Window.partitionBy(key).orderBy("at")
     same = (F.abs(F.lag("to").over(order) - F.col("at")) < 1e-9) & (F.abs(F.lag("k").over(order) - F.col("k")) < 1e-12) & (F.lag("zones").over(order) == F.col("zones"))
     runs = covered.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -4,80 +4,110 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..store import join_small, materialize
 
 
-def ancestors(tree: DataFrame, most_levels: int | None = 64) -> DataFrame:
-    """(node, ancestor, hops, metres) of a forest (node, parent, length), every node its own ancestor.
+def _doubled(tree: DataFrame):
+    """Jumps (node, to, step, way) up a forest (node, parent, length): of 1 edge, of 2, of 4 and so on, while any is left.
 
-    Paths double each round, so a tree of depth d takes about log2(d) joins. Without ``most_levels``
-    rounds go on until no node has a jump left, and each is a written table.
+    Each is a written table with at most one row for each node.
     """
-    own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"), F.lit(0.0).alias("metres"))
-    jump = tree.where("parent is not null").select("node", F.col("parent").alias("to"), F.lit(1).alias("step"), F.col("length").cast("double").alias("way"))
-    found, covered = own, 1
-    while covered < most_levels if most_levels is not None else jump.limit(1).count():
-        ahead = found.alias("f").join(jump.alias("j"), F.col("f.ancestor") == F.col("j.node"))
-        found = found.unionByName(ahead.select("f.node", F.col("j.to").alias("ancestor"), (F.col("f.hops") + F.col("j.step")).alias("hops"), (F.col("f.metres") + F.col("j.way")).alias("metres")))
+    jump = materialize(tree.where("parent is not null").select("node", F.col("parent").alias("to"), F.lit(1).cast("long").alias("step"), F.col("length").cast("double").alias("way")), "jumps")
+    while jump.limit(1).count():
+        yield jump
         after = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("step").alias("_step"), F.col("way").alias("_way"))
-        jump = jump.join(after, "to").select("node", F.col("_to").alias("to"), (F.col("step") + F.col("_step")).alias("step"), (F.col("way") + F.col("_way")).alias("way"))
-        covered *= 2
-        if most_levels is None:
-            found, jump = materialize(found, "walks"), materialize(jump, "jumps")
-    return found
+        jump = materialize(join_small(jump, after, "to").select("node", F.col("_to").alias("to"), (F.col("step") + F.col("_step")).alias("step"), (F.col("way") + F.col("_way")).alias("way")), "jumps")
 
 
-def to_source(tree: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(node, source, hops, metres): the root of each node and the way there."""
-    roots = tree.where("parent is null").select(F.col("node").alias("source"))
-    walks = ancestors(tree, most_levels)
-    return walks.join(roots, walks["ancestor"] == roots["source"]).select("node", "source", "hops", "metres")
+def gathered(tree: DataFrame, values: dict[str, str]) -> DataFrame:
+    """node and, over its whole subtree, each column of ``values`` put together by its aggregate ("sum" or "max").
 
-
-def subtree_sums(tree: DataFrame, value: str, most_levels: int | None = 64) -> DataFrame:
+    After k rounds a node holds what lies less than 2 ** k edges below it; what then lies as far below again comes
+    from the nodes that are 2 ** k edges down. A tree of any depth d takes log2(d) rounds of one row for each node.
+    """
+    held = tree.select("node", *values)
+    put = lambda name, c: getattr(F, name)(c).alias(c)
+    for jump in _doubled(tree):
+        below = join_small(held, jump.select("node", "to"), "node").groupBy(F.col("to").alias("node")).agg(*[put(f, c) for c, f in values.items()])
+        held = materialize(held.unionByName(below).groupBy("node").agg(*[put(f, c) for c, f in values.items()]), "gathered")
+    return held
+
+
+def to_source(tree: DataFrame) -> DataFrame:
+    """(node, source, hops, metres): the root of each node and the way there, in trees of any depth."""
+    held = tree.select("node", F.col("node").alias("source"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("metres"))
+    # The hops of a way to the root, as a sum of powers of two, greatest first: what is left can be jumped or not.
+    jumps = list(_doubled(tree))
+    for jump in reversed(jumps):
+        on = jump.select(F.col("node").alias("source"), "to", "step", "way")
+        moved = join_small(held, on, "source", "left")
+        held = materialize(moved.select("node", F.coalesce("to", "source").alias("source"), (F.col("hops") + F.coalesce("step", F.lit(0))).alias("hops"), (F.col("metres") + F.coalesce("way", F.lit(0.0))).alias("metres")), "sources")
+    return held.select("node", "source", F.col("hops").cast("int").alias("hops"), "metres")
+
+
+def subtree_sums(tree: DataFrame, value: str) -> DataFrame:
     """(node, total, nodes): the sum of ``value`` over each node's subtree."""
-    walks = ancestors(tree.select("node", "parent", "length"), most_levels).select("node", "ancestor")
-    return walks.join(tree.select("node", value), "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum(value).alias("total"), F.count("*").alias("nodes"))
+    return gathered(tree.withColumns({"total": F.col(value), "nodes": F.lit(1).cast("long")}), {"total": "sum", "nodes": "sum"})
 
 
-def monotone_dn(tree: DataFrame, most_levels: int = 64) -> DataFrame:
+def monotone_dn(tree: DataFrame) -> DataFrame:
     """(node, dn): no pipe is narrower than one upstream of it feeds; the greatest diameter of the subtree."""
-    walks = ancestors(tree.select("node", "parent", "length"), most_levels).select("node", "ancestor")
-    return walks.join(tree.select("node", "dn"), "node").groupBy(F.col("ancestor").alias("node")).agg(F.max("dn").alias("dn"))
+    return gathered(tree, {"dn": "max"})
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(node, metres, source, via): the shortest way from any source along at most ``rounds`` edges
-    (a, b, metres) that can be gone both ways, and the node before on it; the smallest source, then node
-    before, of equals. Sources (node) may carry a ``label`` to be named by. Each round joins the frontier only."""
-    both = edges.select("a", "b", "metres").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres"))
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, metres, source, via): the shortest way from any source along edges (a, b, metres) that can be
+    gone both ways, at most ``rounds`` of them if given, and the node before on it; the smallest source, then
+    node before, of equals. Sources (node) may carry a ``label`` to be named by. Each round joins the nodes that
+    changed only, and is a written table."""
+    both = materialize(edges.select("a", "b", "metres").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres")), "ways")
     label = F.col("label") if "label" in sources.columns else F.col("node")
-    best = sources.select("node", F.lit(0.0).alias("metres"), label.alias("source"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("via"))
-    frontier = best
-    for _ in range(rounds):
-        step = frontier.select(F.col("node").alias("a"), F.col("metres").alias("_m"), "source").join(both, "a")
+    held = sources.select("node", F.lit(0.0).alias("metres"), label.alias("source"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("via"), F.lit(True).alias("fresh"))
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        frontier = held.where("fresh").select(F.col("node").alias("a"), F.col("metres").alias("_m"), "source")
+        step = join_small(both, frontier, "a")
         offers = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("_m") + F.col("metres")).alias("metres"), "source", F.col("a").alias("via"))).alias("n"))
-        old = best.select("node", F.struct("metres", "source", "via").alias("o"))
+        old = held.select("node", F.struct("metres", "source", "via").alias("o"))
         merged = old.join(offers, "node", "full").select("node", F.least("o", "n").alias("x"), (F.col("o").isNull() | (F.col("n") < F.col("o"))).alias("fresh"))
-        best = merged.select("node", F.col("x.metres").alias("metres"), F.col("x.source").alias("source"), F.col("x.via").alias("via"), "fresh")
-        frontier, best = best.where("fresh").drop("fresh"), best.drop("fresh")
-    return best
+        held = materialize(merged.select("node", "x.metres", "x.source", "x.via", F.coalesce("fresh", F.lit(False)).alias("fresh")), "paths")
+        if not held.where("fresh").limit(1).count():
+            break
+    return held.drop("fresh")
 
 
-def settled_paths(edges: DataFrame, sources: DataFrame, at_once: int = 4) -> DataFrame:
-    """As ``shortest_paths`` without a bound: rounds go on until no way gets shorter."""
-    held = materialize(shortest_paths(edges, sources, at_once), "paths")
-    while True:
-        again = held.select("node", F.struct("metres", "source", "via").alias("o"))
-        both = edges.select("a", "b", "metres").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres"))
-        step = held.select(F.col("node").alias("a"), F.col("metres").alias("_m"), "source").join(both, "a")
-        offers = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("_m") + F.col("metres")).alias("metres"), "source", F.col("a").alias("via"))).alias("n"))
-        merged = again.join(offers, "node", "full").withColumn("fresh", F.col("o").isNull() | (F.col("n") < F.col("o"))).withColumn("x", F.least("o", "n"))
-        out = materialize(merged.select("node", "x.metres", "x.source", "x.via", "fresh"), "paths")
-        held = out.drop("fresh")
-        if not out.where("fresh").limit(1).count():
-            return held
+def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, parent, length) of the trees that the edges (a, b, metres) of a forest form, seen from ``roots`` (node);
+    at most one root in a tree. Trees without a root are left out.
+
+    Every edge is gone once each way on a tour around its tree; ranking the tour by doubled jumps tells which
+    way comes first, away from the root. Trees of any depth take log2(n) rounds.
+    """
+    top = F.lit(-(1 << 62)).cast("long")
+    inner = edges.select("a", "b", F.col("metres").cast("double").alias("metres"))
+    every = inner.unionByName(roots.select(top.alias("a"), F.col("node").cast("long").alias("b"), F.lit(0.0).alias("metres")))
+    arcs = materialize(every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres")), "arcs")
+    order = Window.partitionBy("a").orderBy("b")
+    # After (a, b) comes, of b's arcs in their order, the one after (b, a); after the last the first.
+    turn = arcs.select("a", "b", F.lead("b").over(order).alias("next"), F.first("b").over(order).alias("first"), F.row_number().over(order).alias("place"))
+    after = turn.select(F.col("b").alias("a"), F.col("a").alias("b"), F.coalesce("next", "first").alias("to_b"), F.col("next").isNull().alias("last"))
+    # The tour ends where it would start again from the top.
+    ends = (F.col("b") == top) & F.col("last")
+    jump = materialize(after.select(F.struct("a", "b").alias("arc"), F.when(~ends, F.struct(F.col("b").alias("a"), F.col("to_b").alias("b"))).alias("to"), F.lit(1).cast("long").alias("steps")), "tour")
+    # After so many doublings only tours without an end are left, around trees without a root.
+    for _ in range(arcs.count().bit_length()):
+        on = jump.select(F.col("arc").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        jump = materialize(join_small(jump, on, "to", "left").select("arc", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "tour")
+        if not jump.where("to is not null").limit(1).count():
+            break
+    left = jump.where("to is null").select("arc.a", "arc.b", "steps")
+    back = left.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("steps").alias("_steps"))
+    down = left.join(back, ["a", "b"]).where(F.col("steps") > F.col("_steps")).select(F.col("b").alias("node"), F.col("a").alias("parent"))
+    lengths = arcs.select(F.col("a").alias("parent"), F.col("b").alias("node"), "metres")
+    return down.join(lengths, ["node", "parent"]).select("node", F.when(F.col("parent") != top, F.col("parent")).alias("parent"), F.col("metres").alias("length"))
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -102,17 +132,31 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The edges (a, b, metres) of a minimum spanning forest: each round every component takes its
-    least edge out, and components that so meet become one."""
-    held = materialize(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("metres").alias("metres")), "forest-edges")
+    least edge out, components that so meet become one, and only edges between components stay."""
+    held = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("metres").alias("metres"))
+    open_ = materialize(held.select("a", "b", "metres", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-edges")
+    none = open_.limit(0).select("a", "b", "metres")
     taken = None
-    open_ = held.select("a", "b", "metres", F.col("a").alias("ca"), F.col("b").alias("cb"))
     while True:
-        choice = F.struct("metres", "a", "b")
+        choice = F.struct("metres", "a", "b", "ca", "cb")
         least = open_.select(F.col("ca").alias("c"), choice.alias("e")).unionByName(open_.select(F.col("cb").alias("c"), choice.alias("e"))).groupBy("c").agg(F.min("e").alias("e"))
-        new = materialize(least.select("e.a", "e.b", "e.metres").distinct(), "forest-taken")
-        if not new.limit(1).count():
-            return taken if taken is not None else held.limit(0)
+        chosen = materialize(least.select("c", F.when(F.col("e.ca") == F.col("c"), F.col("e.cb")).otherwise(F.col("e.ca")).alias("to"), "e.a", "e.b", "e.metres"), "forest-taken")
+        if not chosen.limit(1).count():
+            return taken if taken is not None else none
+        new = chosen.select("a", "b", "metres").distinct()
         taken = new if taken is None else taken.unionByName(new)
-        label = components(taken, "forest-labels")
-        open_ = open_.join(label.select(F.col("node").alias("a"), F.col("label").alias("_ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("_cb")), "b", "left")
-        open_ = materialize(open_.select("a", "b", "metres", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb")).where("ca <> cb"), "forest-open")
+        # Each component points to the one that it takes; of two that take each other the smaller is the root.
+        mutual = chosen.select(F.col("to").alias("c"), F.col("c").alias("to"), F.lit(True).alias("both"))
+        point = chosen.select("c", "to").join(mutual, ["c", "to"], "left").select("c", F.when(F.col("both") & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        point = materialize(point, "forest-points")
+        while True:
+            on = point.select(F.col("c").alias("to"), F.col("to").alias("_to"))
+            moved = materialize(join_small(point, on, "to", "left").select("c", F.coalesce("_to", "to").alias("to"), (F.coalesce("_to", "to") != F.col("to")).alias("moved")), "forest-points")
+            point = moved.select("c", "to")
+            if not moved.where("moved").limit(1).count():
+                break
+        for side in ("ca", "cb"):
+            open_ = join_small(open_, point.select(F.col("c").alias(side), F.col("to").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        # Of several edges between the same two components only the least can be taken.
+        between = open_.where("ca <> cb").groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("metres", "a", "b")).alias("e"))
+        open_ = materialize(between.select("e.a", "e.b", "e.metres", "ca", "cb"), "forest-open")

@@ -34,7 +34,7 @@ def corners(polygons: DataFrame, clearance: float) -> DataFrame:
 
 def legs(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
     """(a, b, metres) between points (id, x, y) at most ``reach`` apart whose straight leg crosses no
-    polygon and has its middle in none. Obstacle edges meet legs by the cells of their boxes."""
+    polygon and has its quarter points in none. Obstacle edges meet legs by the cells of their boxes."""
     cell = lambda c: F.floor(c / reach).cast("long")
     right = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("cx", F.explode(F.sequence(cell(F.col("bx")) - 1, cell(F.col("bx")) + 1)))
     right = right.withColumn("cy", F.explode(F.sequence(cell(F.col("by")) - 1, cell(F.col("by")) + 1)))
@@ -48,7 +48,8 @@ def legs(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
     near_walls = walls.select("*", over("x0", "x1", "cx")).select("*", over("y0", "y1", "cy"))
     hit = g.crosses(p, q, (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1")))
     blocked = near_legs.join(near_walls, ["cx", "cy"]).where(hit).select("a", "b")
-    middles = pairs.select(F.struct("a", "b").alias("id"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    part = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("t")
+    middles = pairs.select("a", "b", "ax", "ay", "bx", "by", part).select(F.struct("a", "b").alias("id"), (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t")).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t")).alias("y"))
     inside = points_inside(middles, polygons, reach).select("id.a", "id.b")
     return pairs.join(blocked.unionByName(inside).distinct(), ["a", "b"], "left_anti").select("a", "b", "metres")
 
@@ -58,32 +59,28 @@ def steiner_forest(edges: DataFrame, terminals: DataFrame, roots: DataFrame) ->
     root (node); all roots count as one place. A root's parent is null."""
     top = roots.agg(F.min("node").alias("label"))
     labelled = roots.select("node").join(F.broadcast(top)).unionByName(terminals.select("node", F.col("node").alias("label")))
-    near = materialize(network.settled_paths(edges, labelled), "regions")
+    near = materialize(network.shortest_paths(edges, labelled), "regions")
     side = lambda name: near.select(F.col("node").alias(name), F.col("metres").alias(f"_{name}"), F.col("source").alias(f"s{name}"))
     over = edges.join(side("a"), "a").join(side("b"), "b").where("sa <> sb")
     shortest = F.min(F.struct((F.col("_a") + F.col("metres") + F.col("_b")).alias("metres"), "a", "b", F.col("metres").alias("leg")))
     bridges = materialize(over.groupBy(F.least("sa", "sb").alias("p"), F.greatest("sa", "sb").alias("q")).agg(shortest.alias("e")), "bridges")
     chosen = network.spanning_forest(bridges.select(F.col("p").alias("a"), F.col("q").alias("b"), "e.metres")).select(F.col("a").alias("p"), F.col("b").alias("q"))
     used = materialize(bridges.join(chosen, ["p", "q"]).select("e.a", "e.b", F.col("e.leg").alias("metres")), "used-bridges")
-    parents = near.select("node", F.col("via").alias("parent"), F.lit(0.0).alias("length"))
-    touched = used.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    walk, seen = touched, touched
-    while walk.limit(1).count():
-        walk = materialize(walk.join(parents.where("parent is not null"), "node").select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti"), "walk")
-        seen = materialize(seen.unionByName(walk), "walked")
-    inner = seen.join(near.where("via is not null").select("node", "via"), "node").select(F.least("node", "via").alias("a"), F.greatest("node", "via").alias("b"))
-    plain = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("metres").alias("metres"))
-    tree = inner.join(plain, ["a", "b"]).unionByName(used.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "metres")).distinct()
-    tree = network.spanning_forest(tree)
-    down = network.settled_paths(tree, roots.select("node", F.col("node").alias("label")))
-    whole = down.join(down.select(F.col("node").alias("via"), F.col("metres").alias("_m")), "via", "left")
-    return whole.select("node", F.col("via").alias("parent"), (F.col("metres") - F.coalesce("_m", F.lit(0.0))).alias("length"))
+    touched = used.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("ends", F.lit(1))
+    # Nodes with an end of a bridge behind them lie on a way from it to the terminal of their region.
+    forest = near.select("node", F.col("via").alias("parent"), F.lit(0.0).alias("length")).join(touched, "node", "left").fillna(0, ["ends"])
+    seen = network.gathered(forest, {"ends": "sum"}).where("ends > 0").select("node")
+    inner = seen.join(near.where("via is not null").select("node", "via", "metres"), "node")
+    inner = inner.join(near.select(F.col("node").alias("via"), F.col("metres").alias("_m")), "via").select(F.least("node", "via").alias("a"), F.greatest("node", "via").alias("b"), (F.col("metres") - F.col("_m")).alias("metres"))
+    # All roots are one place, so the chosen ways and bridges form no ring: each tree has one root.
+    tree = materialize(inner.unionByName(used.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "metres")).distinct(), "forest")
+    return network.rooted(tree, roots)
 
 
-def sized(tree: DataFrame, demand: DataFrame, rules: r.Rules = r.DEFAULT, levels: int | None = None) -> DataFrame:
+def sized(tree: DataFrame, demand: DataFrame, rules: r.Rules = r.DEFAULT) -> DataFrame:
     """(node, parent, length, flow, dn, cost) of the pipes that carry any of the demand (node, flow).
     The diameter follows the flow gathered below, so it never falls towards the source."""
     flows = tree.join(demand, "node", "left").select("node", "parent", "length", F.coalesce("flow", F.lit(0.0)).alias("flow"))
-    below = network.subtree_sums(flows, "flow", levels).select("node", F.col("total").alias("flow"))
+    below = network.subtree_sums(flows, "flow").select("node", F.col("total").alias("flow"))
     pipes = tree.where("parent is not null").join(below, "node").where("flow > 0").withColumn("dn", r.dn_for_flow(F.col("flow"), rules))
     return pipes.withColumn("cost", F.col("length") * r.price_per_metre(F.col("dn"), rules))

@@ -301,15 +301,14 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CLOSURE + "SELECT up.node, ancestor AS source, hops, metres::DOUBLE AS metres FROM up JOIN tree t ON t.node = ancestor WHERE t.parent IS NULL")
 def upstream_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node's source and the way there."""
-    return network.to_source(_tree(spark, sf_dir), 32)
+    return network.to_source(_tree(spark, sf_dir))
 
 
 @query(_CLOSURE + "SELECT ancestor AS node, sum(floor(t.flow * 10 + 0.5)::BIGINT)::BIGINT AS total_flow, count(*) AS nodes, max(t.dn)::INTEGER AS dn FROM up JOIN tree t ON t.node = up.node GROUP BY ancestor")
 def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows (tenths) and diameters gathered over subtrees."""
-    tree = _tree(spark, sf_dir)
-    flows = network.subtree_sums(tree.withColumn("tenths", units(F.col("flow"), 10)), "tenths", 32)
-    return flows.join(network.monotone_dn(tree, 32), "node").select("node", F.col("total").alias("total_flow"), "nodes", "dn")
+    tree = _tree(spark, sf_dir).select("node", "parent", "length", "dn", units(F.col("flow"), 10).alias("total_flow"), F.lit(1).cast("long").alias("nodes"))
+    return network.gathered(tree, {"total_flow": "sum", "nodes": "sum", "dn": "max"})
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +334,7 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def nearest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of many sources along any number of edges; without SQL, which would list all walks."""
-    return network.settled_paths(*_graph(spark, sf_dir)).select("node", "metres", "source")
+    return network.shortest_paths(*_graph(spark, sf_dir)).select("node", "metres", "source")
 
 
 _PLANS = "SELECT o_custkey % 400 AS run, ['mincost', 'mintaps', 'minrecon', 'finale'][(o_orderkey % 4 + 1)::INTEGER] AS code, floor(min(o_totalprice) * 1000) AS cost, (count(*) % 4)::BIGINT AS taps, floor(max(o_totalprice) / 100) AS length, (max(o_orderkey) % 3)::BIGINT AS unconnected FROM orders GROUP BY ALL"
@@ -359,13 +358,14 @@ def plan_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_DN}, sg AS (SELECT l_orderkey % 500 AS plan, 'N' || l_partkey % 40 AS f, 'N' || l_suppkey % 40 AS t, floor(l_extendedprice / 100) AS len, [50, 100, 200, 400][(l_linenumber % 4 + 1)::INTEGER] AS dn, [0.0, 1.6, 1.25][(l_linenumber % 3 + 1)::INTEGER]::DOUBLE AS k FROM lineitem), "
-    "pr AS (SELECT sg.*, len * d.price * CASE WHEN k > 0 THEN k ELSE 1 END AS cost FROM sg JOIN dims d USING (dn)), pi AS (SELECT plan, sum(floor(cost + 0.5)::BIGINT)::BIGINT AS pipes, sum(len)::BIGINT AS length FROM pr GROUP BY plan), "
+    "pr AS (SELECT sg.*, len * d.price * CASE WHEN k > 0 THEN k ELSE 1 END AS cost FROM sg JOIN dims d USING (dn)), pi AS (SELECT plan, sum(floor(cost * 100 + 0.5)::BIGINT)::BIGINT AS pipes, sum(len)::BIGINT AS length FROM pr GROUP BY plan), "
     "en AS (SELECT plan, id, max(dn) AS dn FROM (SELECT plan, f AS id, dn FROM sg UNION ALL SELECT plan, t, dn FROM sg) GROUP BY ALL), "
     "ch AS (SELECT DISTINCT o_orderkey % 500 AS plan, 'N' || o_custkey % 40 AS id FROM orders), "
     f"cc AS (SELECT plan, sum({_TIER_OF.format(dn='coalesce(en.dn, 50)')})::BIGINT AS chambers FROM ch LEFT JOIN en USING (plan, id) GROUP BY plan), "
     "un AS (SELECT o_orderkey % 500 AS plan, (count(*) * 100000000 + 500000 * sum(o_custkey % 7))::BIGINT AS penalty, count(*) AS unconnected FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL), "
     "ti AS (SELECT o_orderkey % 500 AS plan, (count(*) * 5000000)::BIGINT AS tie_ins FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) "
-    "SELECT plan, coalesce(pipes, 0) AS pipes, coalesce(length, 0) AS length, coalesce(chambers, 0) AS chambers, coalesce(tie_ins, 0) AS tie_ins, coalesce(penalty, 0) AS penalty, coalesce(unconnected, 0) AS unconnected "
+    "SELECT plan, coalesce(pipes, 0) AS pipes_cents, coalesce(length, 0) AS length, coalesce(chambers, 0) AS chambers, coalesce(tie_ins, 0) AS tie_ins, coalesce(penalty, 0) AS penalty, coalesce(unconnected, 0) AS unconnected, "
+    "(coalesce(pipes, 0) + 100 * (coalesce(chambers, 0) + coalesce(tie_ins, 0) + coalesce(penalty, 0)))::BIGINT AS total_cents "
     "FROM pi FULL JOIN cc USING (plan) FULL JOIN ti USING (plan) FULL JOIN un USING (plan)"
 )
 def plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,13 +378,11 @@ def plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*map(F.lit, (50, 100, 200, 400)))[F.col("l_linenumber") % 4].alias("dn"), F.array(*map(F.lit, (0.0, 1.6, 1.25)))[F.col("l_linenumber") % 3].alias("k_spec"),
         F.lit(None).cast("double").alias("depth_from"), F.lit(None).cast("double").alias("depth_to"),
     )
-    priced = segments.withColumn("pipe", F.floor(costing.pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to")) + 0.5))
     chambers = orders.select(plan, node("o_custkey").alias("id")).distinct().withColumn("dn", F.lit(None).cast("int"))
     tied, left = orders.where("o_orderstatus = 'F'").select(plan), orders.where("o_orderstatus = 'P'").select(plan, (F.col("o_custkey") % 7).cast("double").alias("flow"))
-    costs = costing.roll_up(segments, chambers, tied, left, "plan").drop("pipes")
-    exact = priced.groupBy("plan").agg(F.sum("pipe").alias("pipes"))
-    whole = lambda c: F.coalesce(F.floor(c), F.lit(0)).cast("long").alias(c)
-    return costs.join(exact, "plan", "left").select("plan", *[whole(c) for c in ("pipes", "length", "chambers", "tie_ins", "penalty", "unconnected")])
+    costs = costing.roll_up(segments, chambers, tied, left, "plan")
+    whole = lambda c: F.floor(c).cast("long").alias(c)
+    return costs.select("plan", units(F.col("pipes"), 100).alias("pipes_cents"), *[whole(c) for c in ("length", "chambers", "tie_ins", "penalty", "unconnected")], units(F.col("total"), 100).alias("total_cents"))
 
 
 @query(
@@ -430,9 +428,26 @@ def feature_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.page(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 100, 50)
 
 
-@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
-def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geojson.kind_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "kind"))
+@query(
+    "WITH t AS (SELECT lower(trim([" + ", ".join(f"'{t}'" for t in _KIND_TEXTS) + f"][(p_partkey % {len(_KIND_TEXTS)} + 1)::INTEGER])) AS k, "
+    "lower([" + ", ".join(f"'{t}'" for t in _SHAPES) + "][(p_size % 5 + 1)::INTEGER]) AS s, CASE WHEN p_partkey % 2 = 0 THEN 1.0 END AS flow, CASE WHEN p_partkey % 3 = 0 THEN 'a' END AS nx, CASE WHEN p_partkey % 7 < 3 THEN 'b' END AS oks, "
+    "(p_partkey * 37 % 1000)::DOUBLE AS x, (p_partkey * 91 % 1000)::DOUBLE AS y, p_size AS w FROM part), "
+    "q AS (SELECT *, CASE " + " ".join(f"WHEN k = '{k}' THEN '{v}'" for k, v in r.KIND_TOKENS.items())
+    + " WHEN contains(s, 'line') AND nx IS NOT NULL THEN 'EXISTING_SEGMENT' WHEN s IN ('point', 'multipoint') AND oks IS NOT NULL THEN 'CONNECTION_POINT' WHEN contains(s, 'polygon') AND flow IS NOT NULL THEN 'OKS_PROSPECTIVE' "
+    "WHEN contains(k, 'камер') OR contains(k, 'chamber') THEN 'CHAMBER' WHEN contains(k, 'источ') OR contains(k, 'source') OR contains(k, 'тэц') THEN 'SOURCE' "
+    "WHEN contains(s, 'polygon') OR " + " OR ".join(f"contains(k, '{c}')" for c in r.CONSTRAINT_TEXTS) + " THEN 'CONSTRAINT' ELSE 'UNKNOWN' END AS kind FROM t) "
+    "SELECT kind, count(*) AS n, min(x) AS min_x, min(y) AS min_y, max(x + w) AS max_x, max(y + w) AS max_y FROM q GROUP BY kind "
+    "UNION ALL SELECT 'ALL', count(*), min(x), min(y), max(x + w), max(y + w) FROM q"
+)
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by kind, unknown ones among them, with the boxes of each kind and of all."""
+    key = F.col("p_partkey")
+    text = F.array(*[F.lit(t) for t in _KIND_TEXTS])[(key % len(_KIND_TEXTS)).cast("int")]
+    shape = F.array(*[F.lit(t) for t in _SHAPES])[F.col("p_size") % 5]
+    kind = r.feature_kind(text, shape, F.when(key % 2 == 0, 1.0), F.when(key % 3 == 0, "a"), F.when(key % 7 < 3, "b"))
+    x, y = (key * 37 % 1000).cast("double"), (key * 91 % 1000).cast("double")
+    features = table(spark, sf_dir, "part").select(kind.alias("kind"), x.alias("min_x"), y.alias("min_y"), (x + F.col("p_size")).alias("max_x"), (y + F.col("p_size")).alias("max_y"))
+    return geojson.ingest_stats(features)
 
 
 @query(None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +58,11 @@ def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
     return features_of(lines.select(F.monotonically_increasing_id().alias("ord"), F.struct("type", "id", "geometry", "properties").alias("f")))
 
 
-def kind_counts(features: DataFrame) -> DataFrame:
-    return features.groupBy("kind").agg(F.count("*").alias("n"))
+def ingest_stats(features: DataFrame) -> DataFrame:
+    """(kind, n, min_x, min_y, max_x, max_y) for each kind, UNKNOWN among them, and for all as ``ALL``."""
+    sums = [F.count("*").alias("n"), *[getattr(F, c[:3])(c).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")]]
+    by_kind = features.groupBy("kind").agg(*sums)
+    return by_kind.unionByName(by_kind.groupBy(F.lit("ALL").alias("kind")).agg(F.sum("n").alias("n"), *sums[1:]))
 
 
 def page(features: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
@@ -76,6 +81,45 @@ def own_id(variant: Column, text: Column, created: Column) -> Column:
 
 
 def write_collection(features: DataFrame, order: str, path: str, name: str) -> None:
-    """Feature texts (column ``feature``) as one FeatureCollection file; a result of three variants is small."""
-    body = features.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "feature"))), lambda f: f["feature"]), ",").alias("all"))
-    body.select(F.concat(F.lit(f'{{"type":"FeatureCollection","name":"{name}","features":['), "all", F.lit("]}"))).coalesce(1).write.mode("overwrite").text(path)
+    """Feature texts (column ``feature``) in the order of a column, as the parts of one FeatureCollection: a head, sorted
+    parts and a tail, whose texts in the order of their paths are the file. No part holds more than its range."""
+    spark = features.sparkSession
+    first = features.agg(F.min(order)).first()[0]
+    lines = features.repartitionByRange(order).sortWithinPartitions(order)
+    lines.select(F.concat(F.when(F.col(order) == F.lit(first), "").otherwise(","), "feature").alias("value")).write.mode("overwrite").text(f"{path}/1-features")
+    for part, text in (("0-head", f'{{"type":"FeatureCollection","name":{json.dumps(name)},"features":['), ("2-tail", "]}")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{part}")
+
+
+_POINT = "array<double>"
+_NESTING = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
+
+
+def rings(kind: Column, coordinates: Column) -> Column:
+    """The lines or rings of a geometry's coordinates, as an array of (part, ring, path): a polygon's part is its place
+    in a multi-polygon, and its first ring the outer one; null for other shapes. A third coordinate is left out."""
+    place = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    line = lambda part, ring, path: F.struct(part.cast("int").alias("part"), ring.cast("int").alias("ring"), F.transform(path, place).alias("path"))
+    read = lambda depth: F.from_json(coordinates, "array<" * depth + _POINT + ">" * depth)
+    zero = F.lit(0)
+    out = F.lit(None)
+    for shape, depth in _NESTING.items():
+        text = read(depth)
+        if depth == 0:
+            value = F.array(line(zero, zero, F.array(text)))
+        elif depth == 1:
+            value = F.array(line(zero, zero, text))
+        elif depth == 2:
+            value = F.transform(text, lambda ring, i: line(zero, i, ring))
+        else:
+            value = F.flatten(F.transform(text, lambda polygon, p: F.transform(polygon, lambda ring, i: line(p, i, ring))))
+        out = F.when(kind == shape, value).otherwise(out)
+    return out
+
+
+def geometry_text(kind: Column, lines: Column) -> Column:
+    """GeoJSON of the shapes that ``rings`` reads: Point, LineString or Polygon."""
+    position = lambda p: F.array(p["x"], p["y"])
+    paths = F.transform(lines, lambda r: F.transform(r["path"], position))
+    body = F.when(kind == "Point", F.to_json(paths[0][0])).when(kind.isin("LineString", "MultiPoint"), F.to_json(paths[0])).otherwise(F.to_json(paths))
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), body, F.lit("}"))

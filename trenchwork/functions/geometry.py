@@ -79,3 +79,24 @@ def path_length(path: Column) -> Column:
     """The length of an array of struct<x, y>."""
     legs = F.zip_with(F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), lambda p, q: distance((p["x"], p["y"]), (q["x"], q["y"])))
     return F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)
+
+
+def turn(a: Point, b: Point, c: Point) -> Column:
+    """How far the way from a over b to c turns at b, in degrees; 0 where a leg has no length."""
+    ux, uy, vx, vy = b[0] - a[0], b[1] - a[1], c[0] - b[0], c[1] - b[1]
+    lengths = distance(a, b) * distance(b, c)
+    cosine = (ux * vx + uy * vy) / F.when(lengths > 1e-12, lengths)
+    return F.coalesce(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))), F.lit(0.0))
+
+
+def meets_box(a: Point, b: Point, low: Point, high: Point) -> Column:
+    """Whether the segment ab has a point in the box: its own box overlaps it, and the corners are not all on one side."""
+    boxes = [(F.least(a[i], b[i]) <= high[i]) & (F.greatest(a[i], b[i]) >= low[i]) for i in (0, 1)]
+    corners = [cross(a, b, (x, y)) for x in (low[0], high[0]) for y in (low[1], high[1])]
+    return boxes[0] & boxes[1] & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+
+def without_repeats(path: Column, within: float = 1e-9) -> Column:
+    """An array of struct<x, y> without the points that lie where the one before them in the array does."""
+    far = lambda p, q: (F.abs(p["x"] - q["x"]) > within) | (F.abs(p["y"] - q["y"]) > within)
+    return F.filter(path, lambda p, i: (i == 0) | far(p, F.get(path, i - 1)))

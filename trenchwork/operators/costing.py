@@ -49,3 +49,44 @@ def ranked(plans: DataFrame, run: str, most: int = 3, rules: r.Rules = r.DEFAULT
     """The ``most`` best plans of each run by score, cost and code."""
     order = Window.partitionBy(run).orderBy("score", "cost", F.coalesce("code", F.lit("")))
     return plans.withColumn("score", score(F.col("cost"), F.col("length"), rules)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def design_dn(demand: DataFrame, key: str, rules: r.Rules = r.DEFAULT) -> DataFrame:
+    """(key, flow, dn): the flow of the connected consumers (key, flow, connected) together, and the diameter for it."""
+    total = demand.where("connected").groupBy(key).agg(F.sum("flow").alias("flow"))
+    return total.withColumn("dn", r.dn_for_flow(F.col("flow"), rules))
+
+
+def tap_sites(taps: DataFrame, key: str) -> DataFrame:
+    """(key, sites): new chambers at taps and distinct existing ones of taps (key, chamber, existing); if there are neither, the taps."""
+    found = taps.groupBy(key).agg((F.count("chamber") + F.count_distinct("existing")).alias("sites"), F.count("*").alias("taps"))
+    return found.select(key, F.when(F.col("sites") > 0, F.col("sites")).otherwise(F.col("taps")).alias("sites"))
+
+
+def titled(plans: DataFrame, run: str, near: float = 40.0) -> DataFrame:
+    """Plans (run, code, cost, taps, length) with a title: the cheapest where least cost was asked for, then those with the
+    fewest taps, then those within ``near`` metres of the shortest."""
+    whole = Window.partitionBy(run)
+    cheapest = F.first("code").over(whole.orderBy("cost", "code"))
+    asked = F.max((F.col("code") == "mincost").cast("int")).over(whole) == 1
+    title = (
+        F.when(asked & (F.col("code") == cheapest), "least cost")
+        .when(F.col("taps") == F.min("taps").over(whole), "fewest taps")
+        .when(F.col("length") <= F.min("length").over(whole) + near, "least length")
+        .otherwise("other")
+    )
+    return plans.withColumn("title", title)
+
+
+def start_orders(consumers: DataFrame, key: str) -> DataFrame:
+    """Consumers (key, id, near, flow) with their places by distance to the network, by flow and by distance from the far end,
+    and in a mixed order that is the same in every run."""
+    rank = lambda *order: F.row_number().over(Window.partitionBy(key).orderBy(*order, "id"))
+    return consumers.withColumns({"nearest": rank("near"), "largest": rank(F.desc("flow")), "farthest": rank(F.desc("near")), "mixed": rank(F.xxhash64("id"))})
+
+
+def strategies(asked: list[str], known: tuple[str, ...] = MANAGED[:3]) -> list[str]:
+    """The strategies to run: all if none is asked for, unknown ones and repeats left out, least cost if nothing is left."""
+    if not asked:
+        return list(known)
+    return list(dict.fromkeys(s for s in asked if s in known)) or [known[0]]

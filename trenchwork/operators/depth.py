@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,3 +44,41 @@ def profile(stations: DataFrame, pins: DataFrame, key: str, rules: r.Rules = r.D
     )
     ordinary = F.lit(rules.ordinary_depth)
     return bounds.where("station").select(key, at.alias("s"), F.greatest(F.coalesce("low", ordinary), F.least(F.coalesce("high", ordinary), ordinary)).alias("depth"))
+
+
+# Texts in an obstacle's type and its kind, in order.
+OBSTACLE_TEXTS = (
+    ("RAILWAY", ("rail", "железн")), ("TRAM", ("tram", "трам")), ("GAS", ("gas", "газ")), ("CABLE", ("cable", "кабел")), ("HEAT", ("heat", "тепл")), ("ROAD", ("road", "дорог")),
+)
+# Clear distance (m) and own height (m) of what is passed above or below; least cover (m) under ways.
+UTILITIES = {"GAS": (0.40, 0.20), "CABLE": (0.20, 0.50), "HEAT": (0.50, 0.0)}
+COVERS = {"ROAD": 1.0, "TRAM": 1.2}
+
+
+def obstacle_kind(kind: Column) -> Column:
+    """What an obstacle's type text stands for; null for what depths do not depend on."""
+    text, out = r.normal(kind), F.lit(None).cast("string")
+    for name, words in reversed(OBSTACLE_TEXTS):
+        out = F.when(F.greatest(*[text.contains(w) for w in words]), name).otherwise(out)
+    return out
+
+
+def window(kind: Column, top: Column) -> Column:
+    """The struct (above_max, below_min) for a utility whose top lies ``top`` metres deep; null for other kinds."""
+    above = below = F.lit(None).cast("double")
+    for name, (clear, height) in UTILITIES.items():
+        above, below = F.when(kind == name, top - height - clear if name != "HEAT" else top - clear).otherwise(above), F.when(kind == name, top + clear).otherwise(below)
+    return F.struct(above.alias("above_max"), below.alias("below_min"))
+
+
+def least_cover(kind: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for name, metres in COVERS.items():
+        out = F.when(kind == name, metres).otherwise(out)
+    return out
+
+
+def pin_floors(pins: DataFrame, covers: DataFrame, floor: float = 0.7) -> DataFrame:
+    """(edge, pin, floor): the greatest cover (edge, c0, c1, cover) that meets the interval of each pin (edge, pin, s0, s1)."""
+    met = (F.col("c0") <= F.col("s1")) & (F.col("s0") <= F.col("c1"))
+    return pins.join(covers, "edge", "left").groupBy("edge", "pin").agg(F.coalesce(F.max(F.when(met, F.col("cover"))), F.lit(floor)).alias("floor"))

@@ -123,3 +123,29 @@ def geometry_text(kind: Column, lines: Column) -> Column:
     paths = F.transform(lines, lambda r: F.transform(r["path"], position))
     body = F.when(kind == "Point", F.to_json(paths[0][0])).when(kind.isin("LineString", "MultiPoint"), F.to_json(paths[0])).otherwise(F.to_json(paths))
     return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), body, F.lit("}"))
+
+
+def result_features(segments: DataFrame, chambers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The features of a combined result (ord, object_type, variant_id, id, start_node_id, end_node_id, length, depth_start,
+    depth_end, cost): pipes from the network's side on, chambers, technical nodes, and a summary of each variant.
+
+    Ids of chambers and nodes made in a variant get its number before them, wherever they stand; other ids are the input's.
+    A depth that is known at one end only holds at the other too.
+    """
+    own = chambers.select("variant_id", "id").unionByName(nodes.select("variant_id", "id")).distinct()
+    end = lambda c: own.select("variant_id", F.col("id").alias(c), F.lit(True).alias(f"_{c}"))
+    joined = segments.join(end("from_id"), ["variant_id", "from_id"], "left").join(end("to_id"), ["variant_id", "to_id"], "left")
+    out = lambda c: json_id(own_id(F.col("variant_id"), F.col(c), F.coalesce(f"_{c}", F.lit(False))))
+    made = json_id(own_id(F.col("variant_id"), F.col("id"), F.lit(True)))
+    pipes = joined.select(
+        F.lit(1).alias("ord"), F.lit("heat_network").alias("object_type"), "variant_id", made.alias("id"), out("to_id").alias("start_node_id"), out("from_id").alias("end_node_id"),
+        r.rounded(F.col("length"), 2).alias("length"), r.rounded(F.coalesce("depth_to", "depth_from"), 4).alias("depth_start"), r.rounded(F.coalesce("depth_from", "depth_to"), 4).alias("depth_end"), r.rounded(F.col("cost"), 2).alias("cost"),
+    )
+    built = chambers.select(F.lit(2).alias("ord"), F.lit("heat_chamber").alias("object_type"), "variant_id", made.alias("id"), r.rounded(F.col("cost"), 2).alias("cost"))
+    technical = nodes.select(F.lit(3).alias("ord"), F.lit("technical_node").alias("object_type"), "variant_id", made.alias("id"))
+    hundredths = lambda c: (F.sum(F.floor(F.col(c) * 100 + 0.5)).cast("double") / 100).alias(c)
+    summary = segments.groupBy("variant_id").agg(hundredths("length"), hundredths("cost")).select(F.lit(4).alias("ord"), F.lit("variant_summary").alias("object_type"), "variant_id", json_id(F.col("variant_id").cast("string")).alias("id"), "length", "cost")
+    features = pipes
+    for part in (built, technical, summary):
+        features = features.unionByName(part, allowMissingColumns=True)
+    return features

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules as r
 from ..store import join_small, materialize
 
 
@@ -160,3 +161,39 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         # Of several edges between the same two components only the least can be taken.
         between = open_.where("ca <> cb").groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("metres", "a", "b")).alias("e"))
         open_ = materialize(between.select("e.a", "e.b", "e.metres", "ca", "cb"), "forest-open")
+
+
+def run_limited_dn(tree: DataFrame, rules: r.Rules = r.DEFAULT) -> DataFrame:
+    """(node, dn, run) of the pipes of a forest (node, parent, length, flow; a root has no pipe).
+
+    A pipe is no narrower than its flow needs nor than the pipes below it. The run is its length and the longest run of
+    those below with its diameter; while it is longer than the diameter may run, the next diameter is taken. Pipes in a row with one
+    flow are one pipe to this rule and are raised together, so such rows are put together first; then
+    units are sized from the leaves on, one round for each level of them.
+    """
+    pipes = tree.where("parent is not null").select("node", "parent", "length", "flow")
+    above = pipes.select(F.col("node").alias("parent"), F.col("flow").alias("_over"))
+    rows = pipes.join(above, "parent", "left").select("node", "parent", "length", "flow", F.when(F.abs(F.col("flow") - F.col("_over")) < 1e-6, F.col("parent")).alias("_same"))
+    rows = materialize(rows, "dn-rows")
+    tops = materialize(to_source(rows.select("node", F.col("_same").alias("parent"), "length")).select("node", F.col("source").alias("unit")), "dn-units")
+    whole = rows.join(tops, "node").groupBy("unit").agg(F.sum("length").alias("length"), F.max("flow").alias("flow"), F.max(F.when(F.col("node") == F.col("unit"), F.col("parent"))).alias("_parent"))
+    pending = materialize(whole.join(tops.select(F.col("node").alias("_parent"), F.col("unit").alias("over")), "_parent", "left").select("unit", "over", "length", "flow"), "dn-pending")
+    done = None
+    while pending.limit(1).count():
+        ready = pending.join(pending.select(F.col("over").alias("unit")), "unit", "left_anti")
+        if done is None:
+            below = ready.withColumn("_dn", F.lit(0)).withColumn("_run", F.lit(0.0))
+        else:
+            widest = done.where("over is not null").groupBy(F.col("over").alias("unit")).agg(F.max(F.struct("dn", "run")).alias("w"))
+            below = ready.join(widest, "unit", "left").withColumn("_dn", F.coalesce("w.dn", F.lit(0))).withColumn("_run", F.coalesce("w.run", F.lit(0.0))).drop("w")
+        least = F.greatest(r.dn_for_flow(F.col("flow"), rules), "_dn")
+        run = lambda dn: F.col("length") + F.when(F.col("_dn") == dn, F.col("_run")).otherwise(0.0)
+        dn = F.lit(rules.diameters[-1][0])
+        for d in reversed(rules.diameters[:-1]):
+            dn = F.when((least <= d[0]) & (run(F.lit(d[0])) <= d[2] + 1e-6), d[0]).otherwise(dn)
+        sized = materialize(below.withColumn("dn", dn).select("unit", "over", "dn", run(F.col("dn")).alias("run")), "dn-sized")
+        done = sized if done is None else done.unionByName(sized)
+        pending = materialize(pending.join(sized.select("unit"), "unit", "left_anti"), "dn-pending")
+    if done is None:
+        return pending.select(F.col("unit").alias("node"), F.lit(0).alias("dn"), F.col("length").alias("run"))
+    return tops.join(done, "unit").select("node", "dn", "run")

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import rules as r
-from ..operators import costing, crossings, depth, intervals, topology
+from ..operators import costing, crossings, depth, intervals, network, topology
 from ..sources import geojson
-from .catalogue import _DN, _pd, query, table, units
+from .catalogue import _DN, _pd, _tree, query, table, units
 
 _NATION = "SELECT n_nationkey AS k, (n_nationkey * 211 % 1000)::DOUBLE AS x, (n_nationkey * 383 % 1000)::DOUBLE AS y FROM nation"
 _PIPES = "SELECT c_custkey AS id, (c_custkey * 37 % 1000)::DOUBLE AS x0, (c_custkey * 91 % 1000)::DOUBLE AS y0, (c_custkey * 37 % 1000 + c_custkey % 37)::DOUBLE AS x1, (c_custkey * 91 % 1000 + c_custkey % 23)::DOUBLE AS y1, [80, 200, 500, 900][(c_custkey % 4 + 1)::INTEGER] AS dn FROM customer"
@@ -306,3 +306,21 @@ def result_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     chambers = orders.select((F.col("o_orderkey") % 3 + 1).alias("variant_id"), F.concat(F.lit("N"), (F.col("o_custkey") % 40).cast("string")).alias("id")).distinct().withColumn("cost", F.lit(3e6))
     nodes = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3 + 1).alias("variant_id"), F.concat(F.lit("T"), "p_partkey").alias("id"))
     return geojson.result_features(segments, chambers, nodes)
+
+
+@query(None)
+def run_limited_dn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diameters of a tree by flow, by what is below, and by how far a diameter may run; no SQL, as that would aggregate in a recursion."""
+    tree = _tree(spark, sf_dir).withColumn("flow", F.floor("flow") * 3).withColumn("length", F.col("length") * 9.0)
+    flows = network.subtree_sums(tree.select("node", "parent", "length", "flow"), "flow").select("node", F.col("total").alias("flow"))
+    sized = network.run_limited_dn(tree.select("node", "parent", "length").join(flows, "node"))
+    return sized.select("node", "dn", units(F.col("run"), 1000).alias("run_mm"))
+
+
+@query(None)
+def upstream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which end of each segment is nearer to a source, and the segment or source behind it; ids that are given stay."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").where("c_custkey >= 3")
+    segments = customers.select(k.alias("segment"), k.alias("a"), F.floor(k / 3).alias("b"), (k % 30 + 1).cast("double").alias("length"), F.when(k % 11 == 0, F.concat(F.lit("given "), k)).alias("next_id"))
+    return topology.oriented(segments, table(spark, sf_dir, "customer").where("c_custkey % 97 = 1").select(k.alias("node")))

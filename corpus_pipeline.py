@@ -1,6 +1,11 @@
 """From raw documents to a token file, in five stages.
 
 Each stage works on all that its predecessor kept, which is written as Parquet and read again.
+
+Every stage takes null and repeated doc_ids, null and empty texts, any further columns and empty tables. Rows are judged
+one by one; what a stage decides of a row never falls on another row that has its doc_id but another text. A null or empty text has no letters,
+so it goes with the first stage; were it to come later, it would be similar to nothing, clean, of size 0 in the mix, and
+one end id in the token file.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ from trenchwork.store import join_small, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those whose language stays a guess (mean probability under 0.3)."""
+    """Drop documents without letters and those whose language stays a guess (mean probability under 0.3).
+    Repeated rows are kept or dropped alike."""
     return langid.accepted(docs, least_score=0.3)
 
 
@@ -26,7 +32,8 @@ def row_key() -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of five-word Jaccard similarity 0.8 or more: that with the smallest doc_id, null last."""
+    """Keep one document of each group of five-word Jaccard similarity 0.8 or more: that with the smallest doc_id, null last.
+    Of repeated rows one stays; a document without words is a group of its own, so equal ones of those are one row too."""
     keyed = docs.withColumn("_key", row_key())
     groups = jaccard.similar_components(keyed.withColumn("doc_id", F.col("_key")), k=5, percent=80)
     named = groups.select(F.col("doc_id").alias("_key"), "component_id").join(keyed.select("_key", "doc_id"), "_key")
@@ -38,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter item.
+    An item without words, or an empty benchmark, drops nothing."""
     keyed = docs.withColumn("_key", row_key())
     judged = decontaminate.contamination(keyed.withColumn("doc_id", F.col("_key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = materialize(judged.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated-keys")
@@ -46,12 +54,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of a mix of sources by weights 3, 1, 2, of 150 % of all words; repeats are rows."""
+    """The documents of a mix of sources by weights 3, 1, 2, of 150 % of all words; repeats are rows.
+    A null source is one of them; the last document that a source gives may be cut at a word."""
     return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token file and return what is read back from it, for each row."""
+    """Write the token file and return what is read back from it, for each row; null doc_ids come first."""
     return tokenids.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 

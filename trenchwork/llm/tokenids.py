@@ -149,7 +149,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, wide: bool = False) -> Da
         names = ["doc_id", "ids", "tie", "id_list", "id_counts"]
         totals: np.ndarray = np.zeros(1, np.int64)
         id_type = pa.null()
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             ids, counts = _tokenizer(path).encode(batch.column("text"))
             id_type = batch.column("doc_id").type
             counts = counts + 1
@@ -179,7 +179,7 @@ def _coded(ids: DataFrame, code, wide: bool) -> DataFrame:
     dtype = np.uint32 if wide else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "ids", 2 << 20):
+        for batch in pieces(batches, "ids", 1 << 20):
             column = batch.column("ids").cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].tobytes()

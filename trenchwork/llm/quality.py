@@ -134,12 +134,17 @@ def _with_distance(rows: DataFrame, stats: DataFrame, also: tuple[str, ...] = ()
     return join_small(rows, stats, "key").withColumn("distance", squares).select(*rows.columns, *also, "distance")
 
 
+def _few(groups: DataFrame, name: str) -> DataFrame:
+    """A written table with a row for each group or start, in a few files."""
+    return materialize(groups.coalesce(4), name)
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """(key, start, means, covariances): three estimates that outliers do not carry away."""
-    medians = materialize(rows.groupBy("key").agg(*[F.percentile_approx(f"x_{i}", 0.5, 1000).alias(f"m_{i}") for i in range(D)]), "mcd-medians")
+    medians = _few(rows.groupBy("key").agg(*[F.percentile_approx(f"x_{i}", 0.5, 1000).alias(f"m_{i}") for i in range(D)]), "mcd-medians")
     off = join_small(rows, medians, "key").groupBy("key").agg(*[F.first(m).alias(m) for m in MEANS], *[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(D)])
     scale = [F.sqrt(F.pow(F.col(f"d_{i}") * 1.4826, 2) + FLOOR[i] ** 2).alias(f"s_{i}") for i in range(D)]
-    scales = materialize(off.select("key", *MEANS, *scale), "mcd-scales")
+    scales = _few(off.select("key", *MEANS, *scale), "mcd-scales")
     z = [((F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i in range(D)]
     near = join_small(rows, scales, "key").select("key", *z)
     norm = F.sqrt(F.greatest(sum((F.pow(f"z_{i}", 2) for i in range(D)), F.lit(0.0)), F.lit(1e-12)))
@@ -158,19 +163,19 @@ def _starts(rows: DataFrame) -> DataFrame:
 def robust_estimates(rows: DataFrame, most_steps: int = 12, half: float = 0.75) -> DataFrame:
     """Mean and covariance of each key of ``rows`` (key, x_0.. x_4), one row for each key."""
     scale = half / chi2_cdf(chi2_quantile(half, D), D + 2)
-    stats = materialize(_whitened(_starts(rows)), "mcd-start")
+    stats = _few(_whitened(_starts(rows)), "mcd-start")
     for step in range(most_steps):
         near = _with_distance(rows, stats, ("start",))
-        limits = materialize(near.groupBy("key", "start").agg(F.percentile_approx("distance", half, 1000).alias("limit")), f"mcd-limits-{step}")
+        limits = _few(near.groupBy("key", "start").agg(F.percentile_approx("distance", half, 1000).alias("limit")), f"mcd-limits-{step}")
         inner = join_small(near, limits, ["key", "start"]).where("distance <= limit")
         moments = inner.groupBy("key", "start").agg(
             *[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(D)],
             *[(F.covar_pop(f"x_{i}", f"x_{j}") * scale + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS],
         )
-        before, stats = stats, materialize(_whitened(moments), f"mcd-step-{step}")
+        before, stats = stats, _few(_whitened(moments), f"mcd-step-{step}")
         if step == 1:
             best = stats.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("best")).select("key", "best.start")
-            stats = materialize(stats.join(best, ["key", "start"]), "mcd-best")
+            stats = _few(stats.join(best, ["key", "start"]), "mcd-best")
         elif step > 1:
             fallen = stats.join(before.select("key", F.col("log_det").alias("was")), "key").where(F.abs(F.col("was") - F.col("log_det")) > 1e-3)
             if not fallen.limit(1).count():
@@ -187,13 +192,13 @@ def judged(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, prio
     of_all = F.lit("all")
     narrow = passed.select("key", *[f"x_{i}" for i in range(D)])
     # Each row counts in its own group and among all; the JSON of a struct is never "all".
-    estimates = materialize(robust_estimates(narrow.withColumn("key", F.explode(F.array("key", of_all)))), "mcd-estimates")
+    estimates = _few(robust_estimates(narrow.withColumn("key", F.explode(F.array("key", of_all)))), "mcd-estimates")
     every = estimates.where(F.col("key") == of_all).select(*[F.col(c).alias(f"all_{c}") for c in (*MEANS, *COVARIANCES)])
     sizes = passed.groupBy("key").agg(F.count("*").alias("rows"))
     # One row is joined to all.
     own = estimates.join(sizes, "key").crossJoin(F.broadcast(every.limit(1)))
     drawn = [((F.col("rows") * F.col(c) + prior_rows * F.col(f"all_{c}")) / (F.col("rows") + prior_rows)).alias(c) for c in (*MEANS, *COVARIANCES)]
-    fitted = materialize(_whitened(own.select("key", *drawn)), "mcd-fitted")
+    fitted = _few(_whitened(own.select("key", *drawn)), "mcd-fitted")
     cutoff = chi2_quantile(confidence, D)
     out = [*rows.columns, "distance"]
     judged_rows = _with_distance(passed, fitted).select(out).unionByName(rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).select(out))

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, ngramlm, passages, quality, suffixes, tokenids, urls
+from . import decontaminate, jaccard, langid, merkle, mixing, ngramlm, passages, quality, sentencepieces, suffixes, tokenids, urls, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,25 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_read(spark, sf_dir, "embeddings"), scale=256.0, components=4)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_read(spark, sf_dir, "documents"), arity=3)
+
+
+def op13_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepieces.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def embedding_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of op11_whitening, which SQL can give too: n and deviation of every row."""
+    return whitening.whitened(_read(spark, sf_dir, "embeddings"), scale=256.0, components=1).select("vec_id", "n", "deviation")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op8_quality, which SQL can give too."""
     return quality.text_statistics(_read(spark, sf_dir, "documents")).drop("lang", "source")
@@ -78,11 +97,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ngramlm": op9_ngramlm,
     "op10_jaccard": op10_jaccard,
+    "op11_whitening": op11_whitening,
+    "op12_merkle": op12_merkle,
+    "op13_sentencepieces": op13_sentencepieces,
+    "embedding_deviation": embedding_deviation,
     "quality_counts": quality_counts,
     "url_rules": url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "embedding_deviation": r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+f AS (SELECT DISTINCT x FROM e),
+m AS (SELECT len(x) AS d, count(*) AS n FROM f GROUP BY 1),
+s AS (SELECT d, k, sum(v)::HUGEINT AS s FROM (SELECT len(x) AS d, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS k FROM f) GROUP BY 1, 2),
+u AS (SELECT r, vec_id, len(x) AS d, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS k FROM e)
+SELECT vec_id, n::BIGINT AS n, sum((n * v - s) * (n * v - s))::BIGINT AS deviation FROM u JOIN m USING (d) JOIN s USING (d, k) GROUP BY r, vec_id, n""",
+    "op12_merkle": r"""
+WITH RECURSIVE d AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n,
+    list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda p: ascii(substr(doc_id::VARCHAR, p, 1))::BIGINT),
+      lambda c, b: list_reduce(range(8), lambda a, j: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295::BIGINT) & 1 AS low
+  FROM documents),
+f AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, replace(text, chr(10), '') AS cut FROM d),
+leaf AS (
+  SELECT g, i, n, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN low = 1 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS seen FROM f),
+low(lvl, g, i, n, h) AS (
+  SELECT 0, g, i, n, leaf FROM leaf
+  UNION ALL SELECT lvl + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lvl, g, i // 3, n),
+top AS (SELECT g, h FROM low WHERE n = 1),
+high(lvl, i, n, h) AS (
+  SELECT 100, g, (SELECT count(*) FROM top), h FROM top
+  UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl, i // 3, n),
+node AS (SELECT lvl, g, i, h FROM low WHERE n > 1 UNION ALL SELECT lvl, -1, i, h FROM high WHERE n > 1),
+family AS (
+  SELECT a.lvl, a.g, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM node a JOIN node b ON a.lvl = b.lvl AND a.g = b.g AND a.i // 3 = b.i // 3 GROUP BY ALL),
+step AS (
+  SELECT x.g, x.i, y.lvl, y.l, y.r FROM leaf x JOIN family y ON y.g = x.g AND y.i = x.i // (3 ** y.lvl)::BIGINT
+  UNION ALL SELECT x.g, x.i, y.lvl, y.l, y.r FROM leaf x JOIN family y ON y.g = -1 AND y.i = x.g // (3 ** (y.lvl - 100))::BIGINT),
+proof AS (SELECT g, i, string_agg(l || r, '' ORDER BY lvl) AS p, list(l || '|' || r ORDER BY lvl) AS steps FROM step GROUP BY g, i),
+folded AS (
+  SELECT leaf.*, top.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+    list_reduce(coalesce(steps, []), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2)), seen) AS folded_root
+  FROM leaf JOIN top USING (g) LEFT JOIN proof USING (g, i))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
     "quality_counts": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),

@@ -6,10 +6,10 @@ follows up to the next), one after the other. Three jobs make use of that:
 
 1. Texts are cut into blocks of about 8 MB where they lie. Each block's distinct marked words, found exactly by Arrow's
    dictionary encoding, go to slices by their hash, as one compressed list for each block and slice.
-2. A slice is the table of its distinct words: whatever block a word comes from, it is encoded and decoded once, by the
-   library. The lists go back as ids and decoded words.
-3. The texts are cut into the same blocks again, as numbers of words; a block's numbers and its lists meet, and ids and
-   decoded text are put together by position.
+2. A slice is the table of its distinct words: whatever block a word comes from, it is encoded once, by the library. The lists
+   go back as ids.
+3. The texts are cut into the same blocks again, as numbers of words; a block's numbers and its lists meet, the ids of each
+   of its words are decoded once, and ids and decoded text are put together by position.
 
 What is shuffled are compressed lists of distinct words by block, and numbers, never texts, and no row for each word. A
 frequent word is in each block's list once. The number of slices follows the bytes of all texts, so a slice's table stays
@@ -119,16 +119,22 @@ def _ordered(words: pa.DictionaryArray, slices: int) -> tuple[pa.Array, np.ndarr
     return distinct.take(pa.array(order)), np.cumsum(np.bincount(of, minlength=slices)), codes, print_
 
 
-def _squeezed(sizes: np.ndarray, data: bytes) -> bytes:
-    """Byte strings of these sizes, compressed; the first 16 bytes tell their number and the bytes when opened."""
-    raw = sizes.astype("<u4").tobytes() + data
+def _planes(data: bytes, width: int) -> bytes:
+    """Numbers of ``width`` bytes as planes of their first bytes, second bytes and so on; high planes hardly take any place."""
+    return np.frombuffer(data, np.uint8).reshape(-1, width).T.tobytes() if width > 1 else data
+
+
+def _squeezed(sizes: np.ndarray, data: bytes, width: int = 1) -> bytes:
+    """Byte strings of these sizes, made of numbers of ``width`` bytes, compressed; the first 16 bytes tell their number and the bytes when opened."""
+    raw = _planes(sizes.astype("<u4").tobytes(), 4) + _planes(data, width)
     return len(sizes).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _opened(packed: bytes) -> tuple[np.ndarray, memoryview]:
+def _opened(packed: bytes, width: int = 1) -> tuple[np.ndarray, memoryview]:
     n, size = int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:16], "little")
-    raw = pa.decompress(packed[16:], size, "zstd", asbytes=True)
-    return np.frombuffer(raw, "<u4", n).astype(np.int64), memoryview(raw)[4 * n :]
+    raw = np.frombuffer(pa.decompress(packed[16:], size, "zstd", asbytes=True), np.uint8)
+    sizes = np.ascontiguousarray(raw[: 4 * n].reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return sizes, memoryview(np.ascontiguousarray(raw[4 * n :].reshape(width, -1).T).reshape(-1))
 
 
 def _parted(packed: bytes) -> list[bytes]:
@@ -160,29 +166,29 @@ def _block_id(k: int, print_: int) -> int:
 
 
 def _segmented(lists: DataFrame, slices: int, model_path: str) -> DataFrame:
-    """Job 2: (block, slice, ids, decoded) for each list; a slice's distinct words are encoded and decoded once."""
+    """Job 2: (block, slice, ids) for each list; a slice's distinct words are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, now, ids, decoded = _model(model_path), None, {}, {}
+        model, now, ids = _model(model_path), None, {}
         for batch in batches:
             for block, part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if part != now:
-                    now, ids, decoded = part, {}, {}
+                    now, ids = part, {}
                 words = _parted(packed)
                 fresh = [w for w in words if w not in ids]
                 if fresh:
-                    # The library puts the first marker before the text again, and takes it away when it decodes. It gives
-                    # nothing for an empty text, which here is a single marker, as at the end of "word ".
+                    # The library puts the first marker before the text again. It gives nothing for an empty text, which
+                    # here is a single marker, as at the end of "word ".
                     made = [x or [model.piece_to_id(MARKER)] for x in model.encode([w[1:].decode() for w in fresh], num_threads=1)]
                     ids.update(zip(fresh, (np.array(x, "<u4").tobytes() for x in made)))
-                    decoded.update(zip(fresh, (b" " + x.encode() for x in model.decode(made, num_threads=1))))
-                out = [_squeezed(np.fromiter(map(len, found), np.int64, len(found)), b"".join(found)) for found in ([ids[w] for w in words], [decoded[w] for w in words])]
-                yield pa.record_batch([pa.array([x], t) for x, t in zip((block, part, *out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "slice", "ids", "decoded"])
+                found = [ids[w] for w in words]
+                out = _squeezed(np.fromiter(map(len, found), np.int64, len(found)), b"".join(found), 4)
+                yield pa.record_batch([pa.array([x], t) for x, t in zip((block, part, out), (pa.int64(), pa.int32(), pa.binary()))], ["block", "slice", "ids"])
         _give_back()
 
     # Sorted, so that a slice's lists come together and only one table is held at a time.
     dealt = lists.repartition(min(slices, max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "slice")
-    return dealt.sortWithinPartitions("slice").mapInArrow(run, "block long, slice int, ids binary, decoded binary")
+    return dealt.sortWithinPartitions("slice").mapInArrow(run, "block long, slice int, ids binary")
 
 
 def _numbers(docs: DataFrame, slices: int, apart: bool, kind: str) -> DataFrame:
@@ -192,7 +198,8 @@ def _numbers(docs: DataFrame, slices: int, apart: bool, kind: str) -> DataFrame:
         for k, batch in enumerate(_blocks(batches)):
             words, before = _words(batch.column("text"), apart)
             distinct, _, codes, print_ = _ordered(words, slices)
-            packed = _squeezed(np.diff(before), codes.astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes())
+            width = 2 if len(distinct) <= 1 << 16 else 4
+            packed = _squeezed(np.diff(before), codes.astype(f"<u{width}").tobytes(), width)
             ids = batch.column("id")
             held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             yield pa.record_batch([pa.array([_block_id(k, print_)], pa.int64()), held, pa.array([len(distinct)], pa.int64()), pa.array([packed], pa.binary())], ["block", "doc_ids", "distinct", "numbers"])
@@ -200,12 +207,19 @@ def _numbers(docs: DataFrame, slices: int, apart: bool, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"block long, doc_ids array<{kind}>, distinct long, numbers binary")
 
 
-def _table(packed: list[bytes]) -> pa.Array:
-    """The byte strings of several lists, in order."""
-    opened = [_opened(p) for p in packed]
-    sizes = np.concatenate([np.zeros(1, np.int64), *[s for s, _ in opened]])
-    data = b"".join(d for _, d in opened)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes) - 1, [None, pa.py_buffer(np.cumsum(sizes)), pa.py_buffer(data)])
+def _strings(sizes: np.ndarray, data: bytes) -> pa.Array:
+    """Byte strings of these sizes, as an array."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])), pa.py_buffer(data)])
+
+
+def _tables(packed: list[bytes], model_path: str) -> tuple[pa.Array, pa.Array]:
+    """(ids as bytes, decoded text) of a block's distinct words, from their lists in order. Each is decoded once; the library
+    takes away the first marker, which is put back."""
+    opened = [_opened(p, 4) for p in packed]
+    sizes, data = np.concatenate([np.zeros(0, np.int64), *[s for s, _ in opened]]), b"".join(d for _, d in opened)
+    ids, ends = np.frombuffer(data, "<u4").tolist(), (np.cumsum(sizes) // 4).tolist()
+    texts = [b" " + x.encode() for x in _model(model_path).decode([ids[a:b] for a, b in zip([0, *ends], ends)], num_threads=1)] if ends else []
+    return _strings(sizes, data), _strings(np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts))
 
 
 def _taken(table: pa.Array, codes: np.ndarray, before: np.ndarray) -> tuple[memoryview, np.ndarray]:
@@ -226,24 +240,23 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
     slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SLICE_BYTES))
     lists = _segmented(_lists(texts, slices, apart), slices, model_path)
     numbers = _numbers(texts, slices, apart, kind)
-    both = numbers.withColumns({"slice": F.lit(slices), "ids": F.lit(None).cast("binary"), "decoded": F.lit(None).cast("binary")}).unionByName(lists, allowMissingColumns=True)
+    both = numbers.withColumns({"slice": F.lit(slices), "ids": F.lit(None).cast("binary")}).unionByName(lists, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, decoded = None, [], []
+        now, ids = None, []
         for batch in batches:
             for row in range(batch.num_rows):
                 block, part = batch.column("block")[row].as_py(), batch.column("slice")[row].as_py()
                 if block != now:
-                    now, ids, decoded = block, [], []
+                    now, ids = block, []
                 if part < slices:
                     ids.append(batch.column("ids")[row].as_py())
-                    decoded.append(batch.column("decoded")[row].as_py())
                     continue
-                id_table, text_table, n = _table(ids), _table(decoded), batch.column("distinct")[row].as_py()
-                if len(id_table) != n or len(text_table) != n:
+                (id_table, text_table), n = _tables(ids, model_path), batch.column("distinct")[row].as_py()
+                if len(id_table) != n:
                     raise RuntimeError(f"block {block} has {n} distinct words, but {len(id_table)} came back")
                 yield from _put_together(batch.column("doc_ids")[row].values, batch.column("numbers")[row].as_py(), n, id_table, text_table)
-                now, ids, decoded = None, [], []
+                now, ids = None, []
         _give_back()
 
     ordered = both.repartition("block").sortWithinPartitions("block", "slice")
@@ -253,8 +266,9 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
 
 def _put_together(doc_ids: pa.Array, packed: bytes, distinct: int, id_table: pa.Array, text_table: pa.Array, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The documents of a block, about ``most`` words at a time."""
-    counts, raw = _opened(packed)
-    codes = np.frombuffer(raw, "<u2" if distinct <= 1 << 16 else "<u4")
+    width = 2 if distinct <= 1 << 16 else 4
+    counts, raw = _opened(packed, width)
+    codes = np.frombuffer(raw, f"<u{width}")
     before = np.concatenate([[0], np.cumsum(counts)])
     at = 0
     while at < len(counts):

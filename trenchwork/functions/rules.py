@@ -35,6 +35,15 @@ DIAMETERS = (
 # Price per metre of a diameter that is not in the table, new and rebuilt.
 UNKNOWN_PIPE, UNKNOWN_REBUILT = 100_000.0, 80_000.0
 # Greatest diameter of the tier, price of a new chamber.
+# Height (m) of a pipe and price (per m) of replacing it, by diameter.
+HEIGHTS = (
+    (50, 0.125), (65, 0.140), (80, 0.160), (100, 0.180), (125, 0.225), (150, 0.250), (200, 0.315), (250, 0.400), (300, 0.450),
+    (400, 0.560), (500, 0.710), (600, 0.800), (700, 0.900), (800, 1.000), (900, 1.100), (1000, 1.200), (1200, 1.425), (1400, 1.600),
+)
+REPLACEMENT = (
+    (50, 96180.0), (65, 109989.0), (80, 117582.0), (100, 133694.0), (125, 148030.0), (150, 152295.0), (200, 181766.0), (250, 202030.0), (300, 228707.0),
+    (400, 271317.0), (500, 333884.0), (600, 372703.0), (700, 439571.0), (800, 489918.0), (900, 553607.0), (1000, 606679.0), (1200, 825692.0), (1400, 978584.0),
+)
 CHAMBER_TIERS = ((200, 3e6), (500, 5e6), (1000, 8e6), (1400, 12e6))
 # Restriction, action, clearance (m), clearance from a diameter on, cost factor, extension (m), least angle (degrees).
 RESTRICTIONS = (
@@ -74,6 +83,8 @@ class Rules:
     depth_factor: float = 0.10
     greatest_slope: float = 0.10
     diameters: tuple = DIAMETERS
+    heights: tuple = HEIGHTS
+    replacement: tuple = REPLACEMENT
     tiers: tuple = CHAMBER_TIERS
     restrictions: tuple = field(default=RESTRICTIONS)
 
@@ -93,6 +104,9 @@ class Rules:
         got = {k: float(v) for k, v in got.items() if v is not None}
         if doc.get("diameters"):
             got["diameters"] = tuple((int(d["dn"]), float(d["capacity_tph"]), float(d["max_run_m"]), float(d["width_m"]), float(d["new_per_m"])) for d in doc["diameters"])
+            for name, column in (("heights", "height_m"), ("replacement", "recon_per_m")):
+                if all(column in d for d in doc["diameters"]):
+                    got[name] = tuple((int(d["dn"]), float(d[column])) for d in doc["diameters"])
         if costs.get("new_chamber_tiers"):
             got["tiers"] = tuple((int(t["max_dn"]), float(t["cost"])) for t in costs["new_chamber_tiers"])
         if doc.get("constraints"):
@@ -141,6 +155,16 @@ def pipe_width(dn: Column, rules: Rules = DEFAULT) -> Column:
     return _at_least(dn, 3, rules)
 
 
+def pipe_height(dn: Column, rules: Rules = DEFAULT) -> Column:
+    """Of the next diameter that is not smaller."""
+    return _first([(dn <= d, h) for d, h in rules.heights], F.lit(rules.heights[-1][1]))
+
+
+def replacement_price(dn: Column, rules: Rules = DEFAULT) -> Column:
+    """Of replacing a metre of pipe by the next diameter that is not smaller."""
+    return _first([(dn <= d, p) for d, p in rules.replacement], F.lit(rules.replacement[-1][1]))
+
+
 def next_dn(dn: Column, rules: Rules = DEFAULT) -> Column:
     """The next larger diameter of the table; the largest stays."""
     return _first([(dn < d[0], d[0]) for d in rules.diameters], F.lit(rules.diameters[-1][0]))
@@ -213,6 +237,7 @@ KIND_TOKENS = {
     "oks_connection_point": "CONNECTION_POINT", "connection_point": "CONNECTION_POINT",
     "restriction": "CONSTRAINT", "constraint": "CONSTRAINT",
 }
+# Texts of a kind that name a restriction.
 CONSTRAINT_TEXTS = ("парк", "дорог", "река", "метро", "road", "park", "river", "tdtp", "тдтп", "трам", "проезж", "carriage")
 
 

@@ -63,19 +63,27 @@ def tap_sites(taps: DataFrame, key: str) -> DataFrame:
     return found.select(key, F.when(F.col("sites") > 0, F.col("sites")).otherwise(F.col("taps")).alias("sites"))
 
 
-def titled(plans: DataFrame, run: str, near: float = 40.0) -> DataFrame:
-    """Plans (run, code, cost, taps, length) with a title: the cheapest where least cost was asked for, then those with the
-    fewest taps, then those within ``near`` metres of the shortest."""
+# The title of the plan of least cost.
+LEAST_COST = "Минимальная стоимость"
+FEWEST_TAPS, LEAST_LENGTH, ADDITIONAL = "Минимум врезок", "Минимальная длина", "Дополнительный контур"
+
+
+def titled(plans: DataFrame, run: str, near: float = 40.0, rules: r.Rules = r.DEFAULT) -> DataFrame:
+    """Plans (run, code, title, cost, taps, length) with their titles put right, in runs that asked for least cost.
+
+    The plan with the least score has the title of least cost; of scores that agree to 1e-9 that with fewer taps, then the
+    first by code. Any other plan that bears that title gets another by what it is better at than this one: fewer taps,
+    shorter by more than ``near`` metres, or else "additional". Other titles stay.
+    """
     whole = Window.partitionBy(run)
-    cheapest = F.first("code").over(whole.orderBy("cost", "code"))
-    asked = F.max((F.col("code") == "mincost").cast("int")).over(whole) == 1
-    title = (
-        F.when(asked & (F.col("code") == cheapest), "least cost")
-        .when(F.col("taps") == F.min("taps").over(whole), "fewest taps")
-        .when(F.col("length") <= F.min("length").over(whole) + near, "least length")
-        .otherwise("other")
-    )
-    return plans.withColumn("title", title)
+    scored = plans.withColumn("_score", score(F.col("cost"), F.col("length"), rules))
+    close = F.col("_score") <= F.min("_score").over(whole) + 1e-9
+    best = F.min(F.when(close, F.struct("taps", "code", "length"))).over(whole)
+    asked = F.max(F.coalesce(F.col("code") == "mincost", F.lit(False)).cast("int")).over(whole) == 1
+    placed = scored.withColumns({"_best": best, "_asked": asked})
+    other = F.when(F.col("taps") < F.col("_best.taps"), FEWEST_TAPS).when(F.col("length") + near < F.col("_best.length"), LEAST_LENGTH).otherwise(ADDITIONAL)
+    title = F.when(~F.col("_asked"), F.col("title")).when(F.col("code") == F.col("_best.code"), LEAST_COST).when(F.col("title") == LEAST_COST, other).otherwise(F.col("title"))
+    return placed.withColumn("title", title).drop("_score", "_best", "_asked")
 
 
 def start_orders(consumers: DataFrame, key: str) -> DataFrame:

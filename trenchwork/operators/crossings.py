@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import rules as r
-from .intervals import merge_spans
-from .topology import _boxed
+from .intervals import merge_spans, union_intervals
+from .spatial import walked
+from .utilities import inside_spans, near_spans
 
 
 def needed_clearance(rule: Column, dn: Column, foreign: Column, rules: r.Rules = r.DEFAULT) -> Column:
@@ -17,10 +18,17 @@ def needed_clearance(rule: Column, dn: Column, foreign: Column, rules: r.Rules =
     return r.clearance(rule, dn, rules) + r.pipe_width(dn, rules) / 2 + foreign / 2
 
 
-def breaches(pipes: DataFrame, obstacles: DataFrame, most: float = 20.0, rules: r.Rules = r.DEFAULT) -> DataFrame:
+def greatest_clearance(obstacles: DataFrame, rules: r.Rules = r.DEFAULT) -> float:
+    """The most that any pipe needs beside any of the obstacles: the rules' greatest distance, half of the widest pipe and of the widest obstacle."""
+    by_rule = max([x[2] for x in rules.restrictions] + [v for x in rules.restrictions for v in x[3].values()])
+    return by_rule + rules.diameters[-1][3] / 2 + (obstacles.agg(F.max("foreign")).first()[0] or 0.0) / 2
+
+
+def breaches(pipes: DataFrame, obstacles: DataFrame, rules: r.Rules = r.DEFAULT) -> DataFrame:
     """(id, obstacle, breach): of each pipe (id, x0, y0, x1, y1, dn) the obstacle (obstacle, ox0, oy0, ox1, oy1, rule, foreign)
-    whose clearance it falls short of most. Clearances are at most ``most`` metres, the cells of the join."""
-    near = _boxed(pipes, ("x0", "x1"), ("y0", "y1"), most, most).join(_boxed(obstacles, ("ox0", "ox1"), ("oy0", "oy1"), most), ["cx", "cy"])
+    whose clearance it falls short of most. They meet in cells as wide as the greatest clearance of the rules."""
+    most = greatest_clearance(obstacles, rules)
+    near = walked(pipes, most, most).join(walked(obstacles, most, 0.0, ("ox0", "oy0", "ox1", "oy1")), ["cx", "cy"])
     at = lambda a, b: (F.col(a), F.col(b))
     apart = g.segment_distance(at("x0", "y0"), at("x1", "y1"), at("ox0", "oy0"), at("ox1", "oy1"))
     short = near.select("id", "obstacle", (needed_clearance(F.col("rule"), F.col("dn"), F.col("foreign"), rules) - apart).alias("breach")).where("breach > 1e-6")
@@ -36,7 +44,7 @@ def zone_spans(legs: DataFrame, zones: DataFrame, cell: float = 50.0) -> DataFra
     a, b = (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))
     placed = legs.withColumn("length", g.distance(a, b)).withColumn("before", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     whole = placed.groupBy("path").agg(F.sum("length").alias("total"))
-    near = _boxed(placed, ("x0", "x1"), ("y0", "y1"), cell).join(_boxed(zones, ("zx0", "zx1"), ("zy0", "zy1"), cell), ["cx", "cy"]).dropDuplicates(["path", "ord", "zone"])
+    near = walked(placed, cell, 0.0).join(walked(zones, cell, 0.0, ("zx0", "zy0", "zx1", "zy1")), ["cx", "cy"]).dropDuplicates(["path", "ord", "zone"])
     c, d = (F.col("zx0"), F.col("zy0")), (F.col("zx1"), F.col("zy1"))
     met = near.withColumn("t", g.cross_place(a, b, c, d)).where("t is not null").join(whole, "path")
     s = F.col("before") + F.col("t") * F.col("length")
@@ -45,6 +53,54 @@ def zone_spans(legs: DataFrame, zones: DataFrame, cell: float = 50.0) -> DataFra
     return cut.where("s1 > s0 + 1e-9")
 
 
+def zone_bands(legs: DataFrame, zones: DataFrame) -> DataFrame:
+    """(id, zone, ...): where straight legs (id, x0, y0, x1, y1, tap0, tap1: whether an end is a chamber) pass the bands of special
+    zones (zone, ox0, oy0, ox1, oy1: the edges of lines, or of all rings of areas; area, existing, k, extend, least_sine, clear).
+
+    A band is what lies within ``clear`` of a zone, and an area itself. ``special`` are the metres of higher price, ``first``
+    and ``last`` where they begin and end: inside an area and ``extend`` on either side, but not at a chamber that lies
+    inside; ``extend`` to either side of each crossing of a line, but not where the leg begins at it. A band that is
+    entered without crossing the zone, or crossed at less than the least angle, is not ``admissible``; one in which a leg leaves
+    the existing network that it joins, crossing it once at most, costs nothing.
+    """
+    c = F.col
+    ways = legs.select(c("id").alias("path"), F.lit(0).alias("ord"), "x0", "y0", "x1", "y1")
+    edges = zones.withColumnRenamed("zone", "obstacle")
+    most = zones.agg(F.max("clear")).first()[0] or 0.0
+    inner = inside_spans(ways, edges.where("area").select("obstacle", "ox0", "oy0", "ox1", "oy1")).select("path", "obstacle", c("t0").alias("s0"), c("t1").alias("s1"))
+    near = near_spans(ways, edges, c("clear"), most, 1e-9).unionByName(inner)
+    bands = union_intervals(near.select(F.struct("path", "obstacle").alias("_key"), "s0", "s1"), "_key", 1e-9).select("_key.*", c("start").alias("b0"), c("end").alias("b1"))
+    a, b, p, q = (c("x0"), c("y0")), (c("x1"), c("y1")), (c("ox0"), c("oy0")), (c("ox1"), c("oy1"))
+    meet = walked(ways, 50.0, 0.0).join(walked(edges, 50.0, 0.0, ("ox0", "oy0", "ox1", "oy1")), ["cx", "cy"])
+    apart = ((g.cross(a, b, p) > 0) != (g.cross(a, b, q) > 0)) & ((g.cross(p, q, a) > 0) != (g.cross(p, q, b) > 0))
+    u = g.cross(p, q, a) / (g.cross(p, q, a) - g.cross(p, q, b))
+    hits = meet.where(apart).dropDuplicates(["path", "obstacle", "ox0", "oy0", "ox1", "oy1"]).select("path", "obstacle", (u * g.distance(a, b)).alias("t"), g.sine(a, b, p, q).alias("sine"))
+    what = zones.groupBy(c("zone").alias("obstacle")).agg(F.max(F.struct("area", "existing", "k", "extend", "least_sine")).alias("w")).select("obstacle", "w.*")
+    ends = legs.select(c("id").alias("path"), "tap0", "tap1", g.distance(a, b).alias("length"))
+    rows = bands.join(what, "obstacle").join(ends, "path")
+    at_tap = (c("tap0") & (c("t") < 1e-6 * c("length"))) | (c("tap1") & (c("t") > (1 - 1e-6) * c("length")))
+    met = rows.join(hits, ["path", "obstacle"], "left").where("t is null or t between b0 - 1e-9 and b1 + 1e-9")
+    keys = ["path", "obstacle", "b0", "b1"]
+    priced = F.when(~at_tap, c("t"))
+    crossed = met.groupBy(keys).agg(F.count("t").alias("hits"), F.min("sine").alias("sine"), F.count(priced).alias("priced"), F.min(priced).alias("t_first"), F.max(priced).alias("t_last"))
+    within = rows.select(*keys).join(inner, ["path", "obstacle"]).where("s0 < b1 and s1 > b0").groupBy(keys).agg(F.sum(c("s1") - c("s0")).alias("inside"), F.min("s0").alias("i0"), F.max("s1").alias("i1"))
+    full = rows.join(crossed, keys, "left").join(within, keys, "left").fillna(0, ["hits", "priced"]).fillna(0.0, ["inside"])
+    joins = c("existing") & ((c("tap0") & (c("b0") <= 1e-9)) | (c("tap1") & (c("b1") >= c("length") - 1e-9)))
+    free = joins & (c("hits") <= 1)
+    steep = (c("hits") > 0) & (c("sine") >= c("least_sine") - 1e-9)
+    e0, e1 = F.when(c("tap0") & (c("i0") <= 0), 0.0).otherwise(c("extend")), F.when(c("tap1") & (c("i1") >= c("length") - 1e-9), 0.0).otherwise(c("extend"))
+    special = F.when(free | ~steep, 0.0).when(c("area"), c("inside") + e0 + e1).otherwise(c("priced") * 2 * c("extend"))
+    first = F.when(c("area"), c("i0") - e0).otherwise(c("t_first") - c("extend"))
+    last = F.when(c("area"), c("i1") + e1).otherwise(c("t_last") + c("extend"))
+    return full.select(c("path").alias("id"), c("obstacle").alias("zone"), "b0", "b1", "k", special.alias("special"), first.alias("first"), last.alias("last"), (free | steep).alias("admissible"))
+
+
+def zone_costs(legs: DataFrame, zones: DataFrame) -> DataFrame:
+    """(id, extra) of every leg, see ``zone_bands``: the metres that its special pieces cost more, null where it is not admissible."""
+    met = zone_bands(legs, zones).groupBy("id").agg(F.sum((F.col("k") - 1) * F.col("special")).alias("extra"), F.bool_and("admissible").alias("fine"))
+    return legs.select("id").join(met, "id", "left").select("id", F.when(F.coalesce("fine", F.lit(True)), F.coalesce("extra", F.lit(0.0))).alias("extra"))
+
+
 def crossing_extra(spans: DataFrame) -> DataFrame:
     """(path, extra): the metres that special pieces cost more, the sum of (k - 1) * length after overlaps are resolved."""
     return merge_spans(spans, "path").groupBy("path").agg(F.sum((F.col("k") - 1) * (F.col("end") - F.col("start"))).alias("extra"))

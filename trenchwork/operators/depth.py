@@ -12,16 +12,18 @@ from ..functions import rules as r
 def choose_depth(bands: DataFrame, key: str, floor: float = 0.7, rules: r.Rules = r.DEFAULT) -> DataFrame:
     """(key, depth): for the utilities (above_max, below_min) of each crossing, a depth that passes each above
     or below: the cheapest, then the nearest to the ordinary depth. If there is none, below all.
+    ``bands`` may have a ``floor`` of its own for a crossing.
 
     The best depth is the floor, the ordinary depth or an end of a band, so those 2 n + 2 are tried against the n bands.
     """
-    crossing = bands.groupBy(key).agg(F.collect_list(F.struct("above_max", "below_min")).alias("bands"))
+    least = F.greatest(F.lit(floor), F.max("floor")) if "floor" in bands.columns else F.lit(floor)
+    crossing = bands.groupBy(key).agg(F.collect_list(F.struct("above_max", "below_min")).alias("bands"), least.alias("floor"))
     ends = F.flatten(F.transform("bands", lambda b: F.array(b["above_max"], b["below_min"])))
-    tried = crossing.select(key, "bands", F.explode(F.array_distinct(F.concat(F.array(F.lit(floor), F.lit(rules.ordinary_depth)), ends))).alias("depth"))
+    tried = crossing.select(key, "bands", "floor", F.explode(F.array_distinct(F.concat(F.array(F.col("floor"), F.lit(rules.ordinary_depth)), ends))).alias("depth"))
     passes = F.forall("bands", lambda b: (F.col("depth") <= b["above_max"] + 1e-9) | (F.col("depth") >= b["below_min"] - 1e-9))
     cost = F.struct(r.rounded(r.depth_factor(F.col("depth"), rules), 9), r.rounded(F.abs(F.col("depth") - rules.ordinary_depth), 9), "depth")
-    best = tried.where((F.col("depth") >= floor) & passes).groupBy(key).agg(F.min_by("depth", cost).alias("depth"))
-    deepest = bands.groupBy(key).agg(F.greatest(F.lit(floor), F.max("below_min")).alias("deepest"))
+    best = tried.where((F.col("depth") >= F.col("floor")) & passes).groupBy(key).agg(F.min_by("depth", cost).alias("depth"))
+    deepest = bands.groupBy(key).agg(F.greatest(least, F.max("below_min")).alias("deepest"))
     return deepest.join(best, key, "left").select(key, F.coalesce("depth", "deepest").alias("depth"))
 
 
@@ -50,8 +52,10 @@ def profile(stations: DataFrame, pins: DataFrame, key: str, rules: r.Rules = r.D
 OBSTACLE_TEXTS = (
     ("RAILWAY", ("rail", "железн")), ("TRAM", ("tram", "трам")), ("GAS", ("gas", "газ")), ("CABLE", ("cable", "кабел")), ("HEAT", ("heat", "тепл")), ("ROAD", ("road", "дорог")),
 )
-# Clear distance (m) and own height (m) of what is passed above or below; least cover (m) under ways.
-UTILITIES = {"GAS": (0.40, 0.20), "CABLE": (0.20, 0.50), "HEAT": (0.50, 0.0)}
+# Clear distance (m) and own height (m, null: by the diameter) of what is passed above or below; least cover (m) under ways.
+UTILITIES = {"GAS": (0.20, 0.40), "CABLE": (0.50, 0.20), "HEAT": (0.50, None)}
+#: The diameter of a heat network of which it is not known.
+HEAT_DN = 150
 COVERS = {"ROAD": 1.0, "TRAM": 1.2}
 
 
@@ -63,12 +67,28 @@ def obstacle_kind(kind: Column) -> Column:
     return out
 
 
-def window(kind: Column, top: Column) -> Column:
-    """The struct (above_max, below_min) for a utility whose top lies ``top`` metres deep; null for other kinds."""
-    above = below = F.lit(None).cast("double")
-    for name, (clear, height) in UTILITIES.items():
-        above, below = F.when(kind == name, top - height - clear if name != "HEAT" else top - clear).otherwise(above), F.when(kind == name, top + clear).otherwise(below)
-    return F.struct(above.alias("above_max"), below.alias("below_min"))
+def usual(values: dict, kind: Column) -> Column:
+    """The value that a kind has in a table; null for others."""
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        out = F.when(kind == name, F.lit(value).cast("double")).otherwise(out)
+    return out
+
+
+def utility_height(kind: Column, dn: Column, width: bool = False, rules: r.Rules = r.DEFAULT) -> Column:
+    """The height of a utility, or its width: gas mains and cables are square, heat networks have it by their diameter."""
+    own = r.pipe_width if width else r.pipe_height
+    return F.coalesce(usual({k: v[1] for k, v in UTILITIES.items()}, kind), F.when(kind == "HEAT", own(F.coalesce(dn, F.lit(HEAT_DN)), rules)))
+
+
+def window(kind: Column, top: Column, dn: Column, other_dn: Column, rules: r.Rules = r.DEFAULT) -> Column:
+    """The struct (above_max, below_min) of a pipe's depth beside a utility whose top lies ``top`` metres deep; null for other kinds.
+
+    Depths are those of a pipe's top: above, the pipe itself (``dn``) and the clear distance fit over the utility; below, the
+    utility (``other_dn``) and the clear distance fit over the pipe.
+    """
+    clear = usual({k: v[0] for k, v in UTILITIES.items()}, kind)
+    return F.struct((top - clear - r.pipe_height(dn, rules)).alias("above_max"), (top + utility_height(kind, other_dn, rules=rules) + clear).alias("below_min"))
 
 
 def least_cover(kind: Column) -> Column:

@@ -48,6 +48,56 @@ def to_source(tree: DataFrame) -> DataFrame:
     return held.select("node", "source", F.col("hops").cast("int").alias("hops"), "metres")
 
 
+def spread(tree: DataFrame, values: DataFrame, slope: float) -> DataFrame:
+    """(node, low, high) of every node of a forest (node, parent, length): the greatest ``low - slope * distance`` and the
+    least ``high + slope * distance`` of all ``values`` (node, low, high) of its tree, by the distance along the tree.
+
+    What lies below a node is gathered upwards, then what its ancestors know is handed down; both by doubled jumps.
+    """
+    jumps = list(_doubled(tree))
+    own = values.groupBy("node").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    held = materialize(tree.select("node").join(own, "node", "left"), "spread")
+    far = slope * F.col("way")
+    for jump in jumps:
+        below = join_small(held, jump.select("node", "to", "way"), "node").select(F.col("to").alias("node"), (F.col("low") - far).alias("low"), (F.col("high") + far).alias("high"))
+        held = materialize(held.unionByName(below).groupBy("node").agg(F.max("low").alias("low"), F.min("high").alias("high")), "spread")
+    for jump in jumps:
+        above = held.select(F.col("node").alias("to"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+        moved = held.join(jump.select("node", "to", "way").join(above, "to"), "node", "left")
+        held = materialize(moved.select("node", F.greatest("low", F.col("_low") - far).alias("low"), F.least("high", F.col("_high") + far).alias("high")), "spread")
+    return held
+
+
+def tree_distances(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b of nodes, and further columns) with ``meet``, the lowest common ancestor, and ``metres`` between them
+    along the forest; both null where they are in different trees or no nodes of it.
+
+    The deeper node is lifted to the other's level, then both as long as they stay apart, by jumps of halving length.
+    """
+    jumps = list(_doubled(tree))
+    level = materialize(to_source(tree), "levels")
+    at = lambda name: level.select(F.col("node").alias(name), F.col("source").alias(f"_{name}s"), F.col("hops").alias(f"_{name}h"), F.col("metres").alias(f"_{name}m"))
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    held = pairs.join(at("a"), "a").join(at("b"), "b").where("_as = _bs")
+    total = F.col("_am") + F.col("_bm")
+    held = materialize(held.select(*pairs.columns, total.alias("_sum"), F.col("a").alias("x"), F.col("b").alias("y"), (F.col("_ah") - F.col("_bh")).cast("long").alias("_lead")), "lifted")
+    jump = lambda j, name: j.select(F.col("node").alias(name), F.col("to").alias(f"_{name}"), F.col("step").alias("_step"))
+    for step, j in reversed(list(enumerate(jumps))):
+        for name, sign in (("x", 1), ("y", -1)):
+            moved = held.join(jump(j, name), name, "left")
+            go = (F.col("_lead") * sign >= (1 << step)) & F.col(f"_{name}").isNotNull()
+            held = moved.withColumns({name: F.when(go, F.col(f"_{name}")).otherwise(F.col(name)), "_lead": F.when(go, F.col("_lead") - sign * (1 << step)).otherwise(F.col("_lead"))}).drop(f"_{name}", "_step")
+        held = materialize(held, "lifted")
+    for j in reversed(jumps):
+        moved = held.join(jump(j, "x").drop("_step"), "x", "left").join(jump(j, "y").drop("_step"), "y", "left")
+        go = F.col("_x") != F.col("_y")
+        held = materialize(moved.withColumns({n: F.when(go, F.col(f"_{n}")).otherwise(F.col(n)) for n in ("x", "y")}).drop("_x", "_y"), "lifted")
+    up = tree.select(F.col("node").alias("x"), "parent")
+    top = held.join(up, "x", "left").withColumn("meet", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("parent")))
+    found = top.join(level.select(F.col("node").alias("meet"), F.col("metres").alias("_m")), "meet").select("a", "b", *more, "meet", (F.col("_sum") - 2 * F.col("_m")).alias("metres"))
+    return pairs.join(found.dropDuplicates(["a", "b"]).select("a", "b", "meet", "metres"), ["a", "b"], "left")
+
+
 def subtree_sums(tree: DataFrame, value: str) -> DataFrame:
     """(node, total, nodes): the sum of ``value`` over each node's subtree."""
     return gathered(tree.withColumns({"total": F.col(value), "nodes": F.lit(1).cast("long")}), {"total": "sum", "nodes": "sum"})

@@ -52,6 +52,36 @@ def points_inside(points: DataFrame, polygons: DataFrame, cell: float) -> DataFr
     return crossings.where("n % 2 = 1").select("id", "polygon")
 
 
+def walked(legs: DataFrame, cell: float, pad: float, ends: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
+    """A row for each cell (cx, cy) that a leg, grown by ``pad``, may meet: column by column, the rows that it passes there.
+    So a long leg has as many rows as it passes cells, not as many as its box has."""
+    ax, ay, bx, by = map(F.col, ends)
+    columns = F.sequence(_cell(F.least(ax, bx) - pad, cell), _cell(F.greatest(ax, bx) + pad, cell))
+    spread = legs.where(ax.isNotNull() & ay.isNotNull() & bx.isNotNull() & by.isNotNull()).withColumn("cx", F.explode(columns))
+    wide = F.when(F.abs(bx - ax) > 1e-9, bx - ax)
+    place = lambda x: ay + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - ax) / wide)) * (by - ay)
+    one, two = place(F.col("cx") * cell - pad), place((F.col("cx") + 1) * cell + pad)
+    low, high = F.when(wide.isNotNull(), F.least(one, two)).otherwise(F.least(ay, by)), F.when(wide.isNotNull(), F.greatest(one, two)).otherwise(F.greatest(ay, by))
+    return spread.withColumn("cy", F.explode(F.sequence(_cell(low - pad, cell), _cell(high + pad, cell))))
+
+
+def points_in_areas(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(id, obstacle) of points (id, x, y) within areas (obstacle, ox0, oy0, ox1, oy1: the edges of all rings) by the even-odd rule.
+
+    A point meets the areas whose box holds it by its cell, and of their edges those that pass its row of cells.
+    """
+    y = lambda *c: F.sequence(_cell(F.least(*c), cell), _cell(F.greatest(*c), cell))
+    box = edges.groupBy("obstacle").agg(F.min(F.least("ox0", "ox1")).alias("ax"), F.max(F.greatest("ox0", "ox1")).alias("bx"), F.min(F.least("oy0", "oy1")).alias("ay"), F.max(F.greatest("oy0", "oy1")).alias("by"))
+    cells = box.withColumn("cx", F.explode(y("ax", "bx"))).withColumn("cy", F.explode(y("ay", "by")))
+    near = points.withColumn("cx", _cell(F.col("x"), cell)).withColumn("cy", _cell(F.col("y"), cell)).join(cells, ["cx", "cy"])
+    near = near.where(F.col("x").between(F.col("ax"), F.col("bx")) & F.col("y").between(F.col("ay"), F.col("by"))).select("id", "x", "y", "obstacle", "cy")
+    rows = edges.withColumn("cy", F.explode(y("oy0", "oy1"))).select("obstacle", "cy", "ox0", "oy0", "ox1", "oy1")
+    upward = (F.col("oy0") > F.col("y")) != (F.col("oy1") > F.col("y"))
+    right = F.col("x") < (F.col("ox1") - F.col("ox0")) * (F.col("y") - F.col("oy0")) / F.when(upward, F.col("oy1") - F.col("oy0")) + F.col("ox0")
+    counted = near.join(rows, ["obstacle", "cy"]).groupBy("id", "obstacle").agg(F.count_if(upward & right).alias("n"))
+    return counted.where("n % 2 = 1").select("id", "obstacle")
+
+
 def tie_in_options(terminals: DataFrame, chambers: DataFrame, segments: DataFrame, reach: float, spacing: float = 10.0, capacity: int = 4) -> DataFrame:
     """(id, site, at, leg): where a terminal (id, x, y) may join the network within ``reach``: chambers
     (site, x, y, degree) with a free place, and the foot on each segment (site, x0, y0, x1, y1), not at

@@ -21,6 +21,10 @@ def lines(spark, *rows):
     return spark.createDataFrame([(n, k, k == "ROAD", dn, None, *map(float, xy)) for n, k, dn, *xy in rows], UTILITIES)
 
 
+def laid(legs, lines, joints, ends=None):
+    return utilities.laid(*utilities.bounds(legs, lines, joints), ends)
+
+
 def profile(pieces):
     rows = pieces.orderBy("s0").collect()
     return [(r["s0"], r["depth_from"]) for r in rows] + [(rows[-1]["s1"], rows[-1]["depth_to"])]
@@ -36,7 +40,7 @@ def test_a_gas_main_is_passed_above(spark):
     legs, gas = way(spark, (500_000, 0), (500_100, 0)), lines(spark, ("g", "GAS", None, 500_050, -20, 500_050, 20))
     pin = utilities.utility_pins(legs, gas, none).first()
     assert (pin["above_max"], pin["below_min"]) == pytest.approx((2.42, 3.4)) and (pin["s0"], pin["s1"]) == pytest.approx((50 - 0.455, 50 + 0.455))
-    knots = profile(utilities.laid(legs, gas, none))
+    knots = profile(laid(legs, gas, none))
     assert depth_at(knots, 50) == pytest.approx(2.42) and knots[0] == (0, 3) and knots[-1] == (100, 3)
     assert len(knots) == 6 and all(abs(g - h) <= 0.1 * (b - a) + 1e-9 for (a, h), (b, g) in zip(knots, knots[1:]))
 
@@ -44,15 +48,15 @@ def test_a_gas_main_is_passed_above(spark):
 def test_an_end_that_joins_the_network_is_no_crossing(spark):
     legs, net = way(spark, (50, 40), (50, 0)), lines(spark, ("net", "HEAT", 200, 0, 0, 100, 0))
     joints = spark.createDataFrame([(1, "net", False)], JOINTS)
-    assert profile(utilities.laid(legs, net, joints)) == [(0, 3), (40, 3)]
-    assert len(profile(utilities.laid(legs, net, joints.where("at_start")))) > 2
+    assert profile(laid(legs, net, joints)) == [(0, 3), (40, 3)]
+    assert len(profile(laid(legs, net, joints.where("at_start")))) > 2
     gas = lines(spark, ("net", "GAS", None, 0, 0, 100, 0))
     assert utilities.utility_pins(legs, gas, joints).count() == 1  # only heat networks are joined
 
 
 @pytest.mark.parametrize(("dn", "line", "want"), [(100, ("n", "HEAT", 200, 40, -20, 40, 20), 2.32), (1400, ("c", "CABLE", None, 40, -10, 40, 10), 3.4), (100, ("n", "HEAT", None, 40, -20, 40, 20), 2.32)])
 def test_crossings_above_and_below(spark, dn, line, want):
-    knots = profile(utilities.laid(way(spark, (0, 0), (80, 0), dn=dn), lines(spark, line), spark.createDataFrame([], JOINTS)))
+    knots = profile(laid(way(spark, (0, 0), (80, 0), dn=dn), lines(spark, line), spark.createDataFrame([], JOINTS)))
     assert depth_at(knots, 40) == pytest.approx(want)
     assert not any(min(h, g) < 2.999 and max(h, g) > 3.001 for (_, h), (_, g) in zip(knots, knots[1:]))
 
@@ -60,7 +64,7 @@ def test_crossings_above_and_below(spark, dn, line, want):
 def test_a_road_does_not_deepen_what_lies_deep_enough(spark):
     road = lines(spark, ("r", "ROAD", None, 40, 10, 60, 10), ("r", "ROAD", None, 60, 10, 60, 30), ("r", "ROAD", None, 60, 30, 40, 30), ("r", "ROAD", None, 40, 30, 40, 10))
     legs = way(spark, (0, 20), (100, 20))
-    assert profile(utilities.laid(legs, road, spark.createDataFrame([], JOINTS))) == [(0, 3), (100, 3)]
+    assert profile(laid(legs, road, spark.createDataFrame([], JOINTS))) == [(0, 3), (100, 3)]
     cover = utilities.covers(legs, road).first()
     assert (cover["c0"], cover["c1"], cover["cover"]) == pytest.approx((40 - 0.255, 60 + 0.255, 1.0))
 
@@ -83,7 +87,7 @@ def test_bounds_from_other_pipes(spark):
     assert {r["node"]: (round(r["low"], 9), round(r["high"], 9)) for r in at.collect()} == {1: (-1, 3), 2: (0, 2), 3: (1, 1)}
     ends = at.where("node < 3").select(F.lit(1).cast("long").alias("path"), (F.col("node") == 1).alias("at_start"), "low", "high")
     none = spark.createDataFrame([], UTILITIES)
-    assert profile(utilities.laid(way(spark, (0, 0), (10, 0)), none, spark.createDataFrame([], JOINTS), ends)) == [pytest.approx((0, 2.99)), pytest.approx((10, 2))]
+    assert profile(laid(way(spark, (0, 0), (10, 0)), none, spark.createDataFrame([], JOINTS), ends)) == [pytest.approx((0, 2.99)), pytest.approx((10, 2))]
 
 
 def test_tree_distances_between_trees_and_within(spark):

@@ -1,56 +1,104 @@
 """Routes of new pipe: a visibility graph past obstacles, and a forest that joins consumers to the network.
 
-The graph's corners and legs are rows; a leg is dropped by an anti-join with the obstacle edges that
-cross it. The forest is Mehlhorn's approximation of a Steiner tree: each node goes to its nearest
+The graph's corners and legs are rows; a leg is dropped by an anti-join with the walls that it crosses or comes too
+near to. The forest is Mehlhorn's approximation of a Steiner tree: each node goes to its nearest
 terminal, the shortest bridges between terminals' regions make a small graph, and the paths behind its
 minimum spanning forest are the routes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rules as r
 from ..store import materialize
 from . import network
-from .spatial import edges_of, points_inside
+from .spatial import edges_of, points_in_areas, walked
 
 
-def corners(polygons: DataFrame, clearance: float) -> DataFrame:
-    """(polygon, x, y): the convex corners of counter-clockwise rings, moved outwards by the clearance."""
+def turned(ring: Column, inner: Column) -> Column:
+    """A closed ring in the direction that keeps its area on the left: counter-clockwise, a hole (``inner``) clockwise."""
+    n = F.size(ring) - 1
+    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + (ring[i]["x"] - ring[0]["x"]) * (ring[i + 1]["y"] - ring[0]["y"]) - (ring[i + 1]["x"] - ring[0]["x"]) * (ring[i]["y"] - ring[0]["y"]))
+    return F.when((twice < 0) != inner, F.reverse(ring)).otherwise(ring)
+
+
+def corners(polygons: DataFrame, clearance: float | Column, longest: float | None = None) -> DataFrame:
+    """(polygon, x, y): the corners of areas (polygon, ring, and ``inner`` for holes) that a way may turn at, moved out by
+    the clearance, whatever the direction of the rings. With ``longest``, also places along walls so that none are farther apart."""
+    inner = F.col("inner") if "inner" in polygons.columns else F.lit(False)
+    clearance = F.lit(clearance) if isinstance(clearance, (int, float)) else clearance
+    rings = polygons.where(F.size("ring") > 3).select("polygon", turned(F.col("ring"), inner).alias("ring"), clearance.alias("_clear"))
     n = F.size("ring") - 1
     places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("ring")[(i + n - 1) % n].alias("p"), F.col("ring")[i].alias("q"), F.col("ring")[(i + 1) % n].alias("s")))
-    at = polygons.select("polygon", F.explode(places).alias("c")).select("polygon", "c.p", "c.q", "c.s")
+    at = rings.select("polygon", "_clear", F.explode(places).alias("c")).select("polygon", "_clear", "c.p", "c.q", "c.s")
     (px, py), (qx, qy), (sx, sy) = ((F.col(f"{c}.x"), F.col(f"{c}.y")) for c in "pqs")
-    inward, outward = g.distance((px, py), (qx, qy)), g.distance((qx, qy), (sx, sy))
+    some = lambda d: F.when(d > 1e-12, d)
+    inward, outward = some(g.distance((px, py), (qx, qy))), some(g.distance((qx, qy), (sx, sy)))
     ux, uy, vx, vy = (qx - px) / inward, (qy - py) / inward, (sx - qx) / outward, (sy - qy) / outward
     convex = ux * vy - uy * vx > 1e-9
     # The mitre of two edges moved out by the clearance.
-    scale = clearance / (1 + ux * vx + uy * vy)
-    return at.where(convex & (1 + ux * vx + uy * vy > 0.1)).select("polygon", (qx + (uy + vy) * scale).alias("x"), (qy - (ux + vx) * scale).alias("y"))
-
-
-def legs(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
-    """(a, b, metres) between points (id, x, y) at most ``reach`` apart whose straight leg crosses no
-    polygon and has its quarter points in none. Obstacle edges meet legs by the cells of their boxes."""
-    cell = lambda c: F.floor(c / reach).cast("long")
-    right = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("cx", F.explode(F.sequence(cell(F.col("bx")) - 1, cell(F.col("bx")) + 1)))
-    right = right.withColumn("cy", F.explode(F.sequence(cell(F.col("by")) - 1, cell(F.col("by")) + 1)))
-    pairs = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).join(right, ["cx", "cy"])
-    p, q = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
-    pairs = pairs.where("a < b").select("a", "b", "ax", "ay", "bx", "by", g.distance(p, q).alias("metres")).where(F.col("metres").between(1e-9, reach))
+    scale = F.col("_clear") / (1 + ux * vx + uy * vy)
+    out = at.where(convex & (1 + ux * vx + uy * vy > 0.1)).select("polygon", (qx + (uy + vy) * scale).alias("x"), (qy - (ux + vx) * scale).alias("y"))
+    if longest is None:
+        return out
+    parts = F.ceil(outward / longest).cast("int")
+    along = at.where(outward > longest).select("polygon", F.explode(F.sequence(F.lit(1), parts - 1)).alias("i"), parts.alias("n"), *[v.alias(k) for k, v in (("qx", qx), ("qy", qy), ("sx", sx), ("sy", sy), ("nx", vy * F.col("_clear")), ("ny", -vx * F.col("_clear")))])
+    t = F.col("i") / F.col("n")
+    return out.unionByName(along.select("polygon", (F.col("qx") + t * (F.col("sx") - F.col("qx")) + F.col("nx")).alias("x"), (F.col("qy") + t * (F.col("sy") - F.col("qy")) + F.col("ny")).alias("y")))
+
+
+def lattice(points: DataFrame, step: float) -> DataFrame:
+    """(x, y): a lattice over the box of ``points`` (x, y), made of rows by tasks, so that far places have others between them."""
+    box = points.agg(F.floor(F.min("x") / step).alias("ax"), F.ceil(F.max("x") / step).alias("bx"), F.floor(F.min("y") / step).alias("ay"), F.ceil(F.max("y") / step).alias("by"))
+    return box.where("ax is not null").select("ay", "by", F.explode(F.sequence("ax", "bx")).alias("i")).repartition("i").select("i", F.explode(F.sequence("ay", "by")).alias("j")).select((F.col("i") * step).alias("x"), (F.col("j") * step).alias("y"))
+
+
+def walls_of(polygons: DataFrame) -> DataFrame:
+    """(obstacle, clear, ox0, oy0, ox1, oy1): the edges of all rings of areas (polygon, ring, clear)."""
+    edges = edges_of(polygons.select(F.struct("polygon", "clear").alias("polygon"), "ring"))
+    return edges.select("polygon.polygon", "polygon.clear", F.col("x0").alias("ox0"), F.col("y0").alias("oy0"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1")).withColumnRenamed("polygon", "obstacle")
+
+
+def too_near(points: DataFrame, walls: DataFrame, cell: float) -> DataFrame:
+    """(id, obstacle) of points (id, x, y) within areas or nearer to their walls than these allow."""
+    most = walls.agg(F.max("clear")).first()[0] or 0.0
+    size = max(cell, most)
+    own = points.select("id", "x", "y", F.floor(F.col("x") / size).cast("long").alias("cx"), F.floor(F.col("y") / size).cast("long").alias("cy"))
+    near = own.join(walked(walls, size, most, ("ox0", "oy0", "ox1", "oy1")), ["cx", "cy"])
+    away = g.point_distance((F.col("ox0"), F.col("oy0")), (F.col("ox1"), F.col("oy1")), (F.col("x"), F.col("y")))
+    return near.where(away < F.col("clear") - 1e-6).select("id", "obstacle").unionByName(points_in_areas(points, walls, cell)).distinct()
+
+
+def legs(points: DataFrame, polygons: DataFrame, reach: float, cell: float = 50.0) -> DataFrame:
+    """(a, b, metres) between points (id, x, y) at most ``reach`` apart whose straight leg crosses no area (polygon, ring, and
+    ``clear``, the distance that its walls demand, 0 where there is none) and comes no nearer to its walls than that.
+
+    A point may itself lie too near to an area, as the wall that a building is entered by does; its legs may then leave that
+    area's surroundings but not cross its walls. Points that are neither terminals nor roots should not be given there.
+    """
+    size = lambda c: F.floor(c / reach).cast("long")
+    right = points.select(F.col("id").alias("b"), F.col("x").alias("x1"), F.col("y").alias("y1")).withColumn("cx", F.explode(F.sequence(size(F.col("x1")) - 1, size(F.col("x1")) + 1)))
+    right = right.withColumn("cy", F.explode(F.sequence(size(F.col("y1")) - 1, size(F.col("y1")) + 1)))
+    pairs = points.select(F.col("id").alias("a"), F.col("x").alias("x0"), F.col("y").alias("y0"), size(F.col("x")).alias("cx"), size(F.col("y")).alias("cy")).join(right, ["cx", "cy"])
+    p, q = (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))
+    pairs = pairs.where("a < b").select("a", "b", "x0", "y0", "x1", "y1", g.distance(p, q).alias("metres")).where(F.col("metres").between(1e-9, reach))
     pairs = materialize(pairs, "legs")
-    walls = edges_of(polygons)
-    over = lambda lo, hi, name: F.explode(F.sequence(cell(F.least(lo, hi)), cell(F.greatest(lo, hi)))).alias(name)
-    near_legs = pairs.select("*", over("ax", "bx", "cx")).select("*", over("ay", "by", "cy"))
-    near_walls = walls.select("*", over("x0", "x1", "cx")).select("*", over("y0", "y1", "cy"))
-    hit = g.crosses(p, q, (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1")))
-    blocked = near_legs.join(near_walls, ["cx", "cy"]).where(hit).select("a", "b")
+    areas = polygons if "clear" in polygons.columns else polygons.withColumn("clear", F.lit(0.0))
+    walls = materialize(walls_of(areas), "walls")
+    most = walls.agg(F.max("clear")).first()[0] or 0.0
+    near = walked(pairs, cell, most).join(walked(walls, cell, 0.0, ("ox0", "oy0", "ox1", "oy1")), ["cx", "cy"])
+    c, d = (F.col("ox0"), F.col("oy0")), (F.col("ox1"), F.col("oy1"))
+    hit, apart = g.crosses(p, q, c, d), g.segment_distance(p, q, c, d)
+    met = near.select("a", "b", "obstacle", F.when(hit, 2).when(apart < F.col("clear") - 1e-6, 1).alias("met")).where("met > 0").groupBy("a", "b", "obstacle").agg(F.max("met").alias("met"))
+    within = materialize(too_near(points, walls, cell), "too-near")
+    end = lambda name: within.select(F.col("id").alias(name), "obstacle", F.lit(True).alias(f"_{name}"))
+    blocked = met.join(end("a"), ["a", "obstacle"], "left").join(end("b"), ["b", "obstacle"], "left").where("met = 2 or (_a is null and _b is null)").select("a", "b")
     part = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("t")
-    middles = pairs.select("a", "b", "ax", "ay", "bx", "by", part).select(F.struct("a", "b").alias("id"), (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t")).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t")).alias("y"))
-    inside = points_inside(middles, polygons, reach).select("id.a", "id.b")
+    middles = pairs.select("a", "b", "x0", "y0", "x1", "y1", part).select(F.struct("a", "b").alias("id"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("t")).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("t")).alias("y"))
+    inside = points_in_areas(middles, walls, cell).select("id.a", "id.b")
     return pairs.join(blocked.unionByName(inside).distinct(), ["a", "b"], "left_anti").select("a", "b", "metres")
 
 

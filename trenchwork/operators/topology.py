@@ -39,9 +39,18 @@ def chamber_adjacency(chambers: DataFrame, segments: DataFrame, within: float =
 
 
 def terminals(points: DataFrame, consumers: DataFrame) -> DataFrame:
-    """(id, point, flow): consumers (id, flow) with their connection points (point, oks_id); either may be missing."""
-    both = consumers.join(points.withColumnRenamed("oks_id", "id"), "id", "full")
-    return both.select("id", "point", "flow")
+    """(id, point, flow): consumers (id, flow) with their connection points (point, oks_id; id and flow of their own if they have any).
+
+    A consumer without a flow, or of 0, has its point's; a point that names no consumer is one by itself, under the id that it
+    names or else its own, with its own flow.
+    """
+    for name, kind in (("id", "string"), ("flow", "double")):
+        if name not in points.columns:
+            points = points.withColumn(name, F.lit(None).cast(kind))
+    spots = points.select(F.col("oks_id"), "point", F.col("id").alias("_id"), F.col("flow").alias("_flow"))
+    both = consumers.join(spots, F.col("id") == F.col("oks_id"), "full")
+    flow = F.when(F.coalesce("flow", F.lit(0.0)) > 0, F.col("flow")).otherwise(F.coalesce("_flow", "flow"))
+    return both.select(F.coalesce("id", "oks_id", "_id").alias("id"), "point", flow.alias("flow"))
 
 
 def host_buildings(points: DataFrame, polygons: DataFrame, reach: float = 15.0) -> DataFrame:

@@ -9,6 +9,8 @@ lie within ``gap`` of each other are one; a way that meets nothing has no row; r
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 from ..functions import rules as r
 from ..store import materialize
-from . import depth
+from . import depth, network
 from .intervals import union_intervals
 from .spatial import points_in_areas, walked
 
@@ -111,9 +113,9 @@ def area_spans(legs: DataFrame, edges: DataFrame, reach: Column, most: float, ga
 
 def without_joints(spans: DataFrame, joints: DataFrame, lengths: DataFrame, near: float = 0.30) -> DataFrame:
     """Intervals (path, obstacle, s0, s1) without those at an end of the way where it joins that obstacle: joints (path,
-    obstacle, at_start); lengths (path, total). A joint is no crossing."""
+    at_start, and obstacle unless they join whatever lies there); lengths (path, total). A joint is no crossing."""
     ends = spans.join(lengths, "path").withColumn("_end", F.explode(F.array(*[F.when(F.col("s0") <= near, True), F.when(F.col("s1") >= F.col("total") - near, False)])))
-    joined = ends.where("_end is not null").join(joints.withColumnRenamed("at_start", "_end").distinct(), ["path", "obstacle", "_end"])
+    joined = ends.where("_end is not null").join(joints.withColumnRenamed("at_start", "_end").distinct(), ["path", *(["obstacle"] if "obstacle" in joints.columns else []), "_end"])
     return spans.join(joined.select("path", "obstacle", "s0").distinct(), ["path", "obstacle", "s0"], "left_anti")
 
 
@@ -136,7 +138,8 @@ def utility_pins(legs: DataFrame, utilities: DataFrame, joints: DataFrame, rules
     lengths = placed(legs).groupBy("path").agg(F.sum("length").alias("total"), F.max("dn").alias("dn"))
     what = other.groupBy("obstacle").agg(F.max(F.struct("kind", "top", "other_dn")).alias("w")).select("obstacle", "w.*")
     heat = what.where("kind = 'HEAT'").select("obstacle")
-    crossed = without_joints(spans, joints.join(heat, "obstacle", "left_semi"), lengths.select("path", "total"))
+    of_heat = spans.join(heat, "obstacle", "left_semi")
+    crossed = without_joints(of_heat, joints, lengths.select("path", "total")).unionByName(spans.join(heat, "obstacle", "left_anti"))
     band = depth.window(F.col("kind"), F.coalesce("top", depth.usual(TOPS, F.col("kind"))), F.col("dn"), F.col("other_dn"), rules)
     return crossed.join(lengths.select("path", "dn"), "path").join(what, "obstacle").withColumn("band", band).select("path", "obstacle", "s0", "s1", "band.above_max", "band.below_min")
 
@@ -233,13 +236,11 @@ def sliced(legs: DataFrame, pieces: DataFrame) -> DataFrame:
     return both.select("path", "piece", "ord", place("at", "x").alias("x0"), place("at", "y").alias("y0"), place("to", "x").alias("x1"), place("to", "y").alias("y1"))
 
 
-def laid(legs: DataFrame, utilities: DataFrame, joints: DataFrame, ends: DataFrame | None = None, rules: r.Rules = r.DEFAULT) -> DataFrame:
-    """(path, piece, s0, s1, depth_from, depth_to): ways (legs with ``dn``) laid past utilities and under roads, see
-    ``utility_pins`` and ``covers``. ``ends`` (path, at_start, low, high) are bounds that other ways hand over at the ends.
+def bounds(legs: DataFrame, utilities: DataFrame, joints: DataFrame, rules: r.Rules = r.DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(pins, lengths): what ways (legs with ``dn``) must keep to, as (path, s0, s1, low, high), and their lengths (path, total).
 
-    Every crossing takes its own best depth; a way is built at 0.99 of the greatest slope, so that a cut piece does not exceed it.
+    Every crossing takes its own best depth, see ``utility_pins``; under roads and tram tracks there is a least cover.
     """
-    steep = r.Rules(**{**rules.__dict__, "greatest_slope": rules.greatest_slope * 0.99})
     lengths = materialize(placed(legs).groupBy("path").agg(F.sum("length").alias("total")), "way-lengths")
     over = materialize(covers(legs, utilities, rules), "way-covers")
     found = materialize(utility_pins(legs, utilities, joints, rules).withColumn("pin", F.xxhash64("path", "obstacle", "s0")), "way-pins")
@@ -247,8 +248,32 @@ def laid(legs: DataFrame, utilities: DataFrame, joints: DataFrame, ends: DataFra
     chosen = depth.choose_depth(found.join(floors, "pin"), "pin", rules=rules)
     pins = found.join(chosen, "pin").select("path", "s0", "s1", F.col("depth").alias("low"), F.col("depth").alias("high"))
     shelves = over.select("path", F.col("c0").alias("s0"), F.col("c1").alias("s1"), F.col("cover").alias("low"), F.lit(None).cast("double").alias("high"))
-    every = pins.unionByName(shelves)
+    return materialize(pins.unionByName(shelves), "way-bounds"), lengths
+
+
+def laid(pins: DataFrame, lengths: DataFrame, ends: DataFrame | None = None, rules: r.Rules = r.DEFAULT) -> DataFrame:
+    """(path, piece, s0, s1, depth_from, depth_to): ways laid within their ``bounds``. ``ends`` (path, at_start, low, high) are
+    bounds that other ways hand over at the ends. Ways are built at 0.99 of the greatest slope, so that a cut piece does not exceed it.
+    """
     if ends is not None:
         s = F.when(F.col("at_start"), F.lit(0.0)).otherwise(F.col("total"))
-        every = every.unionByName(ends.join(lengths, "path").select("path", s.alias("s0"), s.alias("s1"), "low", "high"))
-    return profile_pieces(knots(materialize(every, "way-bounds"), lengths, steep), rules=rules)
+        pins = materialize(pins.unionByName(ends.join(lengths, "path").select("path", s.alias("s0"), s.alias("s1"), "low", "high")), "way-bounds")
+    return profile_pieces(knots(pins, lengths, built_at(rules)), rules=rules)
+
+
+def built_at(rules: r.Rules) -> r.Rules:
+    """The rules with the slope that ways are built at."""
+    return replace(rules, greatest_slope=rules.greatest_slope * 0.99)
+
+
+def laid_together(tree: DataFrame, legs: DataFrame, utilities: DataFrame, joints: DataFrame, rules: r.Rules = r.DEFAULT) -> DataFrame:
+    """As ``laid``, of the pipes of a forest (node, parent, length), whose ways (path: the node) run from the parent to the node:
+    a crossing is felt in all pipes of its tree, by the distance along them."""
+    pins, lengths = bounds(legs, utilities, joints, rules)
+    ways = tree.where("parent is not null").select(F.col("node").alias("path"), "node", "parent", "length")
+    slope = built_at(rules).greatest_slope
+    at = pins.join(ways, "path").select("node", "parent", "low", "high", (F.col("length") - F.col("s1")).alias("_up"), F.col("s0").alias("_down"))
+    one = lambda end, far: at.select(F.col(end).alias("node"), (F.col("low") - slope * F.col(far)).alias("low"), (F.col("high") + slope * F.col(far)).alias("high"))
+    felt = network.spread(tree, materialize(one("node", "_up").unionByName(one("parent", "_down")), "felt"), slope)
+    end = lambda name, start: ways.select("path", F.col(name).alias("node")).join(felt, "node").where("low is not null or high is not null").select("path", F.lit(start).alias("at_start"), "low", "high")
+    return laid(pins, lengths, end("parent", True).unionByName(end("node", False)), rules)

@@ -1,7 +1,11 @@
 """From a GeoJSON file to a priced plan and its features: ``run(spark, path)``.
 
-Sources, chambers and consumers become nodes, numbered by their place in the file; corners of what must be kept clear of become
-nodes too. The forest over the legs between them is sized, priced and put out as result features.
+Sources, chambers, places on existing pipes and consumers become nodes; corners of what must be kept clear of become nodes too.
+The forest over the legs between them is sized, priced, laid and put out as result features.
+
+Defined results: files of a folder are one scene; features without a geometry, or of one that is not known, take no part; a
+null or repeated id changes nothing, as nodes have numbers of their own; a consumer without a flow needs 0; a scene without
+sources or chambers leaves all consumers unconnected, one without consumers gives a plan without pipes.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import crs
 from ..functions import geometry as g
 from ..functions import rules as r
-from ..operators import costing, crossings, network, routes, topology
+from ..operators import costing, crossings, depth, network, routes, spatial, topology, utilities
 from ..sources import geojson
 from ..store import materialize
 
@@ -41,7 +45,7 @@ def _projected(features: DataFrame) -> tuple[DataFrame, bool]:
 
     read = geojson.rings(F.col("geometry_type"), F.col("coordinates"))
     moved = F.transform(read, lambda line: F.struct(line["part"].alias("part"), line["ring"].alias("ring"), F.transform(line["path"], place).alias("path")))
-    return features.withColumn("lines", moved).withColumn("node", F.col("ord").cast("long")), degrees
+    return features.withColumn("lines", moved).withColumn("node", F.monotonically_increasing_id()), degrees
 
 
 def _middle(path):
@@ -51,68 +55,146 @@ def _middle(path):
     return total("x"), total("y")
 
 
-def run(spark: SparkSession, path: str, mode: str = "PLAN_2D", reach: float = 500.0, to: str | None = None, rules: r.Rules = r.DEFAULT) -> Result:
-    """Read the file, connect every prospective building that can be reached with legs of at most ``reach`` metres, and price it.
+#: Up to so many places, all are joined with each other; beyond, those within REACH, with a lattice of STEP metres between them.
+FEW, REACH, STEP = 8000, 500.0, 400.0
+#: Consumers look so far for existing pipes to join.
+TAP_REACH = 250.0
+
+
+def _edges(lines: DataFrame, *more: str) -> DataFrame:
+    """(node, more, ord, x0, y0, x1, y1): the edges of lines and rings."""
+    each = lines.select("node", *more, F.explode("lines").alias("line"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("line.path") - 1), lambda i: F.struct(i.alias("ord"), F.col("line.path")[i - 1].alias("a"), F.col("line.path")[i].alias("b")))
+    e = each.where(F.size("line.path") > 1).select("node", *more, F.explode(pairs).alias("e"))
+    return e.select("node", *more, "e.ord", *[F.col(f"e.{p}.{axis}").alias(f"{axis}{k}") for k, p in enumerate("ab") for axis in "xy"])
+
+
+def _taps(consumers: DataFrame, chambers: DataFrame, pipes: DataFrame) -> DataFrame:
+    """(node, x, y, dn): the nearest place of an existing pipe to each consumer, where a chamber would be built. Nodes are negative."""
+    legs = pipes.select(F.struct("node", "ord").alias("site"), "x0", "y0", "x1", "y1")
+    ends = pipes.select(F.col("node").alias("segment"), "dn", "x0", "y0", "x1", "y1")
+    places = chambers.select(F.col("node").alias("id"), "x", "y").join(topology.chamber_adjacency(chambers.select(F.col("node").alias("id"), "x", "y"), ends), "id")
+    known = places.select(F.struct(F.col("id").alias("node"), F.lit(0).alias("ord")).alias("site"), "x", "y", F.col("incident").alias("degree"))
+    options = spatial.tie_in_options(consumers.select(F.col("node").alias("id"), "x", "y"), known, legs, TAP_REACH).where("at is not null")
+    best = spatial.ranked_options(options, 1).join(pipes.select(F.struct("node", "ord").alias("site"), "x0", "y0", "x1", "y1", "dn"), "site")
+    along = lambda axis: F.col(f"{axis}0") + F.col("at") * (F.col(f"{axis}1") - F.col(f"{axis}0"))
+    return best.select((-F.pmod(F.xxhash64(F.lit("tap"), "site", "at"), F.lit(1 << 61)) - 1 - (1 << 61)).alias("node"), along("x").alias("x"), along("y").alias("y"), "dn").dropDuplicates(["node"])
 
-    In mode PLAN_3D pipes lie at the ordinary depth at both ends. ``to`` names a folder for the collection.
+
+def run(spark: SparkSession, path: str, mode: str = "PLAN_2D", to: str | None = None, rules: r.Rules = r.DEFAULT) -> Result:
+    """Read the files, connect every prospective building that can be reached, and price the plan.
+
+    Pipes keep the clearance that the rules demand for the diameter of the whole demand. In mode PLAN_3D they are laid past
+    the utilities that they cross. ``to`` names a folder for the collection.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     features, degrees = _projected(geojson.read_features(spark, path))
-    features = materialize(features.where("lines is not null"), "scene")
-    outer = F.col("lines")[0]["path"]
-    x, y = _middle(outer)
+    features = materialize(features.where("lines is not null and size(lines) > 0"), "scene")
+    x, y = _middle(F.col("lines")[0]["path"])
     of = lambda *kinds: features.where(F.col("kind").isin(*kinds))
-    roots = of("SOURCE", "CHAMBER").select("node", "id", x.alias("x"), y.alias("y"))
-    points = of("CONNECTION_POINT").select(F.struct(x.alias("x"), y.alias("y")).alias("point"), "oks_id")
-    # The connection point of a building, or else its middle.
-    joined = topology.terminals(points.groupBy("oks_id").agg(F.min("point").alias("point")), of("OKS_PROSPECTIVE").select("id", "flow"))
-    consumers = of("OKS_PROSPECTIVE").select("node", "id", x.alias("mx"), y.alias("my")).join(joined, "id")
-    consumers = materialize(consumers.select("node", "id", F.coalesce("flow", F.lit(0.0)).alias("flow"), F.coalesce("point.x", "mx").alias("x"), F.coalesce("point.y", "my").alias("y")), "consumers")
+    points = of("CONNECTION_POINT").select(F.struct(x.alias("x"), y.alias("y")).alias("point"), "oks_id", "id", "flow", "node")
+    buildings = of("OKS_PROSPECTIVE").select("node", "id", "flow", x.alias("mx"), y.alias("my"))
+    # The connection point of a building, or else its middle; a point without a building is a consumer by itself.
+    first = points.groupBy("oks_id").agg(F.min(F.struct("point", "flow")).alias("p")).where("oks_id is not null")
+    joined = buildings.join(first.select(F.col("oks_id").alias("id"), F.col("p.point").alias("point"), F.col("p.flow").alias("_flow")), "id", "left")
+    flow = F.when(F.coalesce("flow", F.lit(0.0)) > 0, F.col("flow")).otherwise(F.coalesce("_flow", "flow", F.lit(0.0)))
+    consumers = joined.select("node", "id", flow.alias("flow"), F.coalesce("point.x", "mx").alias("x"), F.coalesce("point.y", "my").alias("y"))
+    alone = points.join(buildings.select(F.col("id").alias("oks_id")), "oks_id", "left_anti")
+    consumers = consumers.unionByName(alone.select("node", F.coalesce("oks_id", "id").alias("id"), F.coalesce("flow", F.lit(0.0)).alias("flow"), F.col("point.x").alias("x"), F.col("point.y").alias("y")))
+    consumers = materialize(consumers, "consumers")
+    existing = materialize(_edges(of("EXISTING_SEGMENT"), "id", "dn"), "existing")
+    chambers = of("CHAMBER").select("node", "id", x.alias("x"), y.alias("y"))
+    taps = materialize(_taps(consumers, chambers, existing), "taps")
+    roots = of("SOURCE").select("node", "id", x.alias("x"), y.alias("y")).unionByName(chambers).unionByName(taps.select("node", F.lit(None).cast("string").alias("id"), "x", "y"))
+    roots = materialize(roots, "roots")
     widest = costing.design_dn(consumers.select(F.lit(1).alias("plan"), "flow", F.lit(True).alias("connected")), "plan", rules).first()
     dn = widest["dn"] if widest else rules.diameters[0][0]
     rule = r.restriction_rule(F.coalesce("constraint_text", F.when(F.col("kind") == "OKS_EXISTING", "oks_existing"), F.lit("default")), rules)
     avoided = of("CONSTRAINT", "OKS_EXISTING").where(F.lower("geometry_type").contains("polygon")).withColumn("rule", rule).where(r.restriction_value(F.col("rule"), 1, rules) == "AVOID")
-    kept_clear = avoided.select("node", F.explode("lines").alias("line"), crossings.needed_clearance(F.col("rule"), F.lit(dn), F.lit(0.0), rules).alias("clear"))
-    blocks = materialize(kept_clear.where("line.ring = 0").select(F.concat_ws("-", "node", "line.part").alias("polygon"), F.col("line.path").alias("ring"), "clear"), "blocks")
-    shell = None
-    for row in blocks.select("clear").distinct().collect():  # as many as there are rules
-        part = routes.corners(blocks.where(F.col("clear") == row["clear"]), row["clear"])
-        shell = part if shell is None else shell.unionByName(part)
-    places = roots.select("node", "x", "y").unionByName(consumers.select("node", "x", "y"))
-    if shell is not None:
-        places = places.unionByName(shell.select(((F.lit(1).cast("long") * (1 << 40)) + F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40))).alias("node"), "x", "y").distinct())
+    kept_clear = avoided.select("node", F.explode("lines").alias("line"), crossings.needed_clearance(F.col("rule"), F.lit(dn), F.lit(0.0), rules).cast("double").alias("clear"))
+    areas = materialize(kept_clear.select(F.concat_ws("-", "node", "line.part").alias("polygon"), F.col("line.path").alias("ring"), (F.col("line.ring") > 0).alias("inner"), "clear"), "areas")
+    walls = routes.walls_of(areas)
+    ends = materialize(roots.select("node", "x", "y").unionByName(consumers.select("node", "x", "y")), "ends")
+    numbered = lambda df: df.select((-F.pmod(F.xxhash64("x", "y"), F.lit(1 << 61)) - 1).alias("node"), "x", "y").dropDuplicates(["node"])
+    free = lambda df: df.join(routes.too_near(df.withColumnRenamed("node", "id"), walls, 50.0).select(F.col("id").alias("node")).distinct(), "node", "left_anti")
+    shell = materialize(free(numbered(routes.corners(areas, F.col("clear")))), "corners")
+    if ends.count() + shell.count() <= FEW:
+        box = ends.unionByName(shell).agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("far")).first()["far"]
+        places, reach = ends.unionByName(shell), max(box or 0.0, 1.0)
+    else:
+        more = routes.corners(areas, F.col("clear"), STEP).select("x", "y").unionByName(routes.lattice(ends, STEP))
+        places, reach = ends.unionByName(free(numbered(more))), REACH
     places = materialize(places, "places")
-    legs = materialize(routes.legs(places.withColumnRenamed("node", "id"), blocks.select("polygon", "ring"), reach), "plan-legs")
+    legs = materialize(routes.legs(places.withColumnRenamed("node", "id"), areas, reach), "plan-legs")
     tree = materialize(routes.steiner_forest(legs, consumers.select("node"), roots.select("node")), "plan-tree")
     carried = tree.join(consumers.select("node", "flow"), "node", "left").fillna(0.0, ["flow"])
     flows = network.subtree_sums(carried, "flow").select("node", F.col("total").alias("flow"))
     sized = network.run_limited_dn(tree.join(flows, "node"), rules)
     spot = lambda name: places.select(F.col("node").alias(name), F.struct("x", "y").alias(f"_{name}"))
-    depth = F.lit(rules.ordinary_depth if mode == "PLAN_3D" else None).cast("double")
     pipes = tree.where("parent is not null").join(flows, "node").join(sized, "node").join(spot("node"), "node").join(spot("parent"), "parent")
-    pipes = materialize(pipes.select(F.lit(1).cast("long").alias("variant_id"), "node", "parent", "length", "flow", "dn", F.lit(1.0).alias("k_spec"), depth.alias("depth_from"), depth.alias("depth_to"), F.array("_parent", "_node").alias("path")), "plan-pipes")
-    named = roots.select("node", "id").unionByName(consumers.select("node", "id"))
-    label = lambda c: F.coalesce(F.col(f"_{c}_id"), F.concat(F.lit("P"), F.col(c).cast("string")))
+    pipes = materialize(pipes.select("node", "parent", "length", "flow", "dn", "_node", "_parent"), "plan-pipes")
+    named = roots.select("node", "id").unionByName(consumers.select("node", "id")).where("id is not null").dropDuplicates(["node"])
+    label = lambda c: F.coalesce(F.col(f"_{c}_id"), F.concat(F.lit("P"), F.abs(F.col(c)).cast("string")))
     for c in ("node", "parent"):
         pipes = pipes.join(named.select(F.col("node").alias(c), F.col("id").alias(f"_{c}_id")), c, "left")
-    segments = pipes.select("*", F.concat(F.lit("S"), F.col("node").cast("string")).alias("id"), label("node").alias("from_id"), label("parent").alias("to_id"), costing.pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to"), rules).alias("cost"))
+    pipes = pipes.select("*", label("node").alias("from_id"), label("parent").alias("to_id"))
+    if mode == "PLAN_3D":
+        pipes = _laid(features, tree, materialize(pipes, "plan-flat"), existing, chambers.select("node").unionByName(taps.select("node")), rules)
+    else:
+        none = F.lit(None).cast("double")
+        pipes = pipes.select("*", F.lit(1).alias("piece"), none.alias("depth_from"), none.alias("depth_to"), F.array("_parent", "_node").alias("path"))
+    price = costing.pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to"), rules)
+    own = F.concat(F.lit("S"), F.abs("node").cast("string"), F.when(F.col("piece") > 1, F.concat(F.lit("-"), F.col("piece").cast("string"))).otherwise(""))
+    segments = pipes.withColumns({"variant_id": F.lit(1).cast("long"), "k_spec": F.lit(1.0), "laying_method": F.lit("new"), "id": own}).withColumn("cost", price)
     segments = materialize(segments, "plan-segments")
-    # Where pipes meet that is no place of the input, a chamber is built.
-    meets = segments.where("_parent_id is null").groupBy("variant_id", F.col("to_id").alias("id")).agg(F.count("*").alias("n"), F.max("dn").alias("dn")).where("n > 1")
-    chambers = materialize(meets.select("variant_id", "id", "dn", r.chamber_price(F.col("dn"), rules).alias("cost")), "plan-chambers")
-    tied = segments.where("_parent_id is not null").join(of("CHAMBER").select(F.col("node").alias("parent")), "parent", "left_semi").select("variant_id")
-    unconnected = consumers.join(tree.select("node"), "node", "left_anti").select(F.lit(1).cast("long").alias("variant_id"), "flow")
-    costs = costing.roll_up(segments, chambers.select("variant_id", "id", "dn"), tied, unconnected, "variant_id", rules)
-    plan = costs.withColumn("score", r.rounded(costing.score(F.col("total"), F.col("length"), rules), 3))
-    nodes = segments.where("_parent_id is null").select("variant_id", F.col("to_id").alias("id")).distinct().join(chambers.select("variant_id", "id"), ["variant_id", "id"], "left_anti")
-    rows = geojson.result_features(segments.select("variant_id", "id", "from_id", "to_id", "length", "cost", "depth_from", "depth_to"), chambers.select("variant_id", "id", "cost"), nodes)
+    # Where pipes meet that is no place of the input, and where they join an existing pipe, a chamber is built.
+    meets = segments.where("_parent_id is null and piece = 1").groupBy("variant_id", F.col("to_id").alias("id"), F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.max("dn").alias("dn"))
+    tapped = meets.join(taps.select("node", F.col("dn").alias("_old")), "node", "left").where("n > 1 or _old is not null")
+    built = tapped.select("variant_id", "id", F.greatest("dn", "_old").alias("dn"))
+    built = materialize(built.withColumn("cost", r.chamber_price(F.col("dn"), rules)), "plan-chambers")
+    tied = segments.where("piece = 1").join(chambers.select(F.col("node").alias("parent")), "parent", "left_semi").select("variant_id")
+    left = materialize(consumers.join(tree.select("node"), "node", "left_anti").select(F.lit(1).cast("long").alias("variant_id"), "flow", "id"), "unconnected")
+    costs = costing.roll_up(segments, built.select("variant_id", "id", "dn"), tied, left, "variant_id", rules)
+    counts = tied.groupBy("variant_id").agg(F.count("*").alias("tie_in_count"))
+    # The ids of a plan's unconnected consumers are one field of its summary.
+    lost = left.groupBy("variant_id").agg(F.array_sort(F.collect_list("id")).alias("unconnected_ids"))
+    scored = costs.join(counts, "variant_id", "left").join(lost, "variant_id", "left").fillna(0, ["tie_in_count"])
+    plan = materialize(scored.withColumn("score", r.rounded(costing.score(F.col("total"), F.col("length"), rules), 3)).withColumn("rank", F.lit(1)), "plan")
+    inner = segments.where("_parent_id is null or piece > 1").select("variant_id", F.col("to_id").alias("id")).distinct()
+    nodes = inner.join(built.select("variant_id", "id"), ["variant_id", "id"], "left_anti")
+    variants = plan.withColumn("unconnected", F.coalesce("unconnected_ids", F.array().cast("array<string>")))
+    rows = geojson.exported(segments, built, nodes, variants)
     texts = _texts(rows, segments, degrees)
     if to is not None:
         geojson.write_collection(texts, "place", to, "result")
     return Result(plan, segments, texts)
 
 
+def _laid(features: DataFrame, tree: DataFrame, pipes: DataFrame, existing: DataFrame, joined: DataFrame, rules: r.Rules) -> DataFrame:
+    """Pipes cut into pieces with their depths; places between pieces have ids of their own."""
+    c = F.col
+    marked = features.where(c("kind") == "CONSTRAINT").withColumns({"_kind": depth.obstacle_kind(c("constraint_text")), "area": F.lower("geometry_type").contains("polygon")}).where("_kind is not null")
+    ends = [c(f"{axis}{k}").alias(f"o{axis}{k}") for k in "01" for axis in "xy"]
+    lines = _edges(marked, "_kind", "area", "dn").select(c("node").alias("obstacle"), c("_kind").alias("kind"), "area", "dn", F.lit(None).cast("double").alias("top"), *ends)
+    old = existing.select(c("node").alias("obstacle"), F.lit("HEAT").alias("kind"), F.lit(False).alias("area"), "dn", F.lit(None).cast("double").alias("top"), *ends)
+    legs = pipes.select(c("node").alias("path"), F.lit(1).alias("ord"), c("_parent.x").alias("x0"), c("_parent.y").alias("y0"), c("_node.x").alias("x1"), c("_node.y").alias("y1"), "dn")
+    joints = pipes.join(joined.select(c("node").alias("parent")), "parent", "left_semi").select(c("node").alias("path"), F.lit(True).alias("at_start"))
+    pieces = materialize(utilities.laid_together(tree, legs, materialize(lines.unionByName(old), "utilities"), joints, rules), "plan-pieces")
+    cut = utilities.sliced(legs, pieces).select("path", "piece", F.struct(c("x0").alias("x"), c("y0").alias("y")).alias("_a"), F.struct(c("x1").alias("x"), c("y1").alias("y")).alias("_b"))
+    last = pieces.groupBy("path").agg(F.max("piece").alias("_last"))
+    whole = pipes.withColumnRenamed("node", "path").drop("length").join(pieces, "path").join(cut, ["path", "piece"]).join(last, "path")
+    spot = lambda at: F.concat(F.lit("T"), F.abs("path").cast("string"), F.lit("-"), at.cast("string"))
+    from_id = F.when(c("piece") == c("_last"), c("from_id")).otherwise(spot(c("piece")))
+    to_id = F.when(c("piece") == 1, c("to_id")).otherwise(spot(c("piece") - 1))
+    # Depths of pieces are given from the network's side on; those of pipes from the other.
+    made = whole.select(
+        c("path").alias("node"), "parent", (c("s1") - c("s0")).alias("length"), "flow", "dn", "_node_id", "_parent_id", from_id.alias("from_id"), to_id.alias("to_id"), "piece",
+        c("depth_to").alias("_d1"), c("depth_from").alias("_d0"), F.array("_a", "_b").alias("path"),
+    )
+    return made.withColumnsRenamed({"_d1": "depth_from", "_d0": "depth_to"})
+
+
 def _texts(rows: DataFrame, segments: DataFrame, degrees: bool) -> DataFrame:
     """(place, feature): features as GeoJSON, ids as they are."""
 
@@ -125,8 +207,8 @@ def _texts(rows: DataFrame, segments: DataFrame, degrees: bool) -> DataFrame:
     spots = ends.select("variant_id", geojson.json_id(geojson.own_id(F.col("variant_id"), F.col("e.id"), F.lit(True))).alias("id"), F.to_json(back(F.col("e.p"))).alias("spot")).groupBy("variant_id", "id").agg(F.min("spot").alias("spot"))
     placed = rows.join(lines, ["variant_id", "id"], "left").join(spots, ["variant_id", "id"], "left")
     shape = F.when(F.col("ord") == 1, F.concat(F.lit('{"type":"LineString","coordinates":'), "line", F.lit("}"))).when(F.col("ord") < 4, F.concat(F.lit('{"type":"Point","coordinates":'), "spot", F.lit("}"))).otherwise(F.lit("null"))
-    own = ["object_type", "variant_id", "length", "depth_start", "depth_end", "cost"]
-    props = F.to_json(F.struct(*own))
+    own = F.struct("object_type", "variant_id", *geojson.PIPE_FIELDS, *geojson.SUMMARY_FIELDS)
+    props = F.to_json(own)
     ids = F.concat(F.lit('{"id":'), "id", *[v for c in ("start_node_id", "end_node_id") for v in (F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{c}":'), c)).otherwise(""),)], F.lit(","))
     feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(shape, F.lit("null")), F.lit(',"properties":'), ids, F.substring(props, 2, 1 << 30), F.lit("}"))
     return placed.select(F.concat_ws("/", F.col("variant_id").cast("string"), F.col("ord").cast("string"), "id").alias("place"), feature.alias("feature"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as r
+from ..store import materialize
 
 # The property names that each field may have, in order.
 ALIASES = {
@@ -82,11 +83,17 @@ def own_id(variant: Column, text: Column, created: Column) -> Column:
 
 def write_collection(features: DataFrame, order: str, path: str, name: str) -> None:
     """Feature texts (column ``feature``) in the order of a column, as the parts of one FeatureCollection: a head, sorted
-    parts and a tail, whose texts in the order of their paths are the file. No part holds more than its range."""
+    parts and a tail, whose texts in the order of their paths are the file. No part holds more than its range.
+
+    Rows of equal order stand together in no order, those without one come first. Sorted rows are numbered by their places,
+    so that every feature but one has a comma before it, whatever their orders are.
+    """
     spark = features.sparkSession
-    first = features.agg(F.min(order)).first()[0]
-    lines = features.repartitionByRange(order).sortWithinPartitions(order)
-    lines.select(F.concat(F.when(F.col(order) == F.lit(first), "").otherwise(","), "feature").alias("value")).write.mode("overwrite").text(f"{path}/1-features")
+    sorted_ = features.repartitionByRange(F.asc_nulls_first(order)).sortWithinPartitions(F.asc_nulls_first(order))
+    placed = materialize(sorted_.select("feature", F.monotonically_increasing_id().alias("place")), "collection")
+    first = placed.agg(F.min("place")).first()[0]
+    lines = placed.repartitionByRange("place").sortWithinPartitions("place")
+    lines.select(F.concat(F.when(F.col("place") == F.lit(first), "").otherwise(","), "feature").alias("value")).write.mode("overwrite").text(f"{path}/1-features")
     for part, text in (("0-head", f'{{"type":"FeatureCollection","name":{json.dumps(name)},"features":['), ("2-tail", "]}")):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{part}")
 
@@ -118,13 +125,50 @@ def rings(kind: Column, coordinates: Column) -> Column:
 
 
 def geometry_text(kind: Column, lines: Column) -> Column:
-    """GeoJSON of the shapes that ``rings`` reads: Point, LineString or Polygon."""
+    """GeoJSON of the shapes that ``rings`` reads, each with the nesting that its type demands."""
     position = lambda p: F.array(p["x"], p["y"])
-    paths = F.transform(lines, lambda r: F.transform(r["path"], position))
-    body = F.when(kind == "Point", F.to_json(paths[0][0])).when(kind.isin("LineString", "MultiPoint"), F.to_json(paths[0])).otherwise(F.to_json(paths))
+    paths = lambda found: F.transform(found, lambda r: F.transform(r["path"], position))
+    parts = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(lines, lambda r: r["part"]))), lambda p: paths(F.filter(lines, lambda r: r["part"] == p)))
+    body = (
+        F.when(kind == "Point", F.to_json(paths(lines)[0][0])).when(kind.isin("LineString", "MultiPoint"), F.to_json(paths(lines)[0]))
+        .when(kind == "MultiPolygon", F.to_json(parts)).otherwise(F.to_json(paths(lines)))
+    )
     return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), body, F.lit("}"))
 
 
+# Properties of result features, in the order of the contract.
+PIPE_FIELDS = ("flow_tph", "diameter", "length", "laying_method", "depth_start", "depth_end", "cost")
+SUMMARY_FIELDS = (
+    "rank", "construction_cost", "chamber_construction_cost", "existing_chamber_tie_in_count", "existing_chamber_tie_in_cost", "unconnected_penalty", "calculated_cost", "new_network_length", "score", "unconnected_oks_ids",
+)
+
+
+def summaries(variants: DataFrame) -> DataFrame:
+    """The summary feature of each variant (variant_id, rank, pipes, chambers, tie_in_count, tie_ins, penalty, total, length, score,
+    unconnected: ids), money to hundredths and the score to thousandths. Its id is ``summary_`` and the variant's number."""
+    money = lambda c: r.rounded(F.col(c).cast("double"), 2)
+    return variants.select(
+        F.lit(4).alias("ord"), F.lit("variant_summary").alias("object_type"), "variant_id", json_id(F.concat(F.lit("summary_"), F.col("variant_id").cast("string"))).alias("id"),
+        F.col("rank").cast("int").alias("rank"), money("pipes").alias("construction_cost"), money("chambers").alias("chamber_construction_cost"),
+        F.col("tie_in_count").cast("long").alias("existing_chamber_tie_in_count"), money("tie_ins").alias("existing_chamber_tie_in_cost"), money("penalty").alias("unconnected_penalty"),
+        money("total").alias("calculated_cost"), money("length").alias("new_network_length"), r.rounded(F.col("score"), 3).alias("score"), F.array_sort("unconnected").alias("unconnected_oks_ids"),
+    )
+
+
+def exported(segments: DataFrame, chambers: DataFrame, nodes: DataFrame, variants: DataFrame, most: int = 3) -> DataFrame:
+    """The features of the ``most`` best variants by rank (variants: see ``summaries``), with all fields of the contract: those
+    of ``result_features``, pipes with flow_tph, diameter and laying_method (of segments with flow, dn, laying_method), chambers
+    with their diameter, and the summaries."""
+    best = variants.where(F.col("rank") <= most)
+    of_best = lambda df: df.join(best.select("variant_id"), "variant_id", "left_semi")
+    segments, chambers, nodes = of_best(segments), of_best(chambers), of_best(nodes)
+    rows = result_features(segments, chambers, nodes).where("ord < 4")
+    own = json_id(own_id(F.col("variant_id"), F.col("id"), F.lit(True)))
+    more = segments.select("variant_id", own.alias("id"), F.lit(1).alias("ord"), r.rounded(F.col("flow"), 3).alias("flow_tph"), F.col("dn").alias("diameter"), "laying_method")
+    more = more.unionByName(chambers.select("variant_id", own.alias("id"), F.lit(2).alias("ord"), F.col("dn").alias("diameter")), allowMissingColumns=True)
+    return rows.join(more, ["variant_id", "id", "ord"], "left").unionByName(summaries(best), allowMissingColumns=True)
+
+
 def result_features(segments: DataFrame, chambers: DataFrame, nodes: DataFrame) -> DataFrame:
     """The features of a combined result (ord, object_type, variant_id, id, start_node_id, end_node_id, length, depth_start,
     depth_end, cost): pipes from the network's side on, chambers, technical nodes, and a summary of each variant.

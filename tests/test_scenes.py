@@ -10,43 +10,46 @@ from trenchwork.functions import rules as r
 from trenchwork.operators import costing, crossings, network, topology
 
 
-def sized_by_hand(tree):
-    """By recursion from each leaf, raising rows of one flow as a whole."""
-    children = {}
-    for node, (parent, _, _) in tree.items():
-        children.setdefault(parent, []).append(node)
-    table = [(d[0], d[1], d[2]) for d in r.DIAMETERS]
-    dn, run = {}, {}
-
-    def for_flow(flow):
-        return next((d for d, cap, _ in table if flow <= cap + 1e-9), table[-1][0])
-
-    def force(v, d):
-        dn[v] = max(dn[v], d)
-        longest = 0.0
-        for c in children.get(v, []):
-            if abs(tree[c][2] - tree[v][2]) < 1e-6:
-                force(c, dn[v])
-                longest = max(longest, run[c])
-            elif dn[c] == dn[v]:
-                longest = max(longest, run[c])
-        run[v] = tree[v][1] + longest
-
-    def visit(v):
-        for c in children.get(v, []):
-            visit(c)
-        dn[v] = for_flow(tree[v][2])
-        force(v, max([dn[v], *(dn[c] for c in children.get(v, []))]))
-        for d, _, most in table:
-            if d >= dn[v]:
-                force(v, d)
-                if run[v] <= most + 1e-6:
-                    break
-
-    for root in children[None]:
-        for c in children.get(root, []):
-            visit(c)
-    return {v: (dn[v], round(run[v], 6)) for v in dn}
+def sized_by_paths(tree):
+    """Rows of equal flow that hang together have one diameter: the first, from the greatest that lies below them or that their
+    flow asks for, whose limit no path downwards from their top exceeds. Runs are added up along every path."""
+    pipes = {v: row for v, row in tree.items() if row[0] is not None}
+    known = [(d[0], d[1], d[2]) for d in r.DIAMETERS]
+
+    def top_of(v):
+        while (up := pipes[v][0]) in pipes and abs(pipes[up][2] - pipes[v][2]) < 1e-6:
+            v = up
+        return v
+
+    def hops(v):
+        n = 0
+        while v in pipes:
+            v, n = pipes[v][0], n + 1
+        return n
+
+    rows = {}
+    for v in pipes:
+        rows.setdefault(top_of(v), []).append(v)
+    dn = {}
+
+    def runs():
+        found = {}
+        for v in dn:
+            total, at = 0.0, v
+            while at in dn and dn[at] == dn[v]:
+                total += pipes[at][1]
+                found[at] = max(found.get(at, 0.0), total)
+                at = pipes[at][0]
+        return found
+
+    for top in sorted(rows, key=hops, reverse=True):
+        below = [dn[v] for v in pipes if v in dn and pipes[v][0] in rows[top]]
+        least = max([next((d for d, most, _ in known if pipes[top][2] <= most + 1e-9), known[-1][0]), *below])
+        for d, _, limit in (x for x in known if x[0] >= least):
+            dn.update(dict.fromkeys(rows[top], d))
+            if runs()[top] <= limit + 1e-6:
+                break
+    return {v: (dn[v], round(run, 6)) for v, run in runs().items()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -62,7 +65,7 @@ def test_run_limits(spark, seed):
     tree = {i: t for i, t in tree.items() if t[2] > 0 or t[0] is None}
     df = spark.createDataFrame([(i, *t) for i, t in tree.items()], "node long, parent long, length double, flow double")
     got = {x["node"]: x["dn"] for x in network.run_limited_dn(df).collect()}
-    assert got == {v: d for v, (d, _) in sized_by_hand(tree | {0: (None, 0.0, flow[0])}).items()}
+    assert got == {v: d for v, (d, _) in sized_by_paths(tree | {0: (None, 0.0, flow[0])}).items()}
 
 
 def test_run_limit_case(spark):

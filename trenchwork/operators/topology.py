@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..store import materialize
 from . import network
-from .spatial import edges_of, points_inside
+from .spatial import edges_of, points_inside, within
 
 
 def _cell(c: Column, reach: float) -> Column:
@@ -20,6 +21,41 @@ def _boxed(df: DataFrame, x: tuple[str, str], y: tuple[str, str], reach: float,
     return df.select("*", over(x, "cx")).select("*", over(y, "cy"))
 
 
+def virtual_nodes(nodes: DataFrame, ends: DataFrame, snap: float = 4.0) -> DataFrame:
+    """(ord, node, virtual, metres) of ends (ord, x, y), taken in their order: the nearest of the nodes (node, place, x, y) and of
+    the virtual nodes made before it, at most ``snap`` away; of equals the later one, virtual nodes last. An end without
+    any is a virtual node itself (``virtual``: the end that made it), which later ends may find.
+
+    An end makes a node if no node and no earlier such end is near. This is settled in rounds: an end whose earlier neighbours
+    are all settled and make none makes one, and settles its later neighbours. Ends of one place are settled as their first.
+    """
+    at = ends.select(F.struct("x", "y").alias("spot"), "ord")
+    firsts = materialize(at.groupBy("spot").agg(F.min("ord").alias("id")).select("id", "spot.x", "spot.y"), "end-places")
+    fixed = nodes.select("node", "place", "x", "y")
+    near_fixed = within(firsts, fixed.select(F.col("place").alias("id"), "x", "y"), snap).select(F.col("left_id").alias("id")).distinct()
+    open_ = materialize(firsts.join(near_fixed, "id", "left_anti"), "ends-open")
+    pairs = materialize(within(open_, open_, snap).where("right_id < left_id").select(F.col("left_id").alias("later"), F.col("right_id").alias("earlier")), "end-pairs")
+    left, made = open_.select("id"), []
+    while left.limit(1).count():
+        fresh = materialize(left.join(pairs.select(F.col("later").alias("id")).distinct(), "id", "left_anti"), "ends-made")
+        made.append(fresh)
+        settled = materialize(pairs.join(fresh.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct().unionByName(fresh), "ends-settled")
+        left = materialize(left.join(settled, "id", "left_anti"), "ends-left")
+        gone = lambda c: settled.withColumnRenamed("id", c)  # noqa: B023, E731
+        pairs = materialize(pairs.join(gone("later"), "later", "left_anti").join(gone("earlier"), "earlier", "left_anti"), "end-pairs")
+    makers = firsts.limit(0).select("id")
+    for fresh in made:
+        makers = makers.unionByName(fresh)
+    virtual = materialize(firsts.join(makers, "id", "left_semi"), "ends-virtual")
+    own = ends.select(F.col("ord").alias("id"), "x", "y")
+    to = lambda found, kind: found.select(F.col("left_id").alias("ord"), F.col("d"), F.lit(kind).alias("kind"), F.col("right_id").alias("place"))
+    # Virtual nodes lie more than ``snap`` apart, so few of them are near to an end.
+    near = to(within(own, fixed.select(F.col("place").alias("id"), "x", "y"), snap), 0).unionByName(to(within(own, virtual, snap), 1).where("place <= ord"))
+    best = near.groupBy("ord").agg(F.min(F.struct("d", F.negative("kind").alias("k"), F.negative("place").alias("p"))).alias("b"))
+    named = best.select("ord", F.when(F.col("b.k") == 0, F.negative("b.p")).alias("place"), F.when(F.col("b.k") != 0, F.negative("b.p")).alias("virtual"), F.col("b.d").alias("metres"))
+    return named.join(fixed.select("place", "node"), "place", "left").select("ord", "node", "virtual", "metres")
+
+
 def resolved_next(segments: DataFrame, sources: DataFrame, chambers: DataFrame) -> DataFrame:
     """(id, next_id, next_kind) of segments (id, next_id): what the id names, sources before segments before chambers; null if nothing."""
     named = segments.select("id", "next_id")

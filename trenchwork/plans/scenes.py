@@ -58,14 +58,16 @@ def chamber_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH o AS (SELECT c_custkey AS id, (c_custkey % 40 / 4.0)::DOUBLE AS flow FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT s_suppkey AS point, s_suppkey * 5 AS id FROM supplier) "
-    "SELECT coalesce(o.id, p.id) AS id, point, flow FROM o FULL JOIN p ON o.id = p.id"
+    "WITH o AS (SELECT c_custkey AS id, (c_custkey % 40 / 4.0)::DOUBLE AS flow FROM customer WHERE c_custkey % 3 <> 0), "
+    "p AS (SELECT s_suppkey AS point, CASE WHEN s_suppkey % 11 > 0 THEN s_suppkey * 5 END AS oks_id, -s_suppkey - 1 AS id, (s_suppkey % 7)::DOUBLE AS flow FROM supplier) "
+    "SELECT o.id, point, CASE WHEN o.flow > 0 THEN o.flow ELSE coalesce(p.flow, o.flow) END AS flow FROM o LEFT JOIN p ON p.oks_id = o.id UNION ALL SELECT coalesce(oks_id, id), point, flow FROM p WHERE oks_id IS NULL OR oks_id NOT IN (SELECT id FROM o)"
 )
 def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consumers with their connection points, where there are any."""
-    k = F.col("c_custkey")
+    """Consumers with their connection points, where there are any, and points that are consumers by themselves."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
     consumers = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(k.alias("id"), (k % 40 / 4.0).alias("flow"))
-    return topology.terminals(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 5).alias("oks_id")), consumers)
+    points = table(spark, sf_dir, "supplier").select(s.alias("point"), F.when(s % 11 > 0, s * 5).alias("oks_id"), (-s - 1).alias("id"), (s % 7).cast("double").alias("flow"))
+    return topology.terminals(points, consumers)
 
 
 @query(

@@ -10,17 +10,25 @@ from pyspark.sql.window import Window
 def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     """(key, start, end, k): pieces of the line between neighbouring end points, each with the greatest
     ``k`` of the spans (key, s0, s1, k, zone) that cover it; pieces that touch are joined if their factor
-    and their set of zones agree."""
+    and their set of zones agree.
+
+    All of it runs on one partitioning by the key: end points are numbered by a window, a span covers the pieces from the
+    number of its start to the one before that of its end, and sets of zones are told apart by their size and a 64-bit hash.
+    """
     line = Window.partitionBy(key).orderBy("at")
-    cuts = spans.select(key, F.explode(F.array("s0", "s1")).alias("at")).distinct().select(key, "at", F.lead("at").over(line).alias("to"), F.row_number().over(line).alias("piece"))
-    # A span covers the pieces from the cut at its start to the one before the cut at its end: only those rows are made.
-    starts, ends = cuts.select(key, F.col("at").alias("s0"), F.col("piece").alias("_first")), cuts.select(key, F.col("at").alias("s1"), F.col("piece").alias("_last"))
-    over = spans.join(starts, [key, "s0"]).join(ends, [key, "s1"]).where("_last > _first").select(key, "k", "zone", F.explode(F.sequence("_first", F.col("_last") - 1)).alias("piece"))
-    pieces = cuts.where(F.col("to") - F.col("at") >= 1e-9)
-    covered = over.groupBy(key, "piece").agg(F.max("k").alias("k"), F.array_sort(F.collect_set("zone")).alias("zones")).join(pieces, [key, "piece"])
-    order = Window.partitionBy(key).orderBy("at")
-    same = (F.abs(F.lag("to").over(order) - F.col("at")) < 1e-9) & (F.abs(F.lag("k").over(order) - F.col("k")) < 1e-12) & (F.lag("zones").over(order) == F.col("zones"))
-    runs = covered.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = spans.select(key, "s0", "s1", "k", "zone").withColumn("_id", F.monotonically_increasing_id())
+    ends = marked.select(key, "_id", "k", "zone", F.explode(F.array("s0", "s1")).alias("at")).withColumn("piece", F.dense_rank().over(line))
+    own = ends.groupBy(key, "_id", "k", "zone").agg(F.min("piece").alias("_first"), F.max("piece").alias("_last")).where("_last > _first")
+    over = own.select(key, "k", "zone", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)).alias("piece"))
+    once = over.groupBy(key, "piece", "zone").agg(F.max("k").alias("k"))
+    covered = once.groupBy(key, "piece").agg(F.max("k").alias("k"), F.count("*").alias("zones"), F.bit_xor(F.xxhash64("zone")).alias("which"))
+    cuts = ends.groupBy(key, "piece").agg(F.max("at").alias("at"))
+    both = cuts.unionByName(covered, allowMissingColumns=True).groupBy(key, "piece").agg(*[F.max(c).alias(c) for c in ("at", "k", "zones", "which")])
+    order = Window.partitionBy(key).orderBy("piece")
+    pieces = both.withColumn("to", F.lead("at").over(order)).where(F.col("k").isNotNull() & (F.col("to") - F.col("at") >= 1e-9))
+    same = (F.abs(F.lag("to").over(order) - F.col("at")) < 1e-9) & (F.abs(F.lag("k").over(order) - F.col("k")) < 1e-12)
+    same = same & (F.lag("zones").over(order) == F.col("zones")) & (F.lag("which").over(order) == F.col("which"))
+    runs = pieces.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(key, "run").agg(F.min("at").alias("start"), F.max("to").alias("end"), F.max("k").alias("k")).drop("run")
 
 

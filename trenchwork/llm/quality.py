@@ -160,11 +160,15 @@ def _starts(rows: DataFrame) -> DataFrame:
     return out
 
 
-def robust_estimates(rows: DataFrame, most_steps: int = 12, half: float = 0.75) -> DataFrame:
-    """Mean and covariance of each key of ``rows`` (key, x_0.. x_4), one row for each key."""
+def robust_estimates(rows: DataFrame, half: float = 0.75) -> DataFrame:
+    """Mean and covariance of each key of ``rows`` (key, x_0.. x_4), one row for each key.
+
+    Each start is concentrated twice, then that of the least determinant until no group's falls any more. A step that
+    does not make a group's determinant fall is not taken, so determinants only fall, and there is an end (they have a floor).
+    """
     scale = half / chi2_cdf(chi2_quantile(half, D), D + 2)
-    stats = _few(_whitened(_starts(rows)), "mcd-start")
-    for step in range(most_steps):
+    stats, step = _few(_whitened(_starts(rows)), "mcd-start"), 0
+    while True:
         near = _with_distance(rows, stats, ("start",))
         limits = _few(near.groupBy("key", "start").agg(F.percentile_approx("distance", half, 1000).alias("limit")), f"mcd-limits-{step}")
         inner = join_small(near, limits, ["key", "start"]).where("distance <= limit")
@@ -177,9 +181,15 @@ def robust_estimates(rows: DataFrame, most_steps: int = 12, half: float = 0.75)
             best = stats.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("best")).select("key", "best.start")
             stats = _few(stats.join(best, ["key", "start"]), "mcd-best")
         elif step > 1:
-            fallen = stats.join(before.select("key", F.col("log_det").alias("was")), "key").where(F.abs(F.col("was") - F.col("log_det")) > 1e-3)
-            if not fallen.limit(1).count():
+            both = stats.select("key", F.struct(*stats.columns).alias("new")).join(before.select("key", F.struct(*stats.columns).alias("old")), "key")
+            fallen = F.col("old.log_det") - F.col("new.log_det") > 1e-3
+            stats = _few(both.select(F.when(fallen, F.col("new")).otherwise(F.col("old")).alias("row"), fallen.alias("fallen")).select("row.*", "fallen"), f"mcd-kept-{step}")
+            if not stats.where("fallen").limit(1).count():
                 break
+            stats = stats.drop("fallen")
+        elif not stats.limit(1).count():
+            break
+        step += 1
     return stats.select("key", *MEANS, *COVARIANCES)
 
 

@@ -31,14 +31,19 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def one_row_each(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(_key, doc_id, component_id): a row for each key, however many rows have it, as all of those share them."""
+    labels = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component_id"))
+    return labels.join(keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id")), "_key")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of five-word Jaccard similarity 0.8 or more: that with the smallest doc_id, null last.
     Of repeated rows one stays; a document without words is a group of its own, so equal ones of those are one row too."""
     keyed = docs.withColumn("_key", row_key())
     groups = jaccard.similar_components(keyed.withColumn("doc_id", F.col("_key")), k=5, percent=80)
-    named = groups.select(F.col("doc_id").alias("_key"), "component_id").join(keyed.select("_key", "doc_id"), "_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("least")
-    first = materialize(named.groupBy("component_id").agg(least).select("least._key"), "kept-keys")
+    first = materialize(one_row_each(keyed, groups).groupBy("component_id").agg(least).select("least._key"), "kept-keys")
     kept = join_small(keyed, first, "_key", "left_semi")
     again = keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return (kept.dropDuplicates(["doc_id", "text"]) if again else kept).drop("_key")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trenchwork.functions import rules as r
-from trenchwork.operators import reconstruction, topology
+from trenchwork.operators import network, reconstruction, topology
 from trenchwork.sources import partitions
 
 ELEMENTS = "element string, next string, length double, flow double, dn int"
@@ -90,3 +90,38 @@ def test_kept_tables_are_pruned_and_replaced(spark, tmp_path):
     partitions.save_result(result, str(tmp_path / "results"), "job-1")
     assert partitions.load_result(spark, str(tmp_path / "results"), "job-1", 2).count() == 1
     assert {tuple(x) for x in partitions.previews(spark, str(tmp_path / "results"), "job-1").collect()} == {(1, "heat_network", 2, 11.0, 5.0), (2, "heat_chamber", 1, None, 9.0)}
+
+
+@pytest.mark.parametrize(
+    ("edges", "kept", "want"),
+    [
+        ([(1, 2), (2, 3), (3, 4)], [], {(1, 2, 3, 4)}),
+        ([(1, 2), (3, 2), (3, 4), (3, 5)], [], {(1, 2, 3), (3, 4), (3, 5)}),
+        ([(1, 2), (2, 3), (3, 4)], [3], {(1, 2, 3), (3, 4)}),
+        ([(1, 2), (2, 3), (3, 1)], [], {(1, 2, 3, 1)}),
+        ([(5, 6), (6, 7), (7, 5), (7, 8)], [], {(7, 5, 6, 7), (7, 8)}),
+        ([(1, 2), (1, 2), (4, 4)], [], {(1, 2, 1)}),
+        ([(i, i + 1) for i in range(40)], [], {tuple(range(41))}),
+    ],
+)
+def test_chains_are_contracted(spark, edges, kept, want):
+    df = spark.createDataFrame([(a, b, 1.5) for a, b in edges], "a long, b long, metres double")
+    got = network.contracted(df, spark.createDataFrame([(k,) for k in kept], "node long")).collect()
+    assert len(got) == len(want)
+    for x in got:
+        path = tuple(x["path"])
+        assert path in want or path[::-1] in want
+        assert (x["a"], x["b"], x["metres"]) == (path[0], path[-1], 1.5 * (len(path) - 1))
+
+
+def test_plans_are_priced_apart(spark):
+    """Two plans with the same node numbers; the second has a longer run and an existing chamber as its root."""
+    rows = [("p", 1, None, 0.0, 0.0, None), ("p", 2, 1, 100.0, 0.0, None), ("p", 3, 2, 50.0, 3.0, None), ("p", 4, 2, 50.0, 3.0, None), ("q", 1, None, 0.0, 0.0, "chamber"), ("q", 2, 1, 200.0, 3.0, None)]
+    trees = spark.createDataFrame(rows, "plan string, node long, parent long, length double, flow double, root_kind string")
+    left = spark.createDataFrame([("q", 2.0)], "plan string, flow double")
+    got = {x["plan"]: x for x in network.plans_priced(trees, left).collect()}
+    price = {d[0]: d[4] for d in r.DIAMETERS}
+    assert got["p"]["pipes"] == 100 * price[65] + 100 * price[50] and got["p"]["chambers"] == 3e6 and got["p"]["penalty"] == 0
+    assert got["q"]["pipes"] == 200 * price[65] and got["q"]["chambers"] == 5e6 and got["q"]["penalty"] == 101e6
+    assert network.plans_priced(trees, left, limited=False).where("plan = 'q'").first()["pipes"] == 200 * price[50]
+    assert got["q"]["score"] == pytest.approx(0.7 * (200 * price[65] + 106e6) / 25e6 + 0.3 * 2)

@@ -247,3 +247,66 @@ def run_limited_dn(tree: DataFrame, rules: r.Rules = r.DEFAULT) -> DataFrame:
     if done is None:
         return pending.select(F.col("unit").alias("node"), F.lit(0).alias("dn"), F.col("length").alias("run"))
     return tops.join(done, "unit").select("node", "dn", "run")
+
+
+def contracted(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """(a, b, metres, path): the chains of edges (a, b, metres) between nodes that are kept: those of ``kept`` (node), those where not
+    just two edges meet, and of a ring without any of these its least node. ``path`` lists the nodes of a chain in their order, from a to b.
+
+    Each edge is an arc in either direction, and the arc behind it is that which leaves its far node, where just two edges meet.
+    Doubled jumps along these tell every arc the last one of its chain and how far it is; of the two directions one is taken.
+    Two edges between the same nodes are two chains; an edge from a node to itself is none.
+    """
+    numbered = materialize(edges.where("a <> b").select("a", "b", "metres").withColumn("edge", F.monotonically_increasing_id()), "chain-edges")
+    one = lambda a, b, way: numbered.select("edge", F.lit(way).alias("way"), F.col(a).alias("u"), F.col(b).alias("v"), "metres")
+    arcs = materialize(one("a", "b", 0).unionByName(one("b", "a", 1)), "chain-arcs")
+    inner = arcs.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).where("n = 2").join(kept.select("node"), "node", "left_anti").select("node")
+    # A part of the graph whose nodes are all inner is a ring, or several edges between two nodes.
+    labels = components(numbered, "chain-parts")
+    stop = arcs.select(F.col("u").alias("node")).distinct().join(inner, "node", "left_anti")
+    stopped = labels.join(stop, "node", "left_semi").select("label").distinct()
+    broken = labels.join(stopped, "label", "left_anti").select(F.col("label").alias("node")).distinct()
+    inner = materialize(inner.join(broken, "node", "left_anti"), "chain-inner")
+    after = arcs.select(F.col("edge").alias("_edge"), F.col("way").alias("_way"), F.col("u").alias("v")).join(inner.withColumnRenamed("node", "v"), "v", "left_semi")
+    behind = arcs.join(after, "v").where("edge <> _edge")
+    name = lambda e, w: F.col(e) * 2 + F.col(w)
+    tree = arcs.select(name("edge", "way").alias("node"), "u", "v", "metres").join(behind.select(name("edge", "way").alias("node"), name("_edge", "_way").alias("parent")), "node", "left")
+    tree = materialize(tree.withColumn("length", F.lit(0.0)), "chain-tree")
+    way = to_source(tree.select("node", "parent", "length")).drop("metres").join(tree.select("node", "u", "v", "metres"), "node")
+    # A chain has the least of its arcs' numbers, halved, in common with its reverse; the direction of the lesser last arc is taken.
+    whole = way.groupBy("source").agg(F.min(F.floor(F.col("node") / 2)).alias("_least"), F.sum("metres").alias("metres"), F.max(F.struct("hops", "u")).alias("_first"), F.min(F.struct("hops", "v")).alias("_end"), F.sort_array(F.collect_list(F.struct(F.negative("hops").alias("h"), "u"))).alias("_nodes"))
+    taken = whole.groupBy("_least").agg(F.min_by(F.struct("metres", "_first", "_end", "_nodes"), F.struct("_first.u", "source")).alias("c")).select("c.*")
+    nodes = F.concat(F.transform("_nodes", lambda x: x["u"]), F.array("_end.v"))
+    return taken.select(F.col("_first.u").alias("a"), F.col("_end.v").alias("b"), "metres", nodes.alias("path"))
+
+
+def plans_priced(trees: DataFrame, unconnected: DataFrame, limited: bool = True, rules: r.Rules = r.DEFAULT) -> DataFrame:
+    """(plan, pipes, chambers, penalty, length, score): all plans of a run priced in one job.
+
+    Plans are forests (plan, node, parent, length, flow: own demand; root_kind of roots: ``chamber`` for one that is there already)
+    and consumers that are left (plan, flow). Nodes of all plans are told apart by the plan, so that flows are gathered and diameters
+    sized for all of them at once; ``limited`` also keeps to the greatest runs. Where two pipes or more meet in a node that is no root,
+    a chamber is built; a pipe that joins an existing chamber is a tie-in.
+    """
+    keyed = materialize(trees.select(F.struct("plan", "node").alias("node"), F.when(F.col("parent").isNotNull(), F.struct("plan", F.col("parent").alias("node"))).alias("parent"), "plan", "length", F.coalesce("flow", F.lit(0.0)).alias("own"), "root_kind"), "plans")
+    flows = subtree_sums(keyed.select("node", "parent", "length", F.col("own").alias("flow")), "flow").select("node", F.col("total").alias("flow"))
+    pipes = keyed.where("parent is not null").join(flows, "node")
+    if limited:
+        sized = run_limited_dn(keyed.select("node", "parent", "length").join(flows, "node"), rules).select("node", "dn")
+    else:
+        sized = flows.select("node", r.dn_for_flow(F.col("flow"), rules).alias("dn"))
+    priced = materialize(pipes.join(sized, "node").withColumn("cost", F.floor(F.col("length") * r.pipe_price(F.col("dn"), rules) * 100 + 0.5)), "plans-priced")
+    sums = priced.groupBy("plan").agg((F.sum("cost") / 100).alias("pipes"), F.sum("length").alias("length"))
+    roots = keyed.where("parent is null").select("node", F.coalesce("root_kind", F.lit("source")).alias("_kind"))
+    ends = priced.select("plan", F.col("parent").alias("node"), "dn").join(roots, "node", "left")
+    meets = ends.where("_kind is null").groupBy("plan", "node").agg(F.count("*").alias("n"), F.max("dn").alias("dn")).where("n > 1")
+    built = meets.groupBy("plan").agg(F.sum(r.chamber_price(F.col("dn"), rules)).alias("built"))
+    tied = ends.where("_kind = 'chamber'").groupBy("plan").agg((F.count("*") * rules.tie_in).alias("tied"))
+    left = unconnected.groupBy("plan").agg(F.sum(r.unconnected_penalty(F.col("flow"), rules)).alias("penalty"))
+    out = trees.select("plan").distinct()
+    for part in (sums, built, tied, left):
+        out = out.join(part, "plan", "left")
+    out = out.fillna(0.0).withColumn("chambers", F.col("built") + F.col("tied"))
+    total = F.col("pipes") + F.col("chambers") + F.col("penalty")
+    score = rules.cost_weight * total / rules.cost_base + rules.length_weight * F.col("length") / rules.length_base
+    return out.select("plan", "pipes", "chambers", "penalty", "length", score.alias("score"))

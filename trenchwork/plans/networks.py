@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules as r
-from ..operators import reconstruction, topology
+from ..operators import network, reconstruction, topology
 from ..sources import partitions
 from ..store import new_path
-from .catalogue import _DN, query, table, units
+from .catalogue import _DN, _PRICE_OF, _TIER_OF, query, table, units
 from .scenes import _PIPES
 
 _ELEMENTS = "SELECT c_custkey AS element, CASE WHEN c_custkey >= 5 THEN c_custkey // 3 END AS next, CASE WHEN c_custkey % 4 > 0 THEN (c_custkey % 50 + 20)::DOUBLE END AS length, (c_custkey % 40 / 10.0)::DOUBLE AS flow, [50, 80, 100, 200][(c_custkey % 4 + 1)::INTEGER] AS dn FROM customer"
@@ -68,3 +69,55 @@ def kept_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, rest in (("one", 0), ("two", 1)):
         partitions.save_features(features.where(F.col("p_partkey") % 2 == rest), at, name)
     return partitions.load_features(spark, at, "two", "SOURCE", "UNKNOWN").groupBy("dataset", "kind").agg(F.count("*").alias("n"), F.sum("p_size").alias("sizes"))
+
+
+#: Plans whose nodes are the customers of a nation, at most nine deep, and 40 roots that are there already.
+_PLANS = (
+    "w AS (SELECT c_nationkey AS plan, c_custkey AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, c_acctbal FROM customer), "
+    "tr AS (SELECT a.plan, a.node, b.node AS parent, (a.node % 40 + 1)::DOUBLE AS length, (a.node % 9 / 2.0)::DOUBLE AS flow, a.node % 2 = 0 AS chamber FROM w a LEFT JOIN w b ON b.plan = a.plan AND b.i = a.i // 2 AND a.i > 3)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_DN}, {_PLANS}, up(plan, node, ancestor) AS (SELECT plan, node, node FROM tr UNION ALL SELECT up.plan, up.node, tr.parent FROM up JOIN tr ON tr.plan = up.plan AND tr.node = up.ancestor WHERE tr.parent IS NOT NULL), "
+    "f AS (SELECT up.plan, up.ancestor AS node, sum(tr.flow) AS flow FROM up JOIN tr ON tr.plan = up.plan AND tr.node = up.node GROUP BY ALL), "
+    "p AS (SELECT tr.plan, tr.node, parent, length, coalesce((SELECT min(d.dn) FROM dims d WHERE f.flow <= cap + 1e-9), 1400) AS dn FROM tr JOIN f ON f.plan = tr.plan AND f.node = tr.node WHERE parent IS NOT NULL), "
+    f"c AS (SELECT plan, floor(length * {_PRICE_OF.format(dn='p.dn')} * 100 + 0.5)::BIGINT AS cost, length FROM p), "
+    "s AS (SELECT plan, sum(cost) AS pipes, sum(length) AS length FROM c GROUP BY plan), "
+    "r AS (SELECT plan, node, chamber FROM tr WHERE parent IS NULL), "
+    f"m AS (SELECT plan, sum({_TIER_OF.format(dn='dn')}) AS built FROM (SELECT p.plan, p.parent, max(dn) AS dn FROM p JOIN tr ON tr.plan = p.plan AND tr.node = p.parent AND tr.parent IS NOT NULL GROUP BY p.plan, p.parent HAVING count(*) > 1) GROUP BY plan), "
+    "x AS (SELECT p.plan, count(*) * 5e6 AS tied FROM p JOIN r ON r.plan = p.plan AND r.node = p.parent AND r.chamber GROUP BY p.plan), "
+    "l AS (SELECT s_nationkey AS plan, sum(100e6 + 5e5 * (s_suppkey % 7)) AS penalty FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY ALL), "
+    "v AS (SELECT plan, sum(pipes) AS pipes, sum(chambers) AS chambers, sum(penalty) AS penalty, sum(length) AS length FROM (SELECT DISTINCT plan, 0 AS pipes, 0 AS chambers, 0 AS penalty, 0 AS length FROM tr UNION ALL SELECT plan, pipes, 0, 0, length FROM s UNION ALL SELECT plan, 0, built, 0, 0 FROM m UNION ALL SELECT plan, 0, tied, 0, 0 FROM x UNION ALL SELECT plan, 0, 0, penalty, 0 FROM l) GROUP BY plan) "
+    "SELECT plan, pipes::BIGINT AS pipes, chambers::BIGINT AS chambers, penalty::BIGINT AS penalty, length::BIGINT AS length FROM v WHERE plan IN (SELECT plan FROM tr)"
+)
+def plans_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many plans sized and priced in one job."""
+    node = F.col("c_custkey")
+    numbered = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("plan"), node.alias("node"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("i"))
+    above = numbered.select("plan", F.col("i").alias("_i"), F.col("node").alias("parent"))
+    n = F.col("node")
+    trees = numbered.withColumn("_i", F.when(F.col("i") > 3, F.floor(F.col("i") / 2))).join(above, ["plan", "_i"], "left")
+    trees = trees.select("plan", "node", "parent", (n % 40 + 1).cast("double").alias("length"), (n % 9 / 2.0).alias("flow"), F.when(n % 2 == 0, "chamber").alias("root_kind"))
+    left = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("plan"), (F.col("s_suppkey") % 7).cast("double").alias("flow"))
+    priced = network.plans_priced(trees, left, limited=False)
+    return priced.select("plan", units(F.col("pipes"), 100).alias("pipes"), *[units(F.col(c), 1).alias(c) for c in ("chambers", "penalty", "length")])
+
+
+_ROADS = "SELECT c_custkey AS a, c_custkey + 1 AS b, (c_custkey % 9 + 1)::DOUBLE AS metres FROM customer WHERE c_custkey % 10 < 7 UNION ALL SELECT c_custkey - 2, c_custkey + 10, 5::DOUBLE FROM customer WHERE c_custkey % 30 = 5"
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY a, b) AS id FROM ({_ROADS})), arc AS (SELECT id, a AS u, b AS v, metres FROM e UNION ALL SELECT id, b, a, metres FROM e), "
+    "deg AS (SELECT u AS node, count(*) AS n FROM arc GROUP BY u), inn AS (SELECT node FROM deg WHERE n = 2 AND node % 50 <> 2), "
+    "w(start, tip, last, metres, path) AS (SELECT u, v, id, metres, u || '-' || v FROM arc WHERE u NOT IN (SELECT node FROM inn) UNION ALL SELECT start, v, id, w.metres + arc.metres, path || '-' || v FROM w JOIN arc ON arc.u = w.tip AND arc.id <> w.last WHERE w.tip IN (SELECT node FROM inn)) "
+    "SELECT start AS a, tip AS b, metres, path FROM w WHERE tip NOT IN (SELECT node FROM inn) AND start < tip"
+)
+def contracted_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of edges put together at nodes where nothing else begins."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    edges = customers.where("c_custkey % 10 < 7").select(k.alias("a"), (k + 1).alias("b"), (k % 9 + 1).cast("double").alias("metres")).unionByName(customers.where("c_custkey % 30 = 5").select((k - 2).alias("a"), (k + 10).alias("b"), F.lit(5.0).alias("metres")))
+    chains = network.contracted(edges, customers.where("c_custkey % 50 = 2").select(k.alias("node")))
+    turned = F.when(F.col("a") <= F.col("b"), F.col("path")).otherwise(F.reverse("path"))
+    return chains.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "metres", F.array_join(turned.cast("array<string>"), "-").alias("path"))

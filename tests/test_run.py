@@ -76,7 +76,7 @@ def test_a_tap_on_an_existing_pipe_and_depths(spark, tmp_path):
     path = written(tmp_path, [feature("oks_future", "Polygon", square(1200, 1100, 20), id="b", flow_tph=20.0), feature("restriction", "LineString", [[1150.0, 1050.0], [1250.0, 1050.0]], restriction_type="gas_pipeline"), feature("heat_network", "LineString", [[0.0, 0.0], [0.0, 5.0]], id="far", dn=100)])
     got = run(spark, path, "PLAN_3D", to=str(tmp_path / "out"))
     pipes = sorted(got.pipes.collect(), key=lambda p: p["piece"])
-    assert sum(p["length"] for p in pipes) == pytest.approx(110) and got.plan.first()["chambers"] == 3e6
+    assert sum(p["length"] for p in pipes) == pytest.approx(110) and {round(p["k_spec"] * 110, 6) for p in pipes} == {110 + 0.25 * 4} and got.plan.first()["chambers"] == 3e6
     assert min(p["depth_from"] for p in pipes) == pytest.approx(2.42) and pipes[0]["depth_to"] == pipes[-1]["depth_from"] == 3
     assert [p["to_id"] for p in pipes[1:]] == [p["from_id"] for p in pipes[:-1]] and pipes[-1]["from_id"] == "b"
     features = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("*/part-*"))))["features"]
@@ -90,6 +90,16 @@ def test_a_tap_on_an_existing_pipe_and_depths(spark, tmp_path):
     assert summary["new_network_length"] == 110 and summary["calculated_cost"] == pytest.approx(summary["construction_cost"] + 3e6)
 
 
+def test_special_crossings_are_priced_and_steep(spark, tmp_path):
+    """A road across the way: 20 m inside and 3 m on either side cost 1.6 times; a second consumer's straight way would cross at a low angle."""
+    road = [[[1040.0, 900.0], [1060.0, 900.0], [1060.0, 1100.0], [1040.0, 1100.0], [1040.0, 900.0]]]
+    town = [feature("source", "Point", [1000.0, 1000.0], id="s"), feature("oks_connection_point", "Point", [1100.0, 1000.0], id="p", oks_id="b", flow_tph=3.0)]
+    path = written(tmp_path, [*town, feature("restriction", "Polygon", road, restriction_type="road")])
+    pipes = run(spark, path).pipes.collect()
+    assert sum(p["length"] for p in pipes) == pytest.approx(100) and sum(p["length"] * p["k_spec"] for p in pipes) == pytest.approx(100 + 0.6 * 26)
+    assert sum(p["cost"] for p in pipes) == pytest.approx((100 + 0.6 * 26) * 74023) and {p["laying_method"] for p in pipes} == {"special"}
+
+
 def test_collections_with_equal_and_no_orders(spark, tmp_path):
     rows = spark.createDataFrame([(None, "1"), ("a", "2"), ("a", "3"), ("a", "4"), ("b", "5"), (None, "6")], "k string, feature string").repartition(3)
     geojson.write_collection(rows, "k", str(tmp_path), "n")

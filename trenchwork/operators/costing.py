@@ -16,13 +16,13 @@ def pipe_cost(length: Column, dn: Column, k_spec: Column, depth_from: Column, de
 
 
 def roll_up(segments: DataFrame, chambers: DataFrame, tie_ins: DataFrame, unconnected: DataFrame, key: str, rules: r.Rules = r.DEFAULT) -> DataFrame:
-    """One row for each plan: pipes, chambers, tie_ins, penalty, total and length. A chamber without a
+    """One row for each plan: pipes, chambers, tie_ins and tie_in_count, penalty, total and length. A chamber without a
     diameter takes the greatest of the segments (from_id, to_id, dn) at it. Pipes are summed in whole hundredths."""
     pipes = segments.groupBy(key).agg((F.sum(F.floor(pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to"), rules) * 100 + 0.5)) / 100).alias("pipes"), F.sum("length").alias("length"))
     ends = segments.select(key, F.explode(F.array("from_id", "to_id")).alias("id"), F.col("dn").alias("_dn")).groupBy(key, "id").agg(F.max("_dn").alias("_dn"))
     sized = chambers.join(ends, [key, "id"], "left").withColumn("_own", F.coalesce("dn", "_dn", F.lit(50)))
     built = sized.groupBy(key).agg(F.sum(r.chamber_price(F.col("_own"), rules)).alias("chambers"))
-    tied = tie_ins.groupBy(key).agg((F.count("*") * rules.tie_in).alias("tie_ins"))
+    tied = tie_ins.groupBy(key).agg((F.count("*") * rules.tie_in).alias("tie_ins"), F.count("*").alias("tie_in_count"))
     left = unconnected.groupBy(key).agg(F.sum(r.unconnected_penalty(F.col("flow"), rules)).alias("penalty"), F.count("*").alias("unconnected"))
     out = pipes
     for part in (built, tied, left):
@@ -31,6 +31,21 @@ def roll_up(segments: DataFrame, chambers: DataFrame, tie_ins: DataFrame, unconn
     return out.withColumn("total", F.col("pipes") + F.col("chambers") + F.col("tie_ins") + F.col("penalty"))
 
 
+# Names of the parts of a plan's cost, in their order.
+BREAKDOWN = (
+    "pipe_cost", "construction_cost", "chamber_construction_cost", "existing_chamber_tie_in_cost", "existing_chamber_tie_in_count", "tie_in_cost",
+    "reconstruction_cost", "chamber_reconstruction_cost", "unconnected_penalty", "calculated_cost",
+)
+
+
+def breakdown(costs: DataFrame) -> DataFrame:
+    """``costs`` of ``roll_up`` with ``breakdown``, a map of the parts of each plan's cost by name. Nothing is replaced in
+    a plan, so what that costs is 0."""
+    built = F.col("pipes") + F.col("chambers") + F.col("tie_ins")
+    parts = dict(zip(BREAKDOWN, (F.col("pipes"), built, F.col("chambers"), F.col("tie_ins"), F.col("tie_in_count"), F.col("tie_ins"), F.lit(0.0), F.lit(0.0), F.col("penalty"), built + F.col("penalty"))))
+    return costs.withColumn("breakdown", F.create_map(*[x for name, value in parts.items() for x in (F.lit(name), value.cast("double"))]))
+
+
 def score(cost: Column, length: Column, rules: r.Rules = r.DEFAULT) -> Column:
     return rules.cost_weight * cost / rules.cost_base + rules.length_weight * length / rules.length_base
 

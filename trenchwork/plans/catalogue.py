@@ -356,7 +356,7 @@ def plan_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("run", "code", "cost", "taps", r.rounded(F.col("score"), 3).alias("score"), "rank")
 
 
-@query(
+_PLAN_COST = (
     f"WITH {_DN}, sg AS (SELECT l_orderkey % 500 AS plan, 'N' || l_partkey % 40 AS f, 'N' || l_suppkey % 40 AS t, floor(l_extendedprice / 100) AS len, [50, 100, 200, 400][(l_linenumber % 4 + 1)::INTEGER] AS dn, [0.0, 1.6, 1.25][(l_linenumber % 3 + 1)::INTEGER]::DOUBLE AS k FROM lineitem), "
     "pr AS (SELECT sg.*, len * d.price * CASE WHEN k > 0 THEN k ELSE 1 END AS cost FROM sg JOIN dims d USING (dn)), pi AS (SELECT plan, sum(floor(cost * 100 + 0.5)::BIGINT)::BIGINT AS pipes, sum(len)::BIGINT AS length FROM pr GROUP BY plan), "
     "en AS (SELECT plan, id, max(dn) AS dn FROM (SELECT plan, f AS id, dn FROM sg UNION ALL SELECT plan, t, dn FROM sg) GROUP BY ALL), "
@@ -368,8 +368,26 @@ def plan_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(coalesce(pipes, 0) + 100 * (coalesce(chambers, 0) + coalesce(tie_ins, 0) + coalesce(penalty, 0)))::BIGINT AS total_cents "
     "FROM pi FULL JOIN cc USING (plan) FULL JOIN ti USING (plan) FULL JOIN un USING (plan)"
 )
+
+
+@query(_PLAN_COST)
 def plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipes, chambers, tie-ins and penalties of plans, in roubles."""
+    whole = lambda c: F.floor(c).cast("long").alias(c)
+    return _costs(spark, sf_dir).select("plan", units(F.col("pipes"), 100).alias("pipes_cents"), *[whole(c) for c in ("length", "chambers", "tie_ins", "penalty", "unconnected")], units(F.col("total"), 100).alias("total_cents"))
+
+
+@query(
+    f"WITH c AS ({_PLAN_COST}), i AS (SELECT plan, unnest([{{'item': 'pipe_cost', 'c': pipes_cents}}, {{'item': 'construction_cost', 'c': pipes_cents + 100 * (chambers + tie_ins)}}, {{'item': 'chamber_construction_cost', 'c': 100 * chambers}}, {{'item': 'existing_chamber_tie_in_cost', 'c': 100 * tie_ins}}, {{'item': 'existing_chamber_tie_in_count', 'c': 100 * (tie_ins // 5000000)}}, {{'item': 'tie_in_cost', 'c': 100 * tie_ins}}, {{'item': 'reconstruction_cost', 'c': 0}}, {{'item': 'chamber_reconstruction_cost', 'c': 0}}, {{'item': 'unconnected_penalty', 'c': 100 * penalty}}, {{'item': 'calculated_cost', 'c': total_cents}}]) AS x FROM c) "
+    "SELECT plan, x.item AS item, x.c::BIGINT AS hundredths FROM i"
+)
+def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each plan's cost by name."""
+    parts = costing.breakdown(_costs(spark, sf_dir)).select("plan", F.explode("breakdown").alias("item", "value"))
+    return parts.select("plan", "item", units(F.col("value"), 100).alias("hundredths"))
+
+
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     plan = (F.col("o_orderkey") % 500).alias("plan")
     node = lambda c: F.concat(F.lit("N"), F.col(c) % 40)
@@ -380,9 +398,7 @@ def plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chambers = orders.select(plan, node("o_custkey").alias("id")).distinct().withColumn("dn", F.lit(None).cast("int"))
     tied, left = orders.where("o_orderstatus = 'F'").select(plan), orders.where("o_orderstatus = 'P'").select(plan, (F.col("o_custkey") % 7).cast("double").alias("flow"))
-    costs = costing.roll_up(segments, chambers, tied, left, "plan")
-    whole = lambda c: F.floor(c).cast("long").alias(c)
-    return costs.select("plan", units(F.col("pipes"), 100).alias("pipes_cents"), *[whole(c) for c in ("length", "chambers", "tie_ins", "penalty", "unconnected")], units(F.col("total"), 100).alias("total_cents"))
+    return costing.roll_up(segments, chambers, tied, left, "plan")
 
 
 @query(

@@ -81,6 +81,45 @@ def _taps(consumers: DataFrame, chambers: DataFrame, pipes: DataFrame) -> DataFr
     return best.select((-F.pmod(F.xxhash64(F.lit("tap"), "site", "at"), F.lit(1 << 61)) - 1 - (1 << 61)).alias("node"), along("x").alias("x"), along("y").alias("y"), "dn").dropDuplicates(["node"])
 
 
+def _zones(features: DataFrame, existing: DataFrame, dn: int, rules: r.Rules) -> DataFrame:
+    """The edges of zones that may be crossed at a price, as ``crossings.zone_bands`` takes them; existing pipes are such zones too."""
+    c = F.col
+    value = lambda place, kind: r.restriction_value(c("rule"), place, rules).cast(kind)
+    special = features.where(c("kind") == "CONSTRAINT").withColumn("rule", r.restriction_rule(F.coalesce("constraint_text", F.lit("default")), rules))
+    special = special.where(value(1, "string") != "AVOID").withColumn("area", F.lower("geometry_type").contains("polygon"))
+    lines = _edges(special, "rule", "area").select("node", "rule", "area", F.lit(False).alias("existing"), F.lit(0.0).alias("foreign"), "x0", "y0", "x1", "y1")
+    old = existing.select("node", F.lit("heat_network").alias("rule"), F.lit(False).alias("area"), F.lit(True).alias("existing"), r.pipe_width(F.coalesce("dn", F.lit(depth.HEAT_DN)), rules).cast("double").alias("foreign"), "x0", "y0", "x1", "y1")
+    clear = crossings.needed_clearance(c("rule"), F.lit(dn), c("foreign"), rules).cast("double")
+    return lines.unionByName(old).select(
+        c("node").alias("zone"), c("x0").alias("ox0"), c("y0").alias("oy0"), c("x1").alias("ox1"), c("y1").alias("oy1"), "area", "existing",
+        F.greatest(value(4, "double"), F.lit(1.0)).alias("k"), value(5, "double").alias("extend"), F.sin(F.radians(value(6, "double"))).alias("least_sine"), clear.alias("clear"),
+    )
+
+
+def _admissible(legs: DataFrame, places: DataFrame, ends: DataFrame, joined: DataFrame, zones: DataFrame) -> DataFrame:
+    """(a, b, far, metres, k_spec) of the legs that cross zones as they must: their length, the same in metres of plain pipe, and
+    the factor that makes their price that of their special and plain parts together.
+
+    A leg that begins or ends within a band, at a consumer or a root, may leave it without crossing the zone.
+    """
+    c = F.col
+    spot = lambda name, k: places.select(c("node").alias(name), c("x").alias(f"x{k}"), c("y").alias(f"y{k}"))
+    mark = lambda df, name, out: df.select(c("node").alias(name), F.lit(True).alias(out)).distinct()
+    placed = legs.join(spot("a", 0), "a").join(spot("b", 1), "b")
+    for name, tap, end in (("a", "tap0", "_end0"), ("b", "tap1", "_end1")):
+        placed = placed.join(mark(joined, name, tap), name, "left").join(mark(ends, name, end), name, "left")
+    placed = placed.fillna(False, ["tap0", "tap1", "_end0", "_end1"]).withColumn("id", F.struct("a", "b"))
+    placed = materialize(placed.select("id", "x0", "y0", "x1", "y1", "tap0", "tap1", "_end0", "_end1", c("metres").alias("far")), "plan-legs-placed")
+    bands = materialize(crossings.zone_bands(placed.drop("_end0", "_end1", "far"), zones), "plan-bands")
+    at_end = (c("_end0") & (c("b0") <= 1e-6)) | (c("_end1") & (c("b1") >= c("far") - 1e-6))
+    seen = bands.join(placed.select("id", "far", "_end0", "_end1"), "id")
+    refused = seen.where(~c("admissible") & ~(at_end & (c("special") == 0) & c("first").isNull())).select("id").distinct()
+    spans = bands.where("special > 0").select(c("id").alias("path"), c("first").alias("s0"), c("last").alias("s1"), "k", "zone")
+    extra = crossings.crossing_extra(spans).select(c("path").alias("id"), "extra")
+    kept = placed.join(refused, "id", "left_anti").join(extra, "id", "left").fillna(0.0, ["extra"])
+    return kept.select("id.a", "id.b", "far", (c("far") + c("extra")).alias("metres"), (1 + c("extra") / c("far")).alias("k_spec"))
+
+
 def run(spark: SparkSession, path: str, mode: str = "PLAN_2D", to: str | None = None, rules: r.Rules = r.DEFAULT) -> Result:
     """Read the files, connect every prospective building that can be reached, and price the plan.
 
@@ -127,13 +166,19 @@ def run(spark: SparkSession, path: str, mode: str = "PLAN_2D", to: str | None =
         places, reach = ends.unionByName(free(numbered(more))), REACH
     places = materialize(places, "places")
     legs = materialize(routes.legs(places.withColumnRenamed("node", "id"), areas, reach), "plan-legs")
-    tree = materialize(routes.steiner_forest(legs, consumers.select("node"), roots.select("node")), "plan-tree")
+    zones = materialize(_zones(features, existing, dn, rules), "zones")
+    legs = materialize(_admissible(legs, places, ends, chambers.select("node").unionByName(taps.select("node")), zones), "plan-admissible")
+    tree = routes.steiner_forest(legs.select("a", "b", "metres"), consumers.select("node"), roots.select("node"))
+    # The search goes by metres of plain pipe; a pipe is as long as it is, and its special metres have their own price.
+    own = legs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("parent")), F.struct(F.col("b").alias("node"), F.col("a").alias("parent")))).alias("e"), F.col("far").alias("length"), "k_spec").select("e.*", "length", "k_spec")
+    tree = tree.drop("length").join(own, ["node", "parent"], "left").withColumns({"length": F.coalesce("length", F.lit(0.0)), "k_spec": F.coalesce("k_spec", F.lit(1.0))})
+    tree = materialize(tree, "plan-tree")
     carried = tree.join(consumers.select("node", "flow"), "node", "left").fillna(0.0, ["flow"])
     flows = network.subtree_sums(carried, "flow").select("node", F.col("total").alias("flow"))
     sized = network.run_limited_dn(tree.join(flows, "node"), rules)
     spot = lambda name: places.select(F.col("node").alias(name), F.struct("x", "y").alias(f"_{name}"))
     pipes = tree.where("parent is not null").join(flows, "node").join(sized, "node").join(spot("node"), "node").join(spot("parent"), "parent")
-    pipes = materialize(pipes.select("node", "parent", "length", "flow", "dn", "_node", "_parent"), "plan-pipes")
+    pipes = materialize(pipes.select("node", "parent", "length", "k_spec", "flow", "dn", "_node", "_parent"), "plan-pipes")
     named = roots.select("node", "id").unionByName(consumers.select("node", "id")).where("id is not null").dropDuplicates(["node"])
     label = lambda c: F.coalesce(F.col(f"_{c}_id"), F.concat(F.lit("P"), F.abs(F.col(c)).cast("string")))
     for c in ("node", "parent"):
@@ -146,7 +191,7 @@ def run(spark: SparkSession, path: str, mode: str = "PLAN_2D", to: str | None =
         pipes = pipes.select("*", F.lit(1).alias("piece"), none.alias("depth_from"), none.alias("depth_to"), F.array("_parent", "_node").alias("path"))
     price = costing.pipe_cost(F.col("length"), F.col("dn"), F.col("k_spec"), F.col("depth_from"), F.col("depth_to"), rules)
     own = F.concat(F.lit("S"), F.abs("node").cast("string"), F.when(F.col("piece") > 1, F.concat(F.lit("-"), F.col("piece").cast("string"))).otherwise(""))
-    segments = pipes.withColumns({"variant_id": F.lit(1).cast("long"), "k_spec": F.lit(1.0), "laying_method": F.lit("new"), "id": own}).withColumn("cost", price)
+    segments = pipes.withColumns({"variant_id": F.lit(1).cast("long"), "laying_method": F.when(F.col("k_spec") > 1, "special").otherwise("new"), "id": own}).withColumn("cost", price)
     segments = materialize(segments, "plan-segments")
     # Where pipes meet that is no place of the input, and where they join an existing pipe, a chamber is built.
     meets = segments.where("_parent_id is null and piece = 1").groupBy("variant_id", F.col("to_id").alias("id"), F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.max("dn").alias("dn"))
@@ -156,10 +201,9 @@ def run(spark: SparkSession, path: str, mode: str = "PLAN_2D", to: str | None =
     tied = segments.where("piece = 1").join(chambers.select(F.col("node").alias("parent")), "parent", "left_semi").select("variant_id")
     left = materialize(consumers.join(tree.select("node"), "node", "left_anti").select(F.lit(1).cast("long").alias("variant_id"), "flow", "id"), "unconnected")
     costs = costing.roll_up(segments, built.select("variant_id", "id", "dn"), tied, left, "variant_id", rules)
-    counts = tied.groupBy("variant_id").agg(F.count("*").alias("tie_in_count"))
     # The ids of a plan's unconnected consumers are one field of its summary.
     lost = left.groupBy("variant_id").agg(F.array_sort(F.collect_list("id")).alias("unconnected_ids"))
-    scored = costs.join(counts, "variant_id", "left").join(lost, "variant_id", "left").fillna(0, ["tie_in_count"])
+    scored = costing.breakdown(costs).join(lost, "variant_id", "left")
     plan = materialize(scored.withColumn("score", r.rounded(costing.score(F.col("total"), F.col("length"), rules), 3)).withColumn("rank", F.lit(1)), "plan")
     inner = segments.where("_parent_id is null or piece > 1").select("variant_id", F.col("to_id").alias("id")).distinct()
     nodes = inner.join(built.select("variant_id", "id"), ["variant_id", "id"], "left_anti")
@@ -189,7 +233,7 @@ def _laid(features: DataFrame, tree: DataFrame, pipes: DataFrame, existing: Data
     to_id = F.when(c("piece") == 1, c("to_id")).otherwise(spot(c("piece") - 1))
     # Depths of pieces are given from the network's side on; those of pipes from the other.
     made = whole.select(
-        c("path").alias("node"), "parent", (c("s1") - c("s0")).alias("length"), "flow", "dn", "_node_id", "_parent_id", from_id.alias("from_id"), to_id.alias("to_id"), "piece",
+        c("path").alias("node"), "parent", (c("s1") - c("s0")).alias("length"), "k_spec", "flow", "dn", "_node_id", "_parent_id", from_id.alias("from_id"), to_id.alias("to_id"), "piece",
         c("depth_to").alias("_d1"), c("depth_from").alias("_d0"), F.array("_a", "_b").alias("path"),
     )
     return made.withColumnsRenamed({"_d1": "depth_from", "_d0": "depth_to"})

@@ -21,7 +21,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 #: Longer runs are hashed one by one.
 LONG = 512
-BATCH_ROWS = 1000
+BATCH_ROWS = 300
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)

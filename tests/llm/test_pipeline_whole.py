@@ -33,3 +33,14 @@ def test_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     clean = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect())
     assert clean == Counter(x for x in rows if item not in x[1])
+
+
+def test_equal_rows_are_joined_once(spark):
+    """Two thousand equal rows with null ids: one row of the join, and one that stays."""
+    text = " ".join(prose(1))
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(1, " ".join(prose(2))), (None, None), (None, None)], "doc_id long, text string"))
+    keyed = docs.withColumn("_key", corpus_pipeline.row_key())
+    groups = keyed.selectExpr("_key as doc_id", "_key as component_id")
+    assert corpus_pipeline.one_row_each(keyed, groups).count() == 3
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([(None, text), (1, " ".join(prose(2))), (None, None)])

@@ -75,3 +75,21 @@ def test_rooted_trees(spark):
     assert all(got[i] == (i - 1, 1) for i in range(51, 201)) and all(got[i] == (i + 1, 1) for i in range(50))
     ways = {x["node"]: (x["source"], x["hops"]) for x in network.to_source(network.rooted(df, spark.createDataFrame([(50,)], "node long"))).collect()}
     assert ways[200] == (50, 150) and ways[0] == (50, 50)
+
+
+def test_points_of_one_place_are_one_corner(spark):
+    """Consumers of one place and a root there are joined by legs of 0 m; n of them make n legs, not n * n."""
+    n, away = 60, [(100 + i, 5.0, 0.0) for i in range(60)]
+    at_root = [(1, 0.0, 0.0), (2, 0.0, 0.0), (900, 0.0, 0.0), (901, 9.0, 0.0)]
+    points = spark.createDataFrame(at_root + away, "id long, x double, y double")
+    none = spark.createDataFrame([], "polygon long, ring array<struct<x:double,y:double>>")
+    legs = routes.legs(points, none, 6.0)
+    assert sorted((x["a"], x["b"], x["metres"]) for x in legs.collect()) == sorted([(1, 2, 0.0), (1, 900, 0.0), (1, 100, 5.0), (100, 901, 4.0)] + [(100, 100 + i, 0.0) for i in range(1, n)])
+    # The root has a greater id than a consumer of its place; another root is farther away.
+    nodes = lambda ids: spark.createDataFrame([(i,) for i in ids], "node long")
+    tree = {x["node"]: (x["parent"], x["length"]) for x in routes.steiner_forest(legs, nodes([1, 2] + [100 + i for i in range(n)]), nodes([900, 901])).collect()}
+    assert {1, 2, 900, *range(100, 100 + n)} <= set(tree) and sum(length for _, length in tree.values()) == 4.0
+    for v in (1, 2, 100, 100 + n - 1):
+        while tree[v][0] is not None:
+            v = tree[v][0]
+        assert v in (900, 901)

@@ -112,22 +112,25 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     """(node, metres, source, via): the shortest way from any source along edges (a, b, metres) that can be
     gone both ways, at most ``rounds`` of them if given, and the node before on it; the smallest source, then
     node before, of equals. Sources (node) may carry a ``label`` to be named by. Each round joins the nodes that
-    changed only, and is a written table."""
+    changed only, and is a written table. An edge of 0 m is gone only where it makes the way or the source less, so that
+    nodes 0 m apart do not name each other as the one before."""
     both = materialize(edges.select("a", "b", "metres").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres")), "ways")
     label = F.col("label") if "label" in sources.columns else F.col("node")
-    held = sources.select("node", F.lit(0.0).alias("metres"), label.alias("source"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("via"), F.lit(True).alias("fresh"))
+    held = sources.select("node", F.lit(0.0).alias("metres"), label.alias("source"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("via"), F.lit(0).alias("flat"), F.lit(True).alias("fresh"))
+    rank = lambda x: F.struct(x["metres"].alias("m"), x["source"].alias("s"), x["flat"].alias("f"), F.when(x["flat"] == 0, x["via"]).alias("v"))
     turn = 0
     while rounds is None or turn < rounds:
         turn += 1
         frontier = held.where("fresh").select(F.col("node").alias("a"), F.col("metres").alias("_m"), "source")
         step = join_small(both, frontier, "a")
-        offers = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("_m") + F.col("metres")).alias("metres"), "source", F.col("a").alias("via"))).alias("n"))
-        old = held.select("node", F.struct("metres", "source", "via").alias("o"))
-        merged = old.join(offers, "node", "full").select("node", F.least("o", "n").alias("x"), (F.col("o").isNull() | (F.col("n") < F.col("o"))).alias("fresh"))
-        held = materialize(merged.select("node", "x.metres", "x.source", "x.via", F.coalesce("fresh", F.lit(False)).alias("fresh")), "paths")
+        offers = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("_m") + F.col("metres")).alias("metres"), "source", (F.col("metres") == 0).cast("int").alias("flat"), F.col("a").alias("via"))).alias("n"))
+        old = held.select("node", F.struct("metres", "source", "flat", "via").alias("o"))
+        better = F.col("o").isNull() | (F.col("n").isNotNull() & (rank(F.col("n")) < rank(F.col("o"))))
+        merged = old.join(offers, "node", "full").select("node", F.when(better, F.col("n")).otherwise(F.col("o")).alias("x"), better.alias("fresh"))
+        held = materialize(merged.select("node", "x.metres", "x.source", "x.via", "x.flat", "fresh"), "paths")
         if not held.where("fresh").limit(1).count():
             break
-    return held.drop("fresh")
+    return held.drop("fresh", "flat")
 
 
 def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:

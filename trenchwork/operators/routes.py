@@ -78,7 +78,12 @@ def legs(points: DataFrame, polygons: DataFrame, reach: float, cell: float = 50.
 
     A point may itself lie too near to an area, as the wall that a building is entered by does; its legs may then leave that
     area's surroundings but not cross its walls. Points that are neither terminals nor roots should not be given there.
+    Points of one place are one corner: its least id has the legs, and the others a leg of 0 m to it, so that n of them make n legs and not n * n.
     """
+    every = points.select("id", "x", "y")
+    spots = materialize(every.groupBy("x", "y").agg(F.min("id").alias("spot")), "leg-places")
+    same = every.join(spots, ["x", "y"]).where("id <> spot").select(F.col("spot").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("metres"))
+    points = spots.select(F.col("spot").alias("id"), "x", "y")
     size = lambda c: F.floor(c / reach).cast("long")
     right = points.select(F.col("id").alias("b"), F.col("x").alias("x1"), F.col("y").alias("y1")).withColumn("cx", F.explode(F.sequence(size(F.col("x1")) - 1, size(F.col("x1")) + 1)))
     right = right.withColumn("cy", F.explode(F.sequence(size(F.col("y1")) - 1, size(F.col("y1")) + 1)))
@@ -99,14 +104,14 @@ def legs(points: DataFrame, polygons: DataFrame, reach: float, cell: float = 50.
     part = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("t")
     middles = pairs.select("a", "b", "x0", "y0", "x1", "y1", part).select(F.struct("a", "b").alias("id"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("t")).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("t")).alias("y"))
     inside = points_in_areas(middles, walls, cell).select("id.a", "id.b")
-    return pairs.join(blocked.unionByName(inside).distinct(), ["a", "b"], "left_anti").select("a", "b", "metres")
+    return pairs.join(blocked.unionByName(inside).distinct(), ["a", "b"], "left_anti").select("a", "b", "metres").unionByName(same)
 
 
 def steiner_forest(edges: DataFrame, terminals: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, parent, length): trees of edges (a, b, metres) that join each reachable terminal (node) to a
-    root (node); all roots count as one place. A root's parent is null."""
-    top = roots.agg(F.min("node").alias("label"))
-    labelled = roots.select("node").join(F.broadcast(top)).unionByName(terminals.select("node", F.col("node").alias("label")))
+    root (node); all roots count as one place. A root's parent is null. Terminals 0 m apart are in the region of one of them,
+    at a root in that of the roots, whose label is less than all others."""
+    labelled = roots.select("node", F.lit(-(1 << 61)).cast("long").alias("label")).unionByName(terminals.select("node", F.col("node").alias("label")))
     near = materialize(network.shortest_paths(edges, labelled), "regions")
     side = lambda name: near.select(F.col("node").alias(name), F.col("metres").alias(f"_{name}"), F.col("source").alias(f"s{name}"))
     over = edges.join(side("a"), "a").join(side("b"), "b").where("sa <> sb")
@@ -114,8 +119,8 @@ def steiner_forest(edges: DataFrame, terminals: DataFrame, roots: DataFrame) ->
     bridges = materialize(over.groupBy(F.least("sa", "sb").alias("p"), F.greatest("sa", "sb").alias("q")).agg(shortest.alias("e")), "bridges")
     chosen = network.spanning_forest(bridges.select(F.col("p").alias("a"), F.col("q").alias("b"), "e.metres")).select(F.col("a").alias("p"), F.col("b").alias("q"))
     used = materialize(bridges.join(chosen, ["p", "q"]).select("e.a", "e.b", F.col("e.leg").alias("metres")), "used-bridges")
-    touched = used.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("ends", F.lit(1))
-    # Nodes with an end of a bridge behind them lie on a way from it to the terminal of their region.
+    touched = used.select(F.explode(F.array("a", "b")).alias("node")).unionByName(terminals.select("node")).distinct().withColumn("ends", F.lit(1))
+    # Nodes with an end of a bridge or a terminal behind them lie on a way from it to the terminal of their region.
     forest = near.select("node", F.col("via").alias("parent"), F.lit(0.0).alias("length")).join(touched, "node", "left").fillna(0, ["ends"])
     seen = network.gathered(forest, {"ends": "sum"}).where("ends > 0").select("node")
     inner = seen.join(near.where("via is not null").select("node", "via", "metres"), "node")

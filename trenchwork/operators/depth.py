@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as r
+from ..store import by_key
 
 
 def choose_depth(bands: DataFrame, key: str, floor: float = 0.7, rules: r.Rules = r.DEFAULT) -> DataFrame:
@@ -101,4 +102,4 @@ def least_cover(kind: Column) -> Column:
 def pin_floors(pins: DataFrame, covers: DataFrame, floor: float = 0.7) -> DataFrame:
     """(edge, pin, floor): the greatest cover (edge, c0, c1, cover) that meets the interval of each pin (edge, pin, s0, s1)."""
     met = (F.col("c0") <= F.col("s1")) & (F.col("s0") <= F.col("c1"))
-    return pins.join(covers, "edge", "left").groupBy("edge", "pin").agg(F.coalesce(F.max(F.when(met, F.col("cover"))), F.lit(floor)).alias("floor"))
+    return by_key(pins, "edge").join(covers, "edge", "left").groupBy("edge", "pin").agg(F.coalesce(F.max(F.when(met, F.col("cover"))), F.lit(floor)).alias("floor"))

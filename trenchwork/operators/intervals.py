@@ -14,16 +14,17 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
 
     All of it runs on one partitioning by the key: end points are numbered by a window, a span covers the pieces from the
     number of its start to the one before that of its end, and sets of zones are told apart by their size and a 64-bit hash.
+    Spans are gone through once, and those that lie together by their key (``store.by_key``) are not moved.
     """
     line = Window.partitionBy(key).orderBy("at")
     marked = spans.select(key, "s0", "s1", "k", "zone").withColumn("_id", F.monotonically_increasing_id())
     ends = marked.select(key, "_id", "k", "zone", F.explode(F.array("s0", "s1")).alias("at")).withColumn("piece", F.dense_rank().over(line))
-    own = ends.groupBy(key, "_id", "k", "zone").agg(F.min("piece").alias("_first"), F.max("piece").alias("_last")).where("_last > _first")
-    over = own.select(key, "k", "zone", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)).alias("piece"))
-    once = over.groupBy(key, "piece", "zone").agg(F.max("k").alias("k"))
-    covered = once.groupBy(key, "piece").agg(F.max("k").alias("k"), F.count("*").alias("zones"), F.bit_xor(F.xxhash64("zone")).alias("which"))
-    cuts = ends.groupBy(key, "piece").agg(F.max("at").alias("at"))
-    both = cuts.unionByName(covered, allowMissingColumns=True).groupBy(key, "piece").agg(*[F.max(c).alias(c) for c in ("at", "k", "zones", "which")])
+    own = ends.groupBy(key, "_id", "k", "zone").agg(F.min("piece").alias("_first"), F.max("piece").alias("_last"), F.min("at").alias("_from"), F.max("at").alias("_to"))
+    # The piece behind the end of a span is not covered by it, but is known to begin there.
+    over = own.select(key, "k", "zone", "_first", "_last", "_from", "_to", F.explode(F.sequence("_first", "_last")).alias("piece"))
+    covers, at = F.col("piece") < F.col("_last"), F.when(F.col("piece") == F.col("_first"), F.col("_from")).when(F.col("piece") == F.col("_last"), F.col("_to"))
+    once = over.groupBy(key, "piece", "zone").agg(F.max(at).alias("at"), F.max(F.when(covers, F.col("k"))).alias("k"), F.max(covers).alias("_covers"))
+    both = once.groupBy(key, "piece").agg(F.max("at").alias("at"), F.max("k").alias("k"), F.count_if("_covers").alias("zones"), F.bit_xor(F.when(F.col("_covers"), F.xxhash64("zone"))).alias("which"))
     order = Window.partitionBy(key).orderBy("piece")
     pieces = both.withColumn("to", F.lead("at").over(order)).where(F.col("k").isNotNull() & (F.col("to") - F.col("at") >= 1e-9))
     same = (F.abs(F.lag("to").over(order) - F.col("at")) < 1e-9) & (F.abs(F.lag("k").over(order) - F.col("k")) < 1e-12)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import rules as r
+from ..store import by_key, join_small, materialize
 from .intervals import merge_spans, union_intervals
 from .spatial import walked
 from .utilities import inside_spans, near_spans
@@ -39,14 +40,20 @@ def breaches(pipes: DataFrame, obstacles: DataFrame, rules: r.Rules = r.DEFAULT)
 def zone_spans(legs: DataFrame, zones: DataFrame, cell: float = 50.0) -> DataFrame:
     """(path, s0, s1, k, zone, shallow): where paths of legs (path, ord, x0, y0, x1, y1) cross the lines of zones (zone, zx0, zy0,
     zx1, zy1, k, extend, least_sine), ``extend`` to either side; within 0.05 m of an end of the path the span goes to
-    the end. ``shallow`` crossings are at less than the least angle and not admissible."""
-    order = Window.partitionBy("path").orderBy("ord")
+    the end. ``shallow`` crossings are at less than the least angle and not admissible.
+
+    Legs are put together by their path once and stay so: zones go to them, and no pair of both is moved."""
+    whole = Window.partitionBy("path")
+    order = whole.orderBy("ord")
     a, b = (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))
-    placed = legs.withColumn("length", g.distance(a, b)).withColumn("before", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    whole = placed.groupBy("path").agg(F.sum("length").alias("total"))
-    near = walked(placed, cell, 0.0).join(walked(zones, cell, 0.0, ("zx0", "zy0", "zx1", "zy1")), ["cx", "cy"]).dropDuplicates(["path", "ord", "zone"])
+    placed = by_key(legs.select("path", "ord", "x0", "y0", "x1", "y1"), "path").withColumn("length", g.distance(a, b))
+    placed = placed.withColumns({"before": F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "total": F.sum("length").over(whole)})
+    near = join_small(walked(placed, cell, 0.0), materialize(walked(zones, cell, 0.0, ("zx0", "zy0", "zx1", "zy1")), "zone-cells"), ["cx", "cy"])
     c, d = (F.col("zx0"), F.col("zy0")), (F.col("zx1"), F.col("zy1"))
-    met = near.withColumn("t", g.cross_place(a, b, c, d)).where("t is not null").join(whole, "path")
+    # Most of those that share a cell are told apart by their boxes, before more is computed.
+    apart = lambda p, q, r, s: (F.greatest(p, q) < F.least(r, s) - 1e-6) | (F.least(p, q) > F.greatest(r, s) + 1e-6)
+    near = near.where(~apart(a[0], b[0], c[0], d[0]) & ~apart(a[1], b[1], c[1], d[1])).drop("cx", "cy").dropDuplicates(["path", "ord", "zone"])
+    met = near.withColumn("t", g.cross_place(a, b, c, d)).where("t is not null")
     s = F.col("before") + F.col("t") * F.col("length")
     ends = met.select("path", "zone", "k", "total", (s - F.col("extend")).alias("s0"), (s + F.col("extend")).alias("s1"), (g.sine(a, b, c, d) < F.col("least_sine")).alias("shallow"))
     cut = ends.select("path", F.when(F.col("s0") < 0.05, 0.0).otherwise(F.col("s0")).alias("s0"), F.when(F.col("s1") > F.col("total") - 0.05, F.col("total")).otherwise(F.col("s1")).alias("s1"), "k", "zone", "shallow")
@@ -121,11 +128,13 @@ def cut_at_spans(legs: DataFrame, spans: DataFrame) -> DataFrame:
     what lies between spans has k 1."""
     total = legs.withColumn("length", g.distance((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1")))).groupBy("path").agg(F.sum("length").alias("total"))
     line = Window.partitionBy("path").orderBy("start")
-    placed = spans.join(total, "path").withColumn("before", F.coalesce(F.lag("end").over(line), F.lit(0.0)))
-    special = placed.select("path", F.col("start").alias("s0"), F.col("end").alias("s1"), "k")
-    plain = placed.select("path", F.col("before").alias("s0"), F.col("start").alias("s1"), F.lit(1.0).alias("k"))
-    last = total.join(spans.groupBy("path").agg(F.max("end").alias("last")), "path", "left").select("path", F.coalesce("last", F.lit(0.0)).alias("s0"), F.col("total").alias("s1"), F.lit(1.0).alias("k"))
-    return special.unionByName(plain).unionByName(last).where("s1 > s0 + 1e-9")
+    placed = total.join(spans, "path", "left").withColumns({"_before": F.lag("end").over(line), "_next": F.lead("start").over(line)})
+    piece = lambda s0, s1, k: F.struct(s0.alias("s0"), s1.alias("s1"), k.alias("k"))
+    plain, none = F.lit(1.0), F.lit(0.0)
+    # Each span, what lies before it, and behind the last one what is left.
+    special, before = piece(F.col("start"), F.col("end"), F.col("k")), piece(F.coalesce("_before", none), F.col("start"), plain)
+    last = F.when(F.col("_next").isNull(), piece(F.coalesce("end", none), F.col("total"), plain))
+    return placed.select("path", F.explode(F.array(special, before, last)).alias("p")).select("path", "p.*").where("s1 > s0 + 1e-9")
 
 
 def points_at(legs: DataFrame, stations: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Steps whose rows must not grow faster than their input: points of one place, paths cut at spans."""
 
-from trenchwork.operators import crossings, spatial
+from trenchwork.operators import crossings, network, spatial
 from trenchwork.store import by_key
 
 
@@ -41,3 +41,12 @@ def test_cut_at_spans(spark):
     spans = spark.createDataFrame([(1, 2.0, 3.0, 1.6), (1, 3.0, 4.0, 1.75), (1, 6.0, 10.0, 1.6)], "path long, start double, end double, k double")
     got = sorted(map(tuple, crossings.cut_at_spans(legs, spans).collect()))
     assert got == [(1, 0.0, 2.0, 1.0), (1, 2.0, 3.0, 1.6), (1, 3.0, 4.0, 1.75), (1, 4.0, 6.0, 1.0), (1, 6.0, 10.0, 1.6), (2, 0.0, 5.0, 1.0)]
+
+
+def test_joins_in_rounds_pass_the_driver_when_small_only(spark, monkeypatch):
+    """Beyond the bound a join is shuffled, also where Spark itself would broadcast."""
+    a, b = spark.range(100).selectExpr("id AS node"), spark.range(50).selectExpr("id AS node", "id * 2 AS to")
+    plan = lambda: network.join_small(a, b, "node")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(network, "ROUND_ROWS", 10)
+    assert "SortMergeJoin" in plan() and "Broadcast" not in plan()

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as r
-from ..store import join_small, materialize
+from ..store import materialize
+
+#: A table of at most this many rows is broadcast in the joins of rounds. There are many of these, and each passes the driver.
+ROUND_ROWS = 50_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """As ``store.join_small``, for joins in rounds: beyond ``ROUND_ROWS`` rows Spark is told to shuffle, as it would itself send
+    tables to the driver whose files are small."""
+    return big.join(F.broadcast(small) if small.limit(ROUND_ROWS + 1).count() <= ROUND_ROWS else small.hint("merge"), on, how)
 
 
 def _doubled(tree: DataFrame):

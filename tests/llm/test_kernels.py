@@ -70,6 +70,18 @@ def test_huffman_round_trip():
     assert huffman.decode(one, packed, sizes, np.array([2, 1]), marks).tolist() == [1, 1, 1]
 
 
+def test_the_tokenizer_starts_no_threads(monkeypatch):
+    """Tasks share the cores; each is one thread."""
+    import os
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    units, before = UnitTokenizer(path), len(os.listdir("/proc/self/task"))
+    units.encode(pa.array([f"word{i} and {i * 7919} more" for i in range(4000)]))
+    assert len(os.listdir("/proc/self/task")) == before
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_units_are_cut_where_the_tokenizer_cuts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, units = Tokenizer.from_file(path), UnitTokenizer(path, most=500)

@@ -18,6 +18,7 @@ an empty file. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -57,6 +58,8 @@ class UnitTokenizer:
     """
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
+        # Tasks share the cores already; threads of the library beside them only cost CPU time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
